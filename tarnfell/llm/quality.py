@@ -20,7 +20,7 @@ from .shared import MAX_LABELLED_ROWS, id_type, labelled_sample, unclashed
 from .words import find_words, mix, slices, word_hashes
 
 FEATURES = ("length", "letters", "upper", "digits", "space", "pipes", "symbols", "stops", "wide", "word_length", "repeats", "skip_repeats", "same_as_before")
-BINS = 8
+BINS = 12
 #: Lines of the training sample at most; whole documents are taken while they fit.
 MAX_LINES = 150_000
 
@@ -155,9 +155,17 @@ class Chain:
         return raw if self.knots is None or not len(self.knots) else np.interp(raw, self.knots, self.levels)
 
 
+def _limits(values: np.ndarray) -> np.ndarray:
+    """Half of the limits split the lines evenly, half the distinct values, so that rare high shares get bins too."""
+    half = BINS // 2
+    even = np.quantile(values, np.linspace(0, 1, half + 1)[1:-1])
+    distinct = np.quantile(np.unique(values.round(3)), np.linspace(0, 1, BINS - half + 2)[1:-1])
+    return np.sort(np.concatenate([even, distinct]))
+
+
 def fit_chain(owner: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-4, rate: float = 0.15) -> Chain:
     """Adam on the penalised conditional log likelihood; y is each line's label."""
-    edges = np.stack([np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1]) for j in range(x.shape[1])]) if len(x) else np.zeros((len(FEATURES), BINS - 1))
+    edges = np.stack([_limits(x[:, j]) for j in range(x.shape[1])]) if len(x) else np.zeros((len(FEATURES), BINS - 1))
     chain = Chain(edges, np.zeros((3, x.shape[1], BINS + 1)), np.zeros((2, 2)))
     if not len(y):
         return chain

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .boosting import Boosted, fit, isotonic
 from .shared import MAX_LABELLED_ROWS, id_type, labelled_sample, unclashed
-from .words import BYTE_VALUES, LOWER_VALUES, NOT_WORD, WHITE_SPACE, find_words, slices, word_hashes
+from .words import BYTE_VALUES, LOWER_VALUES, NOT_WORD, WHITE_SPACE, find_words, slices, text_buffers, word_hashes
 
 #: Common insults and second-person words of the corpus' languages.
 INSULTS = """clown disgusting dumb fool garbage hate idiot idiots loser losers moron morons pathetic scum shut stupid trash ugly useless worthless
@@ -25,7 +25,9 @@ SECOND_PERSON = "you your you're u ur yourself du dich dir dein deine ihr euch s
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 FEATURES = ("lexicon", "lexicon_words", "learned", "learned_words", "learned_weight", "near_you", "lookalike", "mixed_words", "capitals", "capital_words", "exclaims", "punctuation", "digits", "word_length", "length")
 #: Words of the learned lexicon at most, and labelled documents that must hold each.
-LEARNED_WORDS, LEARNED_DOCUMENTS = 400, 8
+LEARNED_WORDS, LEARNED_DOCUMENTS = 1000, 6
+#: Beginnings of words that are learned beside whole words: bytes, salt of their hashes.
+PREFIXES = ((5, 0x5A17), (7, 0xC0DE))
 NEAR = 5
 
 _LOOK_VALUES = LOWER_VALUES.copy()
@@ -37,10 +39,7 @@ _MASKS = {"upper": [i for i in range(128) if chr(i).isupper()], "digit": [i for
 
 
 def _hashes(words: list[str]) -> np.ndarray:
-    texts = pa.array([w.lower() for w in words])
-    from .words import text_buffers
-
-    offsets, data = text_buffers(texts)
+    offsets, data = text_buffers(pa.array([w.lower() for w in words]))
     return np.unique(word_hashes(data, offsets[:-1], offsets[1:]))
 
 
@@ -68,8 +67,14 @@ def features(data: np.ndarray, offsets: np.ndarray, learned: np.ndarray, weights
     n = np.maximum(np.bincount(wr, minlength=rows), 1)
     size = np.maximum(np.diff(offsets), 1)
     share = lambda mask: (lambda s: s[offsets[1:]] - s[offsets[:-1]])(_sums(mask, data)) / size
-    bad, _ = _member(h, _hashes(INSULTS))
-    new, at = _member(h, learned)
+    insults = _hashes(INSULTS)
+    bad, _ = _member(h, insults)
+    new, odds = np.zeros(len(h), bool), np.zeros(len(h))
+    for unit in _units(data, ws, we, h):
+        found, at = _member(unit, learned)
+        new |= found
+        if len(weights):
+            odds = np.maximum(odds, np.where(found, weights[at], 0))
     you, _ = _member(h, _hashes(SECOND_PERSON))
     hit = bad | new
     around = np.cumsum(np.concatenate([[0], you]))
@@ -80,11 +85,10 @@ def features(data: np.ndarray, offsets: np.ndarray, learned: np.ndarray, weights
     out = np.zeros((rows, len(FEATURES)))
     out[:, 0], out[:, 1] = per(bad) / n * 100, np.minimum(per(bad), 20)
     out[:, 2], out[:, 3] = per(new) / n * 100, np.minimum(per(new), 20)
-    if len(weights) and new.any():
-        np.maximum.at(out[:, 4], wr[new], weights[at[new]])
+    np.maximum.at(out[:, 4], wr[new], odds[new])
     out[:, 5] = per(close) / n * 100
     ls, le, lr = find_words(data, offsets, _LOOK_SEPARATORS)
-    read, _ = _member(word_hashes(data, ls, le, _LOOK_VALUES), _hashes(INSULTS))
+    read, _ = _member(word_hashes(data, ls, le, _LOOK_VALUES), insults)
     out[:, 6] = np.maximum(np.bincount(lr[read], minlength=rows) - per(bad), 0) / n * 100
     ps, pe, pr = find_words(data, offsets, WHITE_SPACE)
     letters, signs, upper = (_sums(_MASKS[k], data) for k in ("letter", "sign", "upper"))
@@ -101,6 +105,11 @@ def features(data: np.ndarray, offsets: np.ndarray, learned: np.ndarray, weights
     return out
 
 
+def _units(data: np.ndarray, ws: np.ndarray, we: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """Hashes of whole words and of their beginnings (of words that are longer than those); a short word's beginning is the word."""
+    return [h, *(np.where(we - ws > n, word_hashes(data, ws, np.minimum(we, ws + n), LOWER_VALUES) ^ np.uint64(salt), h) for n, salt in PREFIXES)]
+
+
 def _learned(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes that labelled toxic documents hold far more often, at most LEARNED_WORDS."""
     toxic, clean = F.sum(F.col("label")), F.sum(1 - F.col("label"))
@@ -120,7 +129,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED
     def bags(batches):
         for part, data, offsets in slices(batches):
             ws, we, wr = find_words(data, offsets, NOT_WORD)
-            pairs = np.unique(np.stack([wr.astype(np.uint64), word_hashes(data, ws, we, LOWER_VALUES)], 1), axis=0)
+            units = _units(data, ws, we, word_hashes(data, ws, we, LOWER_VALUES))
+            pairs = np.unique(np.stack([np.tile(wr.astype(np.uint64), len(units)), np.concatenate(units)], 1), axis=0)
             at = pa.array(pairs[:, 0].astype(np.int64))
             yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), pa.array(pairs[:, 1].view(np.int64))], ["doc_id", "label", "word"])
 
