@@ -163,7 +163,7 @@ def _limits(values: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate([even, distinct]))
 
 
-def fit_chain(owner: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-4, rate: float = 0.15) -> Chain:
+def fit_chain(owner: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int = 80, ridge: float = 3e-6, rate: float = 0.15) -> Chain:
     """Adam on the penalised conditional log likelihood; y is each line's label."""
     edges = np.stack([_limits(x[:, j]) for j in range(x.shape[1])]) if len(x) else np.zeros((len(FEATURES), BINS - 1))
     chain = Chain(edges, np.zeros((3, x.shape[1], BINS + 1)), np.zeros((2, 2)))
