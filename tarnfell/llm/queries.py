@@ -10,11 +10,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import contaminated
+from .near_dedup import near_duplicates
 from .packing import packed
 from .quality import quality_scores, train_quality
 from .shared import held_out, table
 from .token_counts import token_counts
 from .toxicity import toxicity_scores, train_toxicity
+from .vector_dedup import linked_vectors
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,15 +42,22 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity_scores(docs, train_toxicity(docs, table(spark, sf_dir, "labels"))).withColumn("held_out", held_out())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_duplicates": op2_near_duplicates,
+    "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
+    "op9_vector_dedup": op9_vector_dedup,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
