@@ -15,6 +15,7 @@ from .near_dedup import near_duplicates
 from .packing import packed
 from .quality import quality_scores, train_quality
 from .shared import held_out, table
+from .substring_dedup import repeated_passages
 from .token_counts import token_counts
 from .toxicity import toxicity_scores, train_toxicity
 from .vector_dedup import linked_vectors
@@ -34,6 +35,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, chain).withColumn("held_out", held_out())
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
     "op9_vector_dedup": op9_vector_dedup,
