@@ -142,7 +142,11 @@ def _with_spans(rows: DataFrame, names: dict[str, str]) -> DataFrame:
 def _based(rows: DataFrame) -> DataFrame:
     """Adds base: array<struct<kind, start, end>> by kind as listed, then start."""
     rows = _with_spans(rows, PATTERNS)
-    kept = [F.transform(F.filter(f"span_{k}", _CHECKS[k]), lambda s, k=k: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]
+
+    def named(k):
+        return F.transform(F.filter(f"span_{k}", _CHECKS[k]), lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+    kept = [named(k) for k in KINDS]
     return rows.withColumn("base", F.concat(*kept)).drop(*[f"span_{k}" for k in KINDS])
 
 
@@ -232,7 +236,11 @@ def personal_data(docs: DataFrame, detector: Detector) -> DataFrame:
     rows = _judged(unclashed(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("body")), detector)
     shown = lambda spans: F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     rows = rows.select("doc_id", "base", shown(F.col("base")).alias("names"), shown(F.col("extra")).alias("more"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def count(k):
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+
+    counts = [count(k) for k in KINDS]
     return rows.select("doc_id", *counts, F.size("more").cast("long").alias("n_extra"), F.sha2(F.array_join("names", ","), 256).alias("base_sha256"), F.array_join(F.concat("names", "more"), ",").alias("spans"))
 
 
