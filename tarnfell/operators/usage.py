@@ -21,14 +21,14 @@ def stage_metrics(log: DataFrame) -> DataFrame:
     return log.agg(F.count("*").alias("queries"), F.coalesce(F.sum("retrieved_nodes"), F.lit(0)).alias("retrieved_nodes"), *stages, F.avg(F.col("cache_hit").cast("double")).alias("cache_hit_ratio"), F.count_if("evaluated").alias("evaluations"), F.count_if(F.col("evaluated") & F.col("failed")).alias("evaluation_failures"), F.count_if("corrected").alias("corrections"))
 
 
-def decide(times: list[float], held: deque, max_calls: int, window: float) -> list[tuple[bool, float]]:
-    """Verdicts for calls at rising times; held are the allowed times that may still count, and is kept up."""
+def decide(times: list[int], held: deque, max_calls: int, window: float) -> list[tuple[bool, float]]:
+    """Verdicts for calls at rising times in microseconds; held are the allowed times that may still count, and is kept up."""
     out = []
     for t in times:
-        while held and t - held[0] >= window:
+        while held and (t - held[0]) / 1e6 >= window:
             held.popleft()
         if len(held) >= max_calls:
-            out.append((False, max(0.1, window - (t - held[0]))))
+            out.append((False, max(0.1, window - (t - held[0]) / 1e6)))
         else:
             held.append(t)
             out.append((True, 0.0))
@@ -46,9 +46,9 @@ def rate_limit(events: DataFrame, max_calls: int = 3, window: float = 60.0) -> D
     from pyspark.sql import Window
 
     by = Window.partitionBy("key").orderBy("ts", "event_id")
-    micros = F.unix_micros("ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     gap = F.coalesce((micros - F.lag(micros).over(by)) >= int(window * 1e6), F.lit(True))
-    rows = events.withColumn("_run", F.sum(gap.cast("int")).over(by)).withColumn("_t", micros / 1e6)
+    rows = events.withColumn("_run", F.sum(gap.cast("int")).over(by)).withColumn("_t", micros)
     rows = rows.repartition("key", "_run").sortWithinPartitions("key", "_run", "ts", "event_id")
 
     def run(frames):

@@ -107,7 +107,7 @@ QUESTIONS_SQL = "questions AS (SELECT item_id AS question_id, (CASE WHEN item_id
 
 #: User turns as questions of all kinds.
 ASKED = """CASE (conv_id + turn) % 12 WHEN 0 THEN 'Summarize all documents about ' || text WHEN 1 THEN 'ERR404?' WHEN 2 THEN 'compare these: ' || text WHEN 3 THEN 'what is in config.yaml and ' || text WHEN 4 THEN '  ' WHEN 5 THEN text || ' 12 and 13'
-WHEN 6 THEN 'which ERROR code? ' || text WHEN 7 THEN 'getName' WHEN 8 THEN 'Why? How? ' || text WHEN 9 THEN ' ' || upper(text) || ' ' ELSE text END"""
+WHEN 6 THEN 'which ERROR code? ' || text WHEN 7 THEN 'getName' WHEN 8 THEN 'Why? How? ' || text WHEN 9 THEN ' ' || lower(text) || ' ' ELSE text END"""
 ASKED_MODE = "CASE (conv_id + turn) % 9 WHEN 0 THEN 'BM25' WHEN 1 THEN 'vector' WHEN 2 THEN 'global' WHEN 3 THEN 'nonsense' ELSE 'auto' END"
 
 

@@ -27,13 +27,13 @@ def rate_limit_stream(events: DataFrame, max_calls: int = 3, window: float = 60.
             return
         held = deque(state.get[0] if state.exists else [])
         pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
-        times = (pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6).tolist()
+        times = (pdf["ts"].astype("datetime64[us]").astype("int64")).tolist()
         got = [(True, 0.0)] * len(times) if max_calls <= 0 else decide(times, held, max_calls, window)
         state.update((list(held),))
-        state.setTimeoutTimestamp(max(int((times[-1] + window) * 1000), state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(times[-1] // 1000 + int(window * 1000), state.getCurrentWatermarkMs() + 1))
         yield pdf.assign(allowed=[a for a, _ in got], retry_after=[w for _, w in got])
 
-    return events.withWatermark("ts", lateness).groupBy("key").applyInPandasWithState(run, f"{fields}, allowed boolean, retry_after double", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return events.withWatermark("ts", lateness).groupBy("key").applyInPandasWithState(run, f"{fields}, allowed boolean, retry_after double", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sync_stream(found: DataFrame, folder: str, ingest: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str):
