@@ -6,10 +6,10 @@ later than all components' first, so most shingles cost one or two arrivals. Two
 Jaccard similarity J_P of the bags, which is plain Jaccard where no shingle repeats. Bands of components give buckets, and candidates
 are verified with the exact J_P.
 
-Hot buckets never become all their pairs. Exact copies are one representative. In a bucket, everyone is first compared with its most
-connected member only; what that leaves in several components is then compared across components: all members against those outside the
-bucket's largest one. A pair inside one component can't change the result, and every other pair of a bucket is verified, so the classes are
-those of comparing all pairs of all buckets.
+Hot buckets never become all their pairs as rows. Exact copies are one representative. In a bucket, everyone is first compared with its most
+connected member only. Buckets whose members then lie in several components are compared whole, each distinct set of members once: tiles of a bucket meet in
+pairs in a task, which finds the shared weight of all its pairs by matrix products, verifies what can reach the limit, and returns a spanning forest of
+the links. So every pair of a bucket that could join two components is verified, and the classes are those of comparing all pairs of all buckets.
 """
 
 from __future__ import annotations
@@ -19,16 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, id_type, unclashed, written
+from .shared import components, id_type, spanning_roots, unclashed, written
 from .words import LOWER_VALUES, find_words, mix, phrase_hashes, powers, slices, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
 #: 32 bands of 6: a pair at the limit shares no bucket once in 16,000 pairs, one at 0.85 once in 4 million.
 BANDS, ROWS = 32, 6
-#: Members that meet one copy of a pivot's text.
-CHUNK = 256
-_SLICE = 4 << 20
+#: Members that meet one copy of a pivot's text; members of a bucket in one tile; shingles of a matrix product.
+CHUNK, TILE, COLUMNS = 256, 256, 4096
 _LOW52 = np.uint64((1 << 52) - 1)
 _STEP = 0xD6E8FEB86659FD93
 
@@ -100,7 +99,7 @@ def prepared(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     def signed(batches):
         salts = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         q = powers(_STEP, ROWS)
-        for part, data, offsets in slices(batches, text, _SLICE):
+        for part, data, offsets in slices(batches, text):
             row, shingle, count, keys = shingles(data, offsets)
             kept = signatures(row, shingle, count, part.num_rows, BANDS * ROWS)
             bands = mix((mix(kept.reshape(-1, BANDS, ROWS)) * q).sum(2, dtype=np.uint64) + salts).view(np.int64)
@@ -124,7 +123,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def compared(batches):
         held = own = None
-        for part, data, offsets in slices(batches, "text", _SLICE):
+        for part, data, offsets in slices(batches, "text"):
             row, shingle, count, _ = shingles(data, offsets)
             cut = np.searchsorted(row, np.arange(part.num_rows + 1))
             u, v = [], []
@@ -141,35 +140,99 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return rows.select("doc_id", "pivot", "chunk", "kind", "text").mapInArrow(compared, f"u {kind}, v {kind}")
 
 
+def _links(bags: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray, known: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs with J_P >= least between sides (or inside the one side there is) whose known roots differ. The weight of a bag on the shingles that it shares
+    with another bounds their J_P, whichever of the two is weighed, so only pairs above that are compared by themselves."""
+    n = len(bags)
+    shingle, count = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags]).astype(float)
+    owner = np.repeat(np.arange(n), [len(b[0]) for b in bags])
+    total = np.bincount(owner, count, n)
+    values, column, times = np.unique(shingle, return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    use = times[column] > 1
+    owner, column, count = owner[use], place[column[use]], count[use]
+    order = np.argsort(column, kind="stable")
+    owner, column, count = owner[order], column[order], count[order]
+    shared = np.zeros((n, n))
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [low, low + COLUMNS])
+        has, weighs = np.zeros((n, COLUMNS), np.float32), np.zeros((n, COLUMNS), np.float32)
+        has[owner[i:j], column[i:j] - low] = 1
+        weighs[owner[i:j], column[i:j] - low] = count[i:j]
+        shared += weighs @ has.T
+    mass = shared / np.maximum(total, 1)[:, None]
+    may = np.minimum(mass, mass.T) >= least - 1e-6
+    may &= known[:, None] != known[None, :]
+    may &= side[:, None] < side[None, :] if side.any() else np.triu(np.ones((n, n), bool), 1)
+    a, b = np.nonzero(may)
+    plain = np.array([bool((c == 1).all()) for _, c in bags])
+    simple = plain[a] & plain[b]
+    both = shared[a, b]
+    good = simple & (both >= (least - 1e-12) * (total[a] + total[b] - both))
+    root = spanning_roots(a[good], b[good], n)
+    for k in np.flatnonzero(~simple):
+        if root[a[k]] != root[b[k]] and probability_jaccard(*bags[a[k]], *bags[b[k]]) >= least - 1e-12:
+            good[k] = True
+            root[root == root[b[k]]] = root[a[k]]
+    return a[good], b[good]
+
+
+def _across(open_buckets: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(u, v): a spanning forest of the links between components inside the buckets (bucket, doc_id, root)."""
+    sets = open_buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id") % (1 << 40)).alias("s"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x"))
+    once = sets.groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    rows = open_buckets.join(once, "bucket").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("bucket", F.least("tile", "mate").alias("low"), F.greatest("tile", "mate").alias("high"), (F.col("tile") > F.col("mate")).cast("int").alias("side"), "doc_id", "root")
+    rows = rows.join(texts, "doc_id").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "doc_id")
+
+    def compared(batches):
+        key, held = None, []
+
+        def emit(kind):
+            ids = np.array([h[0] for h in held])
+            a, b = _links([h[3] for h in held], np.array([h[1] for h in held]), np.array([h[2] for h in held]), least) if len(held) > 1 else ((), ())
+            root = spanning_roots(np.asarray(a, np.int64), np.asarray(b, np.int64), len(held))
+            some = np.flatnonzero(root != np.arange(len(held)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[root[some]], kind), pa.array(ids[some], kind)], ["u", "v"])
+
+        kind = None
+        for part, data, offsets in slices(batches, "text"):
+            kind = part.column(0).type
+            row, shingle, count, _ = shingles(data, offsets)
+            cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+            for i, (doc, bucket, low, high, side, root) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "bucket", "low", "high", "side", "root")), strict=True)):
+                if (bucket, low, high) != key:
+                    if held:
+                        yield emit(kind)
+                    key, held = (bucket, low, high), []
+                held.append((doc, side, root, (shingle[cut[i] : cut[i + 1]].copy(), count[cut[i] : cut[i + 1]].copy())))
+        if held:
+            yield emit(kind)
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "bucket", "low", "high", "side", "root", "text").mapInArrow(compared, f"u {kind}, v {kind}")
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, representative (the smallest doc_id with the same words), class_id (the smallest doc_id reachable over links), kept (it is the class').
 
     One row for every row with a doc_id. Null, empty and blank texts link with nothing. Rows that share a doc_id count as one document."""
     docs = unclashed(docs, doc_id, text).toDF("doc_id", "text")
     signed = written(prepared(docs), "signatures")
-    same = signed.where("key1 is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("representative"))
-    members = signed.select("doc_id", "key1", "key2").join(same, ["key1", "key2"], "left").select("doc_id", F.coalesce("representative", "doc_id").alias("representative"))
-    members = written(members, "members")
-    unique = signed.where("key1 is not null").join(same.select(F.col("representative").alias("doc_id")), "doc_id", "left_semi")
-    buckets = unique.select("doc_id", F.explode("bands").alias("bucket")).distinct()
+    same = written(signed.where("key1 is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("representative"), F.min_by("bands", "doc_id").alias("bands")), "unique")
+    members = signed.select("doc_id", "key1", "key2").join(same.drop("bands"), ["key1", "key2"], "left").select("doc_id", F.coalesce("representative", "doc_id").alias("representative"))
+    buckets = same.select(F.col("representative").alias("doc_id"), F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(buckets.join(sizes, "bucket"), "buckets")
     degrees = shared.groupBy("doc_id").agg(F.sum("n").alias("degree"))
-    ranked = shared.join(degrees, "doc_id")
-    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("low"))).alias("top")).select("bucket", (-F.col("top.low")).alias("pivot"))
-    star = written(shared.join(pivots, "bucket").where("doc_id <> pivot").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b"), "pivot").groupBy("a", "b").agg(F.min("pivot").alias("pivot")), "star")
-    star = star.withColumn("member", F.when(F.col("pivot") == F.col("a"), F.col("b")).otherwise(F.col("a")))
-    edges = written(_verified(star.select("pivot", "member"), docs, least), "edges")
-    labels = components(edges)
-    labelled = shared.join(labels, shared.doc_id == labels.node, "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    parts = labelled.groupBy("bucket", "root").agg(F.count("*").alias("m"))
-    largest = parts.groupBy("bucket").agg(F.max_by("root", "m").alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    open_buckets = written(labelled.join(largest, "bucket"), "open")
-    odd = open_buckets.where("root <> main").select("bucket", F.col("doc_id").alias("pivot"), F.col("root").alias("own"))
-    rest = odd.join(open_buckets, "bucket").where("own <> root and (root = main or pivot < doc_id)").select("pivot", F.col("doc_id").alias("member"))
-    rest = rest.select(F.least("pivot", "member").alias("a"), F.greatest("pivot", "member").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    rest = rest.select(F.col("a").alias("pivot"), F.col("b").alias("member"))
-    labels = components(edges.unionByName(written(_verified(rest, docs, least), "edges")))
+    texts = written(docs.join(degrees.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]), "texts")
+    pivots = shared.join(degrees, "doc_id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("low"))).alias("top")).select("bucket", (-F.col("top.low")).alias("pivot"))
+    star = shared.join(pivots, "bucket").where("doc_id <> pivot").select("pivot", F.col("doc_id").alias("member")).distinct()
+    edges = written(_verified(star, texts, least), "edges")
+    labelled = shared.join(components(edges), F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    several = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
+    across = written(_across(written(labelled.join(several, "bucket"), "open"), texts, least), "edges")
+    labels = components(edges.unionByName(across))
     out = members.join(labels, members.representative == labels.node, "left").select("doc_id", "representative", F.coalesce("root", "representative").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 

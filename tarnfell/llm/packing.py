@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import id_type, unclashed, written
+from .words import give_back
 
 #: Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -93,6 +94,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id:
                         length.append(n)
                         crc.append(zlib.crc32(ids[s : s + n].tobytes()))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return unclashed(docs, doc_id, text).mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,6 +71,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         state = found
 
 
+def spanning_roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of n nodes reaches over edges (i, j)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def id_type(df: DataFrame, name: str = "doc_id") -> str:
     kind = df.schema[name].dataType
     return kind.simpleString() if isinstance(kind, T.DataType) else "bigint"

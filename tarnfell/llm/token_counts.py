@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import id_type, unclashed
-from .words import text_buffers
+from .words import give_back, text_buffers
 
 #: Fixed value: the split pattern under which a token never spans white space.
 SPACELESS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -145,5 +145,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk_
                 got = counter.many([t or "" for t in part.column(1).to_pylist()])
                 tokens, chunks, widened = (pa.array([g[i] for g in got], pa.int64()) for i in range(3))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), tokens, pa.array(np.array([g[0] > limit for g in got], bool)), chunks, widened], ["doc_id", "n_bytes", "n_tokens", "over_limit", "n_chunks", "n_widened"])
+        counter.known.clear()
+        give_back()
 
     return unclashed(docs, doc_id, text).mapInArrow(count, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, n_chunks bigint, n_widened bigint")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, id_type, unclashed, written
+from .shared import components, id_type, spanning_roots, unclashed, written
 
 TILE = 4096
 BLOCK = 1024
@@ -96,20 +96,6 @@ def compare(a: np.ndarray, b: np.ndarray, least: float, same: bool) -> tuple[np.
     return np.concatenate(out_i or [np.zeros(0, int)]), np.concatenate(out_j or [np.zeros(0, int)])
 
 
-def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """The smallest node that each of n nodes reaches over edges (i, j)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def linked_vectors(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
@@ -221,7 +207,7 @@ def _linked(vectors: DataFrame, dims: int, least: float, kind: str) -> DataFrame
                 order = np.argsort(np.array(both), kind="stable")
                 rank = np.empty(len(both), np.int64)
                 rank[order] = np.arange(len(both))
-                root = order[_roots(rank[i], rank[j + shift], len(both))][rank]
+                root = order[spanning_roots(rank[i], rank[j + shift], len(both))][rank]
                 some = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([both[k] for k in some], batch.schema.field("ids").type.value_type), pa.array(counts[some].astype(np.int64)), pa.array([both[root[k]] for k in some], batch.schema.field("ids").type.value_type)], ["vec_id", "n", "root"])
 

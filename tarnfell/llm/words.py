@@ -7,6 +7,9 @@ same step over word hashes. The cost per byte does not depend on k. All arithmet
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,6 +65,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data is not None and len(data) else np.zeros(0, np.uint8)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker that waits for its next task holds on to it otherwise, beside the workers of other stages."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, column: str = "text", size: int = SLICE_BYTES, rows: int = 4000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut batches into (batch, bytes, offsets from 0) of at most size bytes and rows rows, one row at least."""
     for batch in batches:
@@ -71,6 +83,7 @@ def slices(batches, column: str = "text", size: int = SLICE_BYTES, rows: int = 4
             j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1), i + rows, n)
             yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             i = j
+    give_back()
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
