@@ -55,16 +55,15 @@ class Detector:
     margin: float | None
 
 
-def _placed(text: Column, hits: Column, pattern: str) -> Column:
-    """array<struct<start, end, value, before, after>> in code points, from the lengths of the matches and of the gaps between them. The running sum
-    goes by blocks, so that a text with very many matches stays cheap."""
-    gaps = F.split(text, pattern, -1)
+def _placed(hits: Column, gaps: Column) -> Column:
+    """Matches beside the gaps around them: array<struct<h, before, after, g>>, null without a match."""
     n = F.size(hits)
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(hits, i).alias("h"), F.substring(F.get(gaps, i), -24, 24).alias("before"), F.substring(F.get(gaps, i + 1), 1, 12).alias("after"), F.length(F.get(gaps, i)).alias("g")))
-    return F.when(n > 0, pairs)
+    one = lambda i: F.struct(F.get(hits, i).alias("h"), F.substring(F.get(gaps, i), -24, 24).alias("before"), F.substring(F.get(gaps, i + 1), 1, 12).alias("after"), F.length(F.get(gaps, i)).alias("g"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one))
 
 
 def _positions(pairs: Column) -> Column:
+    """array<struct<start, end, value, before, after>> in code points. The running sum goes by blocks, so that a text with very many matches stays cheap."""
     n = F.size(pairs)
     zero = F.lit(0)
     step = lambda acc, p: acc + p["g"] + F.length(p["h"])
@@ -134,9 +133,10 @@ def _guard(text: Column, name: str) -> Column:
 def _with_spans(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     """Adds column span_<name> for every pattern. Steps are columns of their own, so that each is computed once."""
     rows = rows.withColumns({f"hits_{k}": F.when(_guard(F.col("body"), k), F.regexp_extract_all("body", F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")) for k, p in names.items()})
-    rows = rows.withColumns({f"pairs_{k}": _placed(F.col("body"), F.col(f"hits_{k}"), p) for k, p in names.items()})
+    rows = rows.withColumns({f"gaps_{k}": F.when(F.size(f"hits_{k}") > 0, F.split("body", p, -1)) for k, p in names.items()})
+    rows = rows.withColumns({f"pairs_{k}": _placed(F.col(f"hits_{k}"), F.col(f"gaps_{k}")) for k in names})
     rows = rows.withColumns({f"span_{k}": _positions(F.col(f"pairs_{k}")) for k in names})
-    return rows.drop(*[f"hits_{k}" for k in names], *[f"pairs_{k}" for k in names])
+    return rows.drop(*[f"{c}_{k}" for c in ("hits", "gaps", "pairs") for k in names])
 
 
 def _based(rows: DataFrame) -> DataFrame:
