@@ -12,7 +12,7 @@ WORD = r"[\p{L}\p{N}_]+"
 #: A default token: a word or a single other sign.
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 #: Every line break of the Unicode standard, CR LF as one.
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def col(c: Column | str) -> Column:
