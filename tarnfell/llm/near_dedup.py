@@ -56,7 +56,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def signatures(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, rows: int, size: int) -> np.ndarray:
-    """(rows, size): for each component the shingle of its first arrival."""
+    """(rows, size): for each component the shingle of its first arrival. 11 bits choose the component, so size is 2048 at most."""
+    if size > 2048:
+        raise ValueError("a signature has 2048 components at most")
     first, kept = np.full(rows * size, np.inf), np.zeros(rows * size, np.uint64)
     limit = np.full(rows, np.inf)
     time, weight, seed = np.zeros(len(row)), count.astype(float), mix(shingle + np.uint64(1))

@@ -30,8 +30,11 @@ def bag(text):
 
 
 def jp(x, y):
-    every = x.keys() | y.keys()
-    return sum(1 / sum(max(x[e] / x[d], y[e] / y[d]) for e in every) for d in x.keys() & y.keys())
+    """By the definition, but each distinct ratio of counts is summed once."""
+    every, ratios = x.keys() | y.keys(), collections.defaultdict(float)
+    for d in x.keys() & y.keys():
+        ratios[x[d] / y[d]] += x[d]
+    return sum(v / sum(max(x[e], y[e] * r) for e in every) for r, v in ratios.items())
 
 
 def test_near_duplicates(spark, folder, texts):
@@ -50,19 +53,21 @@ def test_near_duplicates(spark, folder, texts):
 
 
 def test_probability_jaccard():
+    """Against the definition, term by term."""
+    slow = lambda x, y: sum(1 / sum(max(x[e] / x[d], y[e] / y[d]) for e in x.keys() | y.keys()) for d in x.keys() & y.keys())
     rng = np.random.default_rng(1)
     for _ in range(30):
         x, y = (collections.Counter(rng.integers(0, 12, 20).tolist()) for _ in range(2))
         one = lambda c: (np.array(sorted(c)), np.array([c[k] for k in sorted(c)]))
-        assert abs(near_dedup.probability_jaccard(*one(x), *one(y)) - jp(x, y)) < 1e-12
+        assert abs(near_dedup.probability_jaccard(*one(x), *one(y)) - slow(x, y)) < 1e-12
 
 
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     x, y = (collections.Counter((rng.integers(0, 60, 150) + s).tolist()) for s in (0, 12))
-    size = 4096
+    size = 2048
     s = [near_dedup.signatures(np.zeros(len(c), np.int64), np.array(sorted(c), np.uint64), np.array([c[k] for k in sorted(c)]), 1, size)[0] for c in (x, y)]
-    assert abs((s[0] == s[1]).mean() - jp(x, y)) < 0.04
+    assert abs((s[0] == s[1]).mean() - jp(x, y)) < 0.05
 
 
 def test_substring_dedup(spark, folder, texts):
