@@ -203,7 +203,8 @@ def train_detector(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, precision:
     own = unclashed(docs, "doc_id", "text")
     chosen = own.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).distinct()
     rows = own.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
-    found = _candidates(_based(rows)).select("doc_id", F.inline("candidates"))
+    # outer: Spark would else infer a filter from the generator and push it, with all patterns, below every step
+    found = _candidates(_based(rows)).select("doc_id", F.inline_outer("candidates")).where("kind is not null")
     named = (F.col("kind") == "secret") & (F.col("after_assign") == 1) & (F.col("says_secret") == 1)
     found = found.select((F.col("covered") | named).cast("int").alias("label"), *FEATURES, F.xxhash64("doc_id", "start").alias("turn")).orderBy("turn", *FEATURES).limit(5 * documents).collect()
     y = np.array([r["label"] for r in found], np.int64)
