@@ -34,7 +34,8 @@ class LexicalIndex:
 def build_postings(chunks: DataFrame) -> DataFrame:
     """term, chunk_id, tf, dl. Counted where the chunk is read; the exchange carries one row for each term and chunk."""
     words = chunks.select("chunk_id", tokens(searchable_text(chunks)).alias("terms"))
-    each = words.select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    # outer: Spark would else infer a filter on the tokens and tokenize every text twice
+    each = words.select("chunk_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).where("term is not null")
     return each.groupBy("chunk_id", "dl", "term").agg(F.count("*").cast("int").alias("tf")).select("term", "chunk_id", "tf", "dl")
 
 
