@@ -61,12 +61,12 @@ def invalid_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given.answers(spark, sf_dir).select("question_id", F.array_join(verify.invalid_citations("answer", "n_blocks"), " ").alias("invalid"))
 
 
-@query(with_sql("""SELECT h.question_id, h.chunk_id, h.rank AS context FROM hits h JOIN cited c USING (question_id) WHERE c.status <> 'no_evidence' AND (c.status <> 'verified' OR len(list_filter(numbers, lambda n: CAST(n AS INT) BETWEEN 1 AND 4)) = 0 OR list_contains(list_transform(numbers, lambda n: CAST(n AS INT)), h.rank))""", ANSWERS_SQL, CITED, HITS_SQL))
+@query(with_sql("""SELECT h.question_id, h.chunk_id, CAST(h.rank AS INT) AS context FROM hits h JOIN cited c USING (question_id) WHERE c.status <> 'no_evidence' AND (c.status <> 'verified' OR len(list_filter(numbers, lambda n: CAST(n AS INT) BETWEEN 1 AND 4)) = 0 OR list_contains(list_transform(numbers, lambda n: CAST(n AS INT)), h.rank))""", ANSWERS_SQL, CITED, HITS_SQL))
 def cited_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.cited_sources(given.answers(spark, sf_dir).select("question_id", "answer", "status"), given.hits(spark, sf_dir).withColumnRenamed("rank", "place")).select("question_id", "chunk_id", "context")
 
 
-@query(with_sql("SELECT h.question_id, h.rank AS context, c.document_id, 'path/' || c.document_id AS relative_path, c.file_name, round_even(h.score, 4) AS score, substr(regexp_replace(c.text, '^\\s+|\\s+$', '', 'g'), 1, 240) || CASE WHEN length(regexp_replace(c.text, '^\\s+|\\s+$', '', 'g')) > 240 THEN '...' ELSE '' END AS snippet FROM hits h JOIN chunks c USING (chunk_id)", HITS_SQL, CHUNKS_SQL))
+@query(with_sql("SELECT h.question_id, CAST(h.rank AS INT) AS context, c.document_id, 'path/' || c.document_id AS relative_path, c.file_name, round_even(h.score, 4) AS score, substr(regexp_replace(c.text, '^\\s+|\\s+$', '', 'g'), 1, 240) || CASE WHEN length(regexp_replace(c.text, '^\\s+|\\s+$', '', 'g')) > 240 THEN '...' ELSE '' END AS snippet FROM hits h JOIN chunks c USING (chunk_id)", HITS_SQL, CHUNKS_SQL))
 def source_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = given.doc_chunks(spark, sf_dir)
     paths = rows.select("document_id", F.concat(F.lit("path/"), F.col("document_id")).alias("relative_path")).distinct()
