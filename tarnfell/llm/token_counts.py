@@ -4,7 +4,7 @@ A text longer than chunk_chars is never encoded in one go: chunks that overlap t
 neighbours are spliced at a boundary inside the overlap that is proven stable: on both sides of it the encodings agree on several tokens
 (same place, same id), and it lies behind white space, where this kind of tokenizer always cuts. Where no such boundary exists the
 overlap is doubled, in the end to the whole text. Shorter texts are encoded whole; if the tokenizer's file proves that no token spans
-white space, their white-space pieces are encoded each by itself and a task remembers the counts of pieces it has met.
+white space, their white-space pieces are encoded each by itself and a worker remembers the counts of pieces it has met.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from .words import give_back, text_buffers
 
 #: Fixed value: the split pattern under which a token never spans white space.
 SPACELESS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Pieces whose counts a task remembers at most; the memory is emptied when full.
+#: Pieces whose counts a worker remembers at most; the memory is emptied when full.
 MEMORY = 400_000
+#: The memories of this Python worker by tokenizer file; they serve all its tasks.
+_KNOWN: dict[str, dict[str, int]] = {}
 #: Tokens that must agree on either side of a splice.
 AGREE = 4
 
@@ -49,7 +51,7 @@ class Counter:
         self.tokenizer.no_padding()
         self.chunk, self.overlap = chunk_chars, overlap_chars
         self.by_piece = cuts_at_space(path)
-        self.known: dict[str, int] = {"": 0}
+        self.known = _KNOWN.setdefault(path, {"": 0})
 
     def many(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """(tokens, chunks, widened overlaps) of each text."""
@@ -145,7 +147,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk_
                 got = counter.many([t or "" for t in part.column(1).to_pylist()])
                 tokens, chunks, widened = (pa.array([g[i] for g in got], pa.int64()) for i in range(3))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), tokens, pa.array(np.array([g[0] > limit for g in got], bool)), chunks, widened], ["doc_id", "n_bytes", "n_tokens", "over_limit", "n_chunks", "n_widened"])
-        counter.known.clear()
         give_back()
 
     return unclashed(docs, doc_id, text).mapInArrow(count, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, n_chunks bigint, n_widened bigint")
