@@ -10,6 +10,7 @@ white space, their white-space pieces are encoded each by itself and a worker re
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ class Counter:
     """Counts tokens of texts; lives in one task."""
 
     def __init__(self, path: str, chunk_chars: int, overlap_chars: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -67,18 +69,15 @@ class Counter:
                 out[i] = (len(e), 1, 0)
             return out
         known = self.known
-        for i in short:
-            pieces = texts[i].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            try:
-                out[i] = (sum(map(known.__getitem__, pieces)), 1, 0)
-            except KeyError:
-                if len(known) > MEMORY:
-                    known.clear()
-                    known[""] = 0
-                new = list({p for p in pieces if p not in known})
-                for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[p] = len(e)
-                out[i] = (sum(map(known.__getitem__, pieces)), 1, 0)
+        pieces = [texts[i].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for i in short]
+        if len(known) > MEMORY:
+            known.clear()
+            known[""] = 0
+        new = list(set().union(*pieces).difference(known))
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[p] = len(e)
+        for i, own in zip(short, pieces, strict=True):
+            out[i] = (sum(map(known.__getitem__, own)), 1, 0)
         return out
 
     def encode(self, text: str, start: int, end: int) -> np.ndarray:
