@@ -1,9 +1,9 @@
-"""Benchmark decontamination by spaced-seed hashing.
+"""Benchmark decontamination by runs of equal words and verified diagonals.
 
-A seed is a window of SPAN words hashed under a fixed mask that ignores some positions, so that a substituted word need not break every
-seed over it. The seeds of the test items form an index that tasks hold in memory; documents stream past it once. Where a document's seed is
-in the index, the diagonal (document position less item position) is verified: its best-scoring stretch, a point for each equal word and
-MISS_COST off for each substituted one, must have enough equal words.
+A document overlaps with an item if some stretch of a diagonal (document position less item position) has at least needed() equal words, and a
+substituted word for every MISS_COST equal ones at most. Such a stretch always holds shortest_run() equal words in a row, so the runs of that
+length of the test items form an index that tasks hold in memory, and documents stream past it once: no substitution can hide an overlap. What
+the words around a common run can't make an overlap is dropped in bulk; the diagonals that are left are verified one by one.
 
 The index in memory is bounded: items are dealt by hash into as many parts as keep a part under max_words words, and each part is a pass of
 its own over the documents. No row is shuffled.
@@ -17,90 +17,104 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import id_type, unclashed
-from .words import LOWER_VALUES, NOT_WORD, find_words, mix, powers, slices, text_buffers, word_hashes
+from .words import LOWER_VALUES, NOT_WORD, find_words, phrase_hashes, slices, text_buffers, word_hashes
 
-#: Words a seed spans, and the masks (1: the word counts).
-SPAN = 12
-MASKS = ("111011001011", "110101110011", "101110011101", "110011010111")
+#: Words of the shortest item, equal words of a stretch for each substituted one, and the share of a short item that must be equal.
+SHORTEST = 12
 MISS_COST = 4
-_BASE = 0xA24BAED4963EE407
-
-
-def seeds(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(masks, n) seed hashes from each word on, and whether the window lies in one row."""
-    n = len(words) - SPAN + 1
-    if n <= 0:
-        return np.zeros((len(MASKS), 0), np.uint64), np.zeros(0, bool)
-    q = powers(_BASE, SPAN)
-    out = np.zeros((len(MASKS), n), np.uint64)
-    for j in range(SPAN):
-        term = words[j : j + n] * q[j]
-        for m, mask in enumerate(MASKS):
-            if mask[j] == "1":
-                out[m] += term
-    for m in range(len(MASKS)):
-        out[m] = mix(out[m] + np.uint64(m + 1))
-    return out, rows[:n] == rows[SPAN - 1 :]
+SHARE = (5, 6)
+#: Common runs that are looked at together.
+_BLOCK = 1 << 13
+
+
+def needed(n_words, least: int):
+    """Equal words that an overlap with an item of n_words words must have: least, or for short items SHARE of the words."""
+    return np.minimum(least, -(-n_words * SHARE[0] // SHARE[1]))
+
+
+def shortest_run(least: int) -> int:
+    """Equal words in a row that every overlap holds: m substituted words part its equal words, MISS_COST * m at least, into m + 1 runs."""
+    run = MISS_COST
+    for n in range(SHORTEST, 2 * max(least, SHORTEST) + 1):
+        for m in range(n // MISS_COST):
+            equal = max(int(needed(n, least)), MISS_COST * m, 1)
+            if equal + m <= n:
+                run = min(run, -(-equal // (m + 1)))
+    return run
+
+
+def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
+    """Start, end and equal words of the stretch with most equal words among those with MISS_COST equal words for each other one."""
+    sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISS_COST))])
+    equal = np.concatenate([[0], np.cumsum(same)])
+    start = np.searchsorted(-np.minimum.accumulate(sums), -sums, "left")  # the first place that is not above the end
+    end = int((equal - equal[start]).argmax())
+    at = int(start[end])
+    return at + int(same[at:end].argmax()) if end > at else at, end, int(equal[end] - equal[at])
 
 
 class Index:
-    """Seeds of some test items, sorted, behind a bit table that most documents' seeds fail."""
+    """Runs of some test items, sorted, behind a bit table that most documents' runs fail."""
 
-    def __init__(self, ids: list, texts: list):
+    def __init__(self, ids: list, texts: list, least: int):
         offsets, data = text_buffers(pa.array([t or "" for t in texts], pa.large_string()))
         ws, we, rows = find_words(data, offsets, NOT_WORD)
-        words = word_hashes(data, ws, we, LOWER_VALUES)
+        self.words = word_hashes(data, ws, we, LOWER_VALUES)
         self.ids = ids
-        first = np.searchsorted(rows, np.arange(len(ids) + 1))
-        self.items = [words[first[i] : first[i + 1]] for i in range(len(ids))]
-        h, whole = seeds(words, rows)
-        at = np.tile(np.flatnonzero(whole), len(MASKS))
-        flat = h[:, whole].ravel()
-        order = np.argsort(flat, kind="stable")
-        self.hashes, at = flat[order], at[order]
-        self.item, self.place = rows[at], at - first[rows[at]]
-        self.bits = max(16, int(len(flat)).bit_length() + 5)
+        self.first = np.searchsorted(rows, np.arange(len(ids) + 1))
+        self.need = needed(np.diff(self.first), least)
+        self.run, self.rows = shortest_run(least), rows
+        h, whole = phrase_hashes(self.words, rows, self.run)
+        at = np.flatnonzero(whole & (np.diff(self.first)[rows[: len(h)]] >= SHORTEST))
+        order = np.argsort(h[at], kind="stable")
+        self.at = at[order]
+        self.hashes = h[self.at]
+        # An overlap with 2 * least equal words or more can be halved into two, one of which is an overlap itself.
+        self.reach = 2 * least + 2 * least // MISS_COST
+        self.bits = max(16, int(len(at)).bit_length() + 5)
         self.table = np.zeros(1 << (self.bits - 3), np.uint8)
         slot = self.hashes >> np.uint64(64 - self.bits)
         np.bitwise_or.at(self.table, slot >> np.uint64(3), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
 
-    def hits(self, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Distinct (row, item, word of the row where the item's first word would stand)."""
-        h, whole = seeds(words, rows)
-        first = np.searchsorted(rows, rows) if len(rows) else rows
-        found = []
-        for m in range(len(MASKS)):
-            slot = h[m] >> np.uint64(64 - self.bits)
-            maybe = np.flatnonzero((self.table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 & whole)
-            low = np.searchsorted(self.hashes, h[m][maybe], "left")
-            n = np.searchsorted(self.hashes, h[m][maybe], "right") - low
-            at = np.repeat(maybe, n)
-            entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            found.append(np.stack([rows[at], self.item[entry], at - first[at] - self.place[entry]], 1))
+    def hits(self, words: np.ndarray, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Distinct (row, item, word of the row where the item's first word would stand) with enough equal words around a common run."""
+        h, whole = phrase_hashes(words, rows, self.run)
+        slot = h >> np.uint64(64 - self.bits)
+        maybe = np.flatnonzero((self.table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 & whole)
+        low = np.searchsorted(self.hashes, h[maybe], "left")
+        n = np.searchsorted(self.hashes, h[maybe], "right") - low
+        ends = np.cumsum(n)
+        found = [np.zeros((0, 3), np.int64)]
+        step = np.arange(-self.reach, self.reach)
+        block = max(1, _BLOCK * 64 // len(step))
+        for i in range(0, int(n.sum()), block):
+            each = np.arange(i, min(i + block, ends[-1]))
+            k = np.searchsorted(ends, each, "right")
+            here, there = maybe[k], self.at[low[k] + each - ends[k] + n[k]]
+            row, item = rows[here], self.rows[there]
+            lo = np.maximum(first[row] - here, self.first[item] - there)
+            hi = np.minimum(first[row + 1] - here, self.first[item + 1] - there)
+            same = words[np.clip(here[:, None] + step, 0, len(words) - 1)] == self.words[np.clip(there[:, None] + step, 0, len(self.words) - 1)]
+            good = (same & (step >= lo[:, None]) & (step < hi[:, None])).sum(1) >= self.need[item]
+            found.append(np.unique(np.stack([row, item, here - first[row] - there + self.first[item]], 1)[good], axis=0))
         return np.unique(np.concatenate(found), axis=0)
 
-    def overlaps(self, data: np.ndarray, offsets: np.ndarray, least: int) -> list[tuple[int, int, int, int, int, int]]:
+    def overlaps(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item, first word in the row, first word in the item, words, equal words) of every verified overlap."""
         ws, we, rows = find_words(data, offsets, NOT_WORD)
         words = word_hashes(data, ws, we, LOWER_VALUES)
         out = []
-        hits = self.hits(words, rows)
         first = np.searchsorted(rows, np.arange(len(offsets)))
-        for row, item, diagonal in hits.tolist():
-            theirs, own = self.items[item], words[first[row] : first[row + 1]]
+        for row, item, diagonal in self.hits(words, rows, first).tolist():
+            theirs, own = self.words[self.first[item] : self.first[item + 1]], words[first[row] : first[row + 1]]
             a, b = max(0, -diagonal), min(len(theirs), len(own) - diagonal)
-            same = theirs[a:b] == own[a + diagonal : b + diagonal]
-            sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISS_COST))])
-            low = np.minimum.accumulate(sums)
-            end = int((sums - low).argmax())
-            start = int(sums[: end + 1].argmin())
-            equal = int(same[start:end].sum())
-            if equal >= min(least, len(theirs)):
+            start, end, equal = best_stretch(theirs[a:b] == own[a + diagonal : b + diagonal])
+            if equal >= self.need[item]:
                 out.append((row, item, a + start + diagonal, a + start, end - start, equal))
         return out
 
 
-def _passes(benchmark: DataFrame, max_words: int, item_id: str, text: str) -> list:
+def _passes(benchmark: DataFrame, least: int, max_words: int, item_id: str, text: str) -> list:
     """The items in broadcast parts of about max_words words at most; the part's share is proven by counting words first."""
     spark = benchmark.sparkSession
     items = unclashed(benchmark, item_id, text).toDF("item_id", "text").where("text is not null")
@@ -108,14 +122,15 @@ def _passes(benchmark: DataFrame, max_words: int, item_id: str, text: str) -> li
     parts = -(-total // max_words)
     for k in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        yield spark.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows]))
+        yield spark.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows], least))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, max_words: int = 200_000, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """doc_id, item_id, doc_word, item_word, n_words, n_equal: one row for each document, item and diagonal with a verified overlap of at least
-    least equal words (or a whole item of SPAN words at least). Words are compared without ASCII case and punctuation.
+    """doc_id, item_id, doc_word, item_word, n_words, n_equal: one row for each document, item and diagonal with an overlap, by its stretch with most
+    equal words: least of them, or five sixths of the item's words if those are fewer, and at most one substituted word for four equal ones.
+    Every such overlap is found, wherever its substituted words stand. Words are compared without ASCII case and punctuation.
 
-    Null and empty texts and items shorter than SPAN words overlap with nothing; an empty benchmark gives no rows; repeated rows are reported
+    Null and empty texts and items shorter than SHORTEST words overlap with nothing; an empty benchmark gives no rows; repeated rows are reported
     as often as they occur."""
     docs = unclashed(docs, doc_id, text)
     kind, item_kind = id_type(docs, doc_id), benchmark.schema[item_id].dataType
@@ -125,7 +140,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, max_wor
     def search(index):
         def found(batches):
             for part, data, offsets in slices(batches, text):
-                got = index.value.overlaps(data, offsets, least)
+                got = index.value.overlaps(data, offsets)
                 if got:
                     columns = list(zip(*got, strict=True))
                     ids = pa.array([index.value.ids[i] for i in columns[1]])
@@ -133,7 +148,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, max_wor
 
         return found
 
-    for index in _passes(benchmark, max_words, item_id, text):
+    for index in _passes(benchmark, least, max_words, item_id, text):
         out = out.unionByName(docs.mapInArrow(search(index), schema))
     return out
 
@@ -146,11 +161,11 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, least: int = 13, ma
         def kept(batches):
             for part, data, offsets in slices(batches, "text"):
                 keep = np.ones(part.num_rows, bool)
-                keep[[o[0] for o in index.value.overlaps(data, offsets, least)]] = False
+                keep[[o[0] for o in index.value.overlaps(data, offsets)]] = False
                 yield part.filter(pa.array(keep))
 
         return kept
 
-    for index in _passes(benchmark, max_words, "item_id", "text"):
+    for index in _passes(benchmark, least, max_words, "item_id", "text"):
         docs = docs.mapInArrow(clean(index), schema)
     return docs
