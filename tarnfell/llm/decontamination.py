@@ -1,12 +1,11 @@
-"""Benchmark decontamination by runs of equal words and verified diagonals.
-
-A document overlaps with an item if some stretch of a diagonal (document position less item position) has at least needed() equal words, and a
-substituted word for every MISS_COST equal ones at most. Such a stretch always holds shortest_run() equal words in a row, so the runs of that
-length of the test items form an index that tasks hold in memory, and documents stream past it once: no substitution can hide an overlap. What
-the words around a common run can't make an overlap is dropped in bulk; the diagonals that are left are verified one by one.
-
-The index in memory is bounded: items are dealt by hash into as many parts as keep a part under max_words words, and each part is a pass of
-its own over the documents. No row is shuffled.
+"""Benchmark decontamination by spaced seeds and verified diagonals.
+
+A seed looks at two runs of three words and ignores what stands between them; the fixed masks differ in how far the second run is from the first.
+Seeds of all test items and of the documents meet in a join on their hashes, and around every common seed the diagonal (document position less item position) is
+verified word by word. A document overlaps with an item if some stretch of a diagonal has at least needed() equal words and a substituted word for every
+MISS_COST equal ones at most. The masks are lossless for this: whatever words are substituted, every such stretch holds a seed of both sides (a test
+goes through all patterns of substituted words). A document's seeds are looked up in a bit table of the items' seeds before the join, so that what is
+shuffled are the few seeds that may be common; the table's size is bounded, the join decides.
 """
 
 from __future__ import annotations
@@ -15,32 +14,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import id_type, unclashed
-from .words import LOWER_VALUES, NOT_WORD, find_words, phrase_hashes, slices, text_buffers, word_hashes
+from .shared import salted_join, unclashed, written
+from .words import LOWER_VALUES, NOT_WORD, find_words, mix, phrase_hashes, powers, slices, text_buffers, word_hashes
 
-#: Words of the shortest item, equal words of a stretch for each substituted one, and the share of a short item that must be equal.
-SHORTEST = 12
-MISS_COST = 4
-SHARE = (5, 6)
-#: Common runs that are looked at together.
-_BLOCK = 1 << 13
+#: Words in a run of a mask, and words from the start of the first run to that of the second.
+RUN, GAPS = 3, (3, 6, 9, 12, 15)
+#: Equal words of a stretch for each substituted one; the least equal words that the masks are lossless for.
+MISS_COST, LEAST = 4, 13
+#: Share of an item's words that must be equal if those are fewer than the least; items under SHORT words must be there whole, and items
+#: under RUN + GAPS[0] words overlap with a document of just these words only.
+SHARE, SHORT = (5, 6), 12
+#: The bit table has 2 ** TABLE_BITS bits at most (8 MiB); up to BROADCAST seeds (24 bytes each) are sent to every executor, more are joined by shuffle.
+TABLE_BITS, BROADCAST = 26, 1_000_000
 
 
 def needed(n_words, least: int):
-    """Equal words that an overlap with an item of n_words words must have: least, or for short items SHARE of the words."""
-    return np.minimum(least, -(-n_words * SHARE[0] // SHARE[1]))
-
-
-def shortest_run(least: int) -> int:
-    """Equal words in a row that every overlap holds: m substituted words part its equal words, MISS_COST * m at least, into m + 1 runs."""
-    run = MISS_COST
-    for n in range(SHORTEST, 2 * max(least, SHORTEST) + 1):
-        for m in range(n // MISS_COST):
-            equal = max(int(needed(n, least)), MISS_COST * m, 1)
-            if equal + m <= n:
-                run = min(run, -(-equal // (m + 1)))
-    return run
+    """Equal words that an overlap with an item of n_words words must have."""
+    return np.where(n_words < SHORT, n_words, np.minimum(least, -(-n_words * SHARE[0] // SHARE[1])))
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
@@ -53,119 +45,154 @@ def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
     return at + int(same[at:end].argmax()) if end > at else at, end, int(equal[end] - equal[at])
 
 
-class Index:
-    """Runs of some test items, sorted, behind a bit table that most documents' runs fail."""
-
-    def __init__(self, ids: list, texts: list, least: int):
-        offsets, data = text_buffers(pa.array([t or "" for t in texts], pa.large_string()))
-        ws, we, rows = find_words(data, offsets, NOT_WORD)
-        self.words = word_hashes(data, ws, we, LOWER_VALUES)
-        self.ids = ids
-        self.first = np.searchsorted(rows, np.arange(len(ids) + 1))
-        self.need = needed(np.diff(self.first), least)
-        self.run, self.rows = shortest_run(least), rows
-        h, whole = phrase_hashes(self.words, rows, self.run)
-        at = np.flatnonzero(whole & (np.diff(self.first)[rows[: len(h)]] >= SHORTEST))
-        order = np.argsort(h[at], kind="stable")
-        self.at = at[order]
-        self.hashes = h[self.at]
-        # An overlap with 2 * least equal words or more can be halved into two, one of which is an overlap itself.
-        self.reach = 2 * least + 2 * least // MISS_COST
-        self.bits = max(16, int(len(at)).bit_length() + 5)
-        self.table = np.zeros(1 << (self.bits - 3), np.uint8)
-        slot = self.hashes >> np.uint64(64 - self.bits)
-        np.bitwise_or.at(self.table, slot >> np.uint64(3), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
-
-    def hits(self, words: np.ndarray, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Distinct (row, item, word of the row where the item's first word would stand) with enough equal words around a common run."""
-        h, whole = phrase_hashes(words, rows, self.run)
-        slot = h >> np.uint64(64 - self.bits)
-        maybe = np.flatnonzero((self.table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 & whole)
-        low = np.searchsorted(self.hashes, h[maybe], "left")
-        n = np.searchsorted(self.hashes, h[maybe], "right") - low
-        ends = np.cumsum(n)
-        found = [np.zeros((0, 3), np.int64)]
-        step = np.arange(-self.reach, self.reach)
-        block = max(1, _BLOCK * 64 // len(step))
-        for i in range(0, int(n.sum()), block):
-            each = np.arange(i, min(i + block, ends[-1]))
-            k = np.searchsorted(ends, each, "right")
-            here, there = maybe[k], self.at[low[k] + each - ends[k] + n[k]]
-            row, item = rows[here], self.rows[there]
-            lo = np.maximum(first[row] - here, self.first[item] - there)
-            hi = np.minimum(first[row + 1] - here, self.first[item + 1] - there)
-            same = words[np.clip(here[:, None] + step, 0, len(words) - 1)] == self.words[np.clip(there[:, None] + step, 0, len(self.words) - 1)]
-            good = (same & (step >= lo[:, None]) & (step < hi[:, None])).sum(1) >= self.need[item]
-            found.append(np.unique(np.stack([row, item, here - first[row] - there + self.first[item]], 1)[good], axis=0))
-        return np.unique(np.concatenate(found), axis=0)
-
-    def overlaps(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-        """(row, item, first word in the row, first word in the item, words, equal words) of every verified overlap."""
-        ws, we, rows = find_words(data, offsets, NOT_WORD)
-        words = word_hashes(data, ws, we, LOWER_VALUES)
-        out = []
-        first = np.searchsorted(rows, np.arange(len(offsets)))
-        for row, item, diagonal in self.hits(words, rows, first).tolist():
-            theirs, own = self.words[self.first[item] : self.first[item + 1]], words[first[row] : first[row + 1]]
-            a, b = max(0, -diagonal), min(len(theirs), len(own) - diagonal)
-            start, end, equal = best_stretch(theirs[a:b] == own[a + diagonal : b + diagonal])
-            if equal >= self.need[item]:
-                out.append((row, item, a + start + diagonal, a + start, end - start, equal))
-        return out
-
-
-def _passes(benchmark: DataFrame, least: int, max_words: int, item_id: str, text: str) -> list:
-    """The items in broadcast parts of about max_words words at most; the part's share is proven by counting words first."""
-    spark = benchmark.sparkSession
-    items = unclashed(benchmark, item_id, text).toDF("item_id", "text").where("text is not null")
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    parts = -(-total // max_words)
-    for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        yield spark.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows], least))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, max_words: int = 200_000, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """doc_id, item_id, doc_word, item_word, n_words, n_equal: one row for each document, item and diagonal with an overlap, by its stretch with most
-    equal words: least of them, or five sixths of the item's words if those are fewer, and at most one substituted word for four equal ones.
-    Every such overlap is found, wherever its substituted words stand. Words are compared without ASCII case and punctuation.
-
-    Null and empty texts and items shorter than SHORTEST words overlap with nothing; an empty benchmark gives no rows; repeated rows are reported
-    as often as they occur."""
-    docs = unclashed(docs, doc_id, text)
-    kind, item_kind = id_type(docs, doc_id), benchmark.schema[item_id].dataType
-    schema = f"doc_id {kind}, item_id {item_kind.simpleString()}, doc_word bigint, item_word bigint, n_words bigint, n_equal bigint"
-    out = docs.sparkSession.createDataFrame([], schema)
+def seeds(words: np.ndarray, rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and word of every seed, words being numbered over all rows, in order of the words. A row of few words has one seed, all its words."""
+    at, hashes = [], []
+    h, _ = phrase_hashes(words, rows, RUN)
+    for g in GAPS:
+        n = len(h) - g
+        if n > 0:
+            whole = np.flatnonzero(rows[:n] == rows[g + RUN - 1 : g + RUN - 1 + n])
+            at.append(whole)
+            hashes.append(mix(h[whole] + mix(h[whole + g] + np.uint64(g))))
+    sizes = np.diff(first)
+    for i in np.flatnonzero((sizes > 0) & (sizes < RUN + GAPS[0])):
+        own = words[first[i] : first[i + 1]]
+        at.append(first[i : i + 1])
+        hashes.append(mix((own * powers(0x9FB21C651E98DF25, len(own))).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own) << 32)))
+    if not at:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at, hashes = np.concatenate(at), np.concatenate(hashes)
+    order = np.argsort(at, kind="stable")
+    return hashes[order], at[order]
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, their rows, and the first word of each row."""
+    ws, we, rows = find_words(data, offsets, NOT_WORD)
+    return word_hashes(data, ws, we, LOWER_VALUES), rows, np.searchsorted(rows, np.arange(len(offsets)))
+
+
+def _item_seeds(batches):
+    for part, data, offsets in slices(batches):
+        words, rows, first = _words(data, offsets)
+        h, at = seeds(words, rows, first)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(pa.array(rows[at])), pa.array((at - first[rows[at]]).astype(np.int32))], ["hash", "item", "item_place"])
+
+
+class Benchmark:
+    """The items (item, item_id, text) and their seeds (hash, item, item_place) as tables, and the bit table of the seeds. What reaches the driver is bounded by TABLE_BITS."""
+
+    def __init__(self, benchmark: DataFrame, least: int, item_id: str, text: str):
+        if least < LEAST:
+            raise ValueError(f"the masks find every overlap of {LEAST} equal words or more, not of {least}")
+        spark = benchmark.sparkSession
+        items = unclashed(benchmark, item_id, text).toDF("item_id", "text").where("text is not null")
+        self.least = least
+        self.items = written(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")
+        self.seeds = written(self.items.select("item", "text").mapInArrow(_item_seeds, "hash bigint, item bigint, item_place int"), "seeds")
+        self.n_seeds = self.seeds.count()
+        self.bits = min(max(16, self.n_seeds.bit_length() + 5), TABLE_BITS)
+        slot = F.shiftrightunsigned("hash", 64 - self.bits)
+        cells = self.seeds.select(F.shiftright(slot, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+        cells = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+        table = np.zeros(1 << (self.bits - 6), np.int64)
+        table[np.asarray(cells["cell"])] = np.asarray(cells["bits"])
+        self.table = spark.sparkContext.broadcast(table.view(np.uint8))
+
+    def looked(self, docs: DataFrame, text: str) -> DataFrame:
+        """row, own (the row of docs), hits: the rows with seeds that may be an item's; written."""
+        table, bits = self.table, self.bits
 
-    def search(index):
         def found(batches):
             for part, data, offsets in slices(batches, text):
-                got = index.value.overlaps(data, offsets)
-                if got:
-                    columns = list(zip(*got, strict=True))
-                    ids = pa.array([index.value.ids[i] for i in columns[1]])
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(columns[0], pa.int64())), ids, *(pa.array(c, pa.int64()) for c in columns[2:])], ["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_equal"])
-
-        return found
-
-    for index in _passes(benchmark, least, max_words, item_id, text):
-        out = out.unionByName(docs.mapInArrow(search(index), schema))
-    return out
-
-
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, least: int = 13, max_words: int = 200_000) -> DataFrame:
-    """The rows of docs that overlap with no item, all columns as they are; narrow, one pass for each part of the benchmark."""
-    schema = docs.schema
-
-    def clean(index):
-        def kept(batches):
-            for part, data, offsets in slices(batches, "text"):
+                words, rows, first = _words(data, offsets)
+                h, at = _maybe(words, rows, first, table.value, bits)
+                owner = rows[at]
+                some = np.unique(owner)
+                ends = np.append(np.searchsorted(owner, some), len(owner)).astype(np.int32)
+                hits = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array((at - first[owner]).astype(np.int32))], ["hash", "place"])
+                kept = part.take(pa.array(some))
+                own = pa.StructArray.from_arrays(kept.columns, fields=list(kept.schema))
+                yield pa.RecordBatch.from_arrays([own, pa.ListArray.from_arrays(pa.array(ends), hits)], ["own", "hits"])
+
+        hits = T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("place", T.IntegerType())]))
+        rows = docs.mapInArrow(found, T.StructType([T.StructField("own", docs.schema), T.StructField("hits", hits)]))
+        return written(rows.withColumn("row", F.monotonically_increasing_id()), "looked")
+
+    def unlike(self, docs: DataFrame, text: str) -> DataFrame:
+        """The rows of docs that share no seed with an item; narrow."""
+        table, bits = self.table, self.bits
+
+        def clean(batches):
+            for part, data, offsets in slices(batches, text):
+                words, rows, first = _words(data, offsets)
                 keep = np.ones(part.num_rows, bool)
-                keep[[o[0] for o in index.value.overlaps(data, offsets)]] = False
+                keep[rows[_maybe(words, rows, first, table.value, bits)[1]]] = False
                 yield part.filter(pa.array(keep))
 
-        return kept
-
-    for index in _passes(benchmark, least, max_words, "item_id", "text"):
-        docs = docs.mapInArrow(clean(index), schema)
-    return docs
+        return docs.mapInArrow(clean, docs.schema)
+
+    def overlaps(self, looked: DataFrame, text: str) -> DataFrame:
+        """row, item, doc_word, item_word, n_words, n_equal of every verified overlap of looked() rows."""
+        hits = looked.select("row", F.inline("hits"))
+        joined = hits.join(F.broadcast(self.seeds), "hash") if self.n_seeds <= BROADCAST else salted_join(hits, self.seeds, ["hash"], "row")
+        pairs = joined.select("row", "item", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
+        # diagonals of one text and item: fewer than both have words
+        wanted = pairs.groupBy("row", "item").agg(F.sort_array(F.collect_list("diagonal")).alias("diagonals"))
+        rows = wanted.join(looked.select("row", F.col(f"own.`{text}`").alias("text")), "row").join(self.items.select("item", F.col("text").alias("item_text")), "item")
+        least = self.least
+
+        def verified(batches):
+            for part, data, offsets in slices(batches):
+                words, _, first = _words(data, offsets)
+                ends, data = text_buffers(part.column("item_text"))
+                theirs, _, start = _words(data[ends[0] : ends[-1]], ends - ends[0])
+                need = needed(np.diff(start), least)
+                out = []
+                for i, diagonals in enumerate(part.column("diagonals").to_pylist()):
+                    own, item = words[first[i] : first[i + 1]], theirs[start[i] : start[i + 1]]
+                    if len(item) < RUN + GAPS[0] and len(item) != len(own):
+                        continue
+                    for d in diagonals:
+                        a, b = max(0, -d), min(len(item), len(own) - d)
+                        low, high, equal = best_stretch(item[a:b] == own[a + d : b + d])
+                        if equal >= need[i]:
+                            out.append((i, a + low + d, a + low, high - low, equal))
+                columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] or [pa.array([], pa.int64())] * 5
+                yield pa.RecordBatch.from_arrays([part.column(c).take(columns[0]) for c in ("row", "item")] + columns[1:], ["row", "item", "doc_word", "item_word", "n_words", "n_equal"])
+
+        return rows.select("row", "item", "text", "item_text", "diagonals").mapInArrow(verified, "row bigint, item bigint, doc_word bigint, item_word bigint, n_words bigint, n_equal bigint")
+
+
+def _maybe(words: np.ndarray, rows: np.ndarray, first: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds whose bit is set."""
+    h, at = seeds(words, rows, first)
+    slot = h >> np.uint64(64 - bits)
+    maybe = np.flatnonzero((table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
+    return h[maybe], at[maybe]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
+    """doc_id, item_id, doc_word, item_word, n_words, n_equal: one row for each document, item and diagonal with an overlap, by its stretch with most
+    equal words: least of them, or five sixths of the item's words if those are fewer, and at most one substituted word for four equal ones. Every such
+    overlap is found, wherever its substituted words stand. Words are compared without ASCII case and punctuation. Items under 12 words must stand in the text
+    whole, items under 6 words be all of it.
+
+    Null and empty texts overlap with nothing; an empty benchmark or table gives no rows; repeated rows of either table are reported as often as they occur, rows
+    without an id under the id null. Texts of any length are searched whole. Of equally good stretches of a diagonal the first counts. Extra columns are left out."""
+    own = unclashed(docs, doc_id, text).toDF("doc_id", "text")
+    bench = Benchmark(benchmark, least, item_id, text)
+    looked = bench.looked(own, "text")
+    found = bench.overlaps(looked, "text").join(looked.select("row", "own.doc_id"), "row").join(bench.items.select("item", "item_id"), "item")
+    return found.select("doc_id", "item_id", "doc_word", "item_word", "n_words", "n_equal")
+
+
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
+    """The rows of docs that overlap with no item, as contaminated() defines it; all columns as they are. Rows without a common seed pass a narrow step and are
+    never shuffled; null texts and repeated rows stay."""
+    bench = Benchmark(benchmark, least, "item_id", "text")
+    looked = bench.looked(docs, "text")
+    bad = bench.overlaps(looked, "text").select("row").distinct()
+    rest = looked.join(bad, "row", "left_anti").select("own.*")
+    return bench.unlike(docs, "text").union(rest)
