@@ -1,36 +1,37 @@
 """Toxicity from gradient-boosted trees over dense features, with isotonic calibration.
 
 Features of a document are densities: words of a fixed lexicon, words of a lexicon learned from labelled documents, insults close to a
-second-person word, capitals, punctuation and obfuscated words (digits or signs inside a word; insults that appear once such signs are
-read as letters). Labelled documents are dealt into three: one learns the lexicon, one the trees, one the calibration.
+second-person word, capitals, punctuation and obfuscated words (digits or signs inside a word; insults that appear only once such signs are
+read as letters). Words are compared in lower case, of all alphabets. Labelled documents are dealt into three: one learns the lexicon, one the trees, one the calibration.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, fit, isotonic
-from .shared import MAX_LABELLED_ROWS, id_type, labelled_sample, unclashed
-from .words import BYTE_VALUES, LOWER_VALUES, NOT_WORD, WHITE_SPACE, find_words, slices, text_buffers, word_hashes
+from .shared import MAX_LABELLED_ROWS, id_type, labelled_sample, unclashed, written
+from .words import BYTE_VALUES, NOT_WORD, WHITE_SPACE, find_words, slices, text_buffers, word_hashes
 
-#: Common insults and second-person words of the corpus' languages.
+#: Common insults and second-person words of the corpus' languages, without those that are common words in another of them.
 INSULTS = """clown disgusting dumb fool garbage hate idiot idiots loser losers moron morons pathetic scum shut stupid trash ugly useless worthless
-arschloch blöd dumm dreck idioten trottel versager widerlich wertlos abruti con crétin dégoûtant imbécile minable ordure pathétique stupide
+arschloch blöd dumm dreck idioten trottel versager widerlich wertlos abruti crétin dégoûtant imbécile minable ordure pathétique stupide
 asqueroso basura estúpido idiota imbécil inútil patético payaso perdedor tonto""".split()
-SECOND_PERSON = "you your you're u ur yourself du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos usted tú ti contigo vosotros".split()
+SECOND_PERSON = "you your you're u ur yourself du dich dir dein deine ihr euch tu te toi ta tes vous votre vos usted tú ti contigo vosotros".split()
 #: Signs read as letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 FEATURES = ("lexicon", "lexicon_words", "learned", "learned_words", "learned_weight", "near_you", "lookalike", "mixed_words", "capitals", "capital_words", "exclaims", "punctuation", "digits", "word_length", "length")
-#: Words of the learned lexicon at most, and labelled documents that must hold each.
-LEARNED_WORDS, LEARNED_DOCUMENTS = 1000, 6
+#: Defaults of the learned lexicon: words at most, toxic labelled documents that must hold each, log odds that it must exceed.
+LEARNED_WORDS, LEARNED_DOCUMENTS, LEARNED_ODDS = 1000, 6, 2.5
 #: Beginnings of words that are learned beside whole words: bytes, salt of their hashes.
 PREFIXES = ((5, 0x5A17), (7, 0xC0DE))
 NEAR = 5
 
-_LOOK_VALUES = LOWER_VALUES.copy()
+_LOOK_VALUES = BYTE_VALUES.copy()
 for _sign, _letter in LOOKALIKES.items():
     _LOOK_VALUES[ord(_sign)] = BYTE_VALUES[ord(_letter)]
 _LOOK_SEPARATORS = NOT_WORD.copy()
@@ -43,6 +44,15 @@ def _hashes(words: list[str]) -> np.ndarray:
     return np.unique(word_hashes(data, offsets[:-1], offsets[1:]))
 
 
+_INSULTS, _YOU = _hashes(INSULTS), _hashes(SECOND_PERSON)
+
+
+def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets from 0 and bytes of the texts in lower case."""
+    offsets, data = text_buffers(pc.utf8_lower(column.cast(pa.large_string())))
+    return offsets - offsets[0], data[offsets[0] : offsets[-1]]
+
+
 def _sums(mask: list[int], data: np.ndarray) -> np.ndarray:
     table = np.zeros(256, np.int32)
     table[mask] = 1
@@ -59,44 +69,49 @@ def _member(h: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return known[at] == h, at
 
 
-def features(data: np.ndarray, offsets: np.ndarray, learned: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """(rows, features). learned: sorted word hashes with their log odds."""
-    rows = len(offsets) - 1
+def _words(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Bytes in lower case, offsets, words' starts, ends and rows, and their hashes."""
+    offsets, data = lowered(column)
     ws, we, wr = find_words(data, offsets, NOT_WORD)
-    h = word_hashes(data, ws, we, LOWER_VALUES)
+    return data, offsets, ws, we, wr, word_hashes(data, ws, we)
+
+
+def features(column: pa.Array, learned: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """(rows, features) of a column of texts; null is empty. learned: sorted word hashes with their log odds."""
+    low, places, ws, we, wr, h = _words(column)
+    rows = len(places) - 1
     n = np.maximum(np.bincount(wr, minlength=rows), 1)
-    size = np.maximum(np.diff(offsets), 1)
-    share = lambda mask: (lambda s: s[offsets[1:]] - s[offsets[:-1]])(_sums(mask, data)) / size
-    insults = _hashes(INSULTS)
-    bad, _ = _member(h, insults)
+    bad, _ = _member(h, _INSULTS)
     new, odds = np.zeros(len(h), bool), np.zeros(len(h))
-    for unit in _units(data, ws, we, h):
+    for unit in _units(low, ws, we, h):
         found, at = _member(unit, learned)
         new |= found
         if len(weights):
             odds = np.maximum(odds, np.where(found, weights[at], 0))
-    you, _ = _member(h, _hashes(SECOND_PERSON))
+    you, _ = _member(h, _YOU)
     hit = bad | new
     around = np.cumsum(np.concatenate([[0], you]))
-    low, high = np.maximum(np.arange(len(h)) - NEAR, 0), np.minimum(np.arange(len(h)) + NEAR + 1, len(h))
+    before, after = np.maximum(np.arange(len(h)) - NEAR, 0), np.minimum(np.arange(len(h)) + NEAR + 1, len(h))
     first = np.searchsorted(wr, np.arange(rows + 1))
-    close = hit & (around[np.minimum(high, first[wr + 1])] - around[np.maximum(low, first[wr])] > 0) if len(h) else hit
+    close = hit & (around[np.minimum(after, first[wr + 1])] - around[np.maximum(before, first[wr])] > 0) if len(h) else hit
     per = lambda flag: np.bincount(wr[flag], minlength=rows)
     out = np.zeros((rows, len(FEATURES)))
     out[:, 0], out[:, 1] = per(bad) / n * 100, np.minimum(per(bad), 20)
     out[:, 2], out[:, 3] = per(new) / n * 100, np.minimum(per(new), 20)
     np.maximum.at(out[:, 4], wr[new], odds[new])
     out[:, 5] = per(close) / n * 100
-    ls, le, lr = find_words(data, offsets, _LOOK_SEPARATORS)
-    read, _ = _member(word_hashes(data, ls, le, _LOOK_VALUES), insults)
-    out[:, 6] = np.maximum(np.bincount(lr[read], minlength=rows) - per(bad), 0) / n * 100
+    out[:, 6] = np.bincount(_read(low, places), minlength=rows) / n * 100
+    offsets, data = text_buffers(column)
+    offsets, data = offsets - offsets[0], data[offsets[0] : offsets[-1]]
+    size = np.maximum(np.diff(offsets), 1)
+    share = lambda mask: (lambda s: s[offsets[1:]] - s[offsets[:-1]])(_sums(mask, data)) / size
     ps, pe, pr = find_words(data, offsets, WHITE_SPACE)
     letters, signs, upper = (_sums(_MASKS[k], data) for k in ("letter", "sign", "upper"))
     inner = (letters[pe] - letters[ps] > 1) & (signs[np.maximum(pe - 1, ps)] - signs[ps] > 0)
     out[:, 7] = np.bincount(pr[inner], minlength=rows) / n * 100
     out[:, 8] = share(_MASKS["upper"])
-    shout = (upper[we] - upper[ws] == we - ws) & (we - ws > 2)
-    out[:, 9] = per(shout) / n * 100
+    cs, ce, cr = find_words(data, offsets, NOT_WORD)
+    out[:, 9] = np.bincount(cr[(upper[ce] - upper[cs] == ce - cs) & (ce - cs > 2)], minlength=rows) / n * 100
     out[:, 10] = share([ord("!")]) * 100
     out[:, 11] = share([i for i in range(33, 127) if not chr(i).isalnum()])
     out[:, 12] = share(_MASKS["digit"])
@@ -105,45 +120,61 @@ def features(data: np.ndarray, offsets: np.ndarray, learned: np.ndarray, weights
     return out
 
 
+def _read(low: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The row of every word that is an insult only once its signs are read as letters. Exclamation marks at a word's end are none of its letters."""
+    ls, le, lr = find_words(low, places, _LOOK_SEPARATORS)
+    if not len(ls):
+        return lr
+    kept = np.maximum.accumulate(np.where(low != ord("!"), np.arange(len(low)), -1))
+    le = np.maximum(kept[le - 1] + 1, ls)
+    read, _ = _member(word_hashes(low, ls, le, _LOOK_VALUES), _INSULTS)
+    plain, _ = _member(word_hashes(low, ls, le), _INSULTS)
+    return lr[read & ~plain & (le > ls)]
+
+
 def _units(data: np.ndarray, ws: np.ndarray, we: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
     """Hashes of whole words and of their beginnings (of words that are longer than those); a short word's beginning is the word."""
-    return [h, *(np.where(we - ws > n, word_hashes(data, ws, np.minimum(we, ws + n), LOWER_VALUES) ^ np.uint64(salt), h) for n, salt in PREFIXES)]
+    return [h, *(np.where(we - ws > n, word_hashes(data, ws, np.minimum(we, ws + n)) ^ np.uint64(salt), h) for n, salt in PREFIXES)]
 
 
-def _learned(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes that labelled toxic documents hold far more often, at most LEARNED_WORDS."""
+def _learned(words: DataFrame, most: int, documents: int, odds: float) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes that labelled toxic documents hold far more often, with their log odds."""
     toxic, clean = F.sum(F.col("label")), F.sum(1 - F.col("label"))
-    sizes = words.select("doc_id", "label").distinct().agg(toxic.alias("t"), clean.alias("c")).first()
+    sizes = words.where("word is null").agg(toxic.alias("t"), clean.alias("c")).first()
     t, c = (sizes["t"] or 0) + 1.0, (sizes["c"] or 0) + 1.0
-    found = words.groupBy("word").agg(toxic.alias("t"), clean.alias("c")).where(f"t >= {LEARNED_DOCUMENTS}")
-    found = found.withColumn("w", F.log((F.col("t") + 0.5) / t) - F.log((F.col("c") + 0.5) / c)).where("w > 2.5").orderBy(F.desc("t"), "word").limit(LEARNED_WORDS).collect()
+    found = words.where("word is not null").groupBy("word").agg(toxic.alias("t"), clean.alias("c")).where(F.col("t") >= documents)
+    found = found.withColumn("w", F.log((F.col("t") + 0.5) / t) - F.log((F.col("c") + 0.5) / c)).where(F.col("w") > odds).orderBy(F.desc("t"), "word").limit(most).collect()
     h, w = np.array([r["word"] for r in found], np.int64).view(np.uint64), np.array([r["w"] for r in found])
     order = np.argsort(h)
     return h[order], w[order] if len(w) else w
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED_ROWS) -> tuple[Boosted, np.ndarray, np.ndarray]:
-    """(trees, learned hashes, their weights) from at most limit labelled documents outside the held-out fifth. One label only, or none: a constant."""
-    sample = labelled_sample(docs, labels, "toxic", limit).withColumn("deal", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(10)))
+def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED_ROWS, words: int = LEARNED_WORDS, documents: int = LEARNED_DOCUMENTS, odds: float = LEARNED_ODDS) -> tuple[Boosted, np.ndarray, np.ndarray]:
+    """(trees, learned hashes, their weights) from at most limit labelled documents outside the held-out fifth, whole texts. The learned lexicon has at most `words` words or
+    beginnings of words, each in `documents` toxic documents at least and with log odds above `odds`; 0 words leave it out. One label only, or none: a constant."""
+    sample = written(labelled_sample(docs, labels, "toxic", limit).withColumn("deal", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(10))), "sample")
 
     def bags(batches):
-        for part, data, offsets in slices(batches):
-            ws, we, wr = find_words(data, offsets, NOT_WORD)
-            units = _units(data, ws, we, word_hashes(data, ws, we, LOWER_VALUES))
+        for part, _, _ in slices(batches):
+            data, _, ws, we, wr, h = _words(part.column("text"))
+            units = _units(data, ws, we, h)
             pairs = np.unique(np.stack([np.tile(wr.astype(np.uint64), len(units)), np.concatenate(units)], 1), axis=0)
-            at = pa.array(pairs[:, 0].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), pa.array(pairs[:, 1].view(np.int64))], ["doc_id", "label", "word"])
+            label = np.asarray(part.column("label"))
+            at = pairs[:, 0].astype(np.int64)
+            # a row with a null word counts its document
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([label[at], label])), pa.concat_arrays([pa.array(pairs[:, 1].view(np.int64)), pa.nulls(len(label), pa.int64())])], ["label", "word"])
 
-    kind = id_type(docs)
-    learned, weights = _learned(sample.where("deal < 4").select("doc_id", "text", "label").mapInArrow(bags, f"doc_id {kind}, label int, word bigint"))
+    learned, weights = (np.zeros(0, np.uint64), np.zeros(0)) if not words else _learned(sample.where("deal < 4").select("text", "label").mapInArrow(bags, "label int, word bigint"), words, documents, odds)
 
     def measured(batches):
-        for part, data, offsets in slices(batches):
-            x = features(data, offsets, learned, weights)
+        for part, _, _ in slices(batches):
+            x = features(part.column("text"), learned, weights)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), lists], ["doc_id", "label", "deal", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), part.column("deal"), lists], ["doc_id", "label", "deal", "x"])
 
-    rows = sample.where("deal >= 4").select("doc_id", "text", "label", "deal").mapInArrow(measured, f"doc_id {kind}, label int, deal bigint, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()  # at most limit rows
+    kind = id_type(docs)
+    rows = sample.where("deal >= 4").select("doc_id", "text", "label", "deal").mapInArrow(measured, f"doc_id {kind}, label int, deal bigint, x array<double>").toArrow()  # at most limit rows
+    rows = rows.take(pc.sort_indices(rows.select(["doc_id"]), [("doc_id", "ascending")]))
     y = np.array(rows["label"].to_pylist(), np.int64)
     x = np.array(rows["x"].to_pylist(), np.float64).reshape(len(y), len(FEATURES))
     own = np.array(rows["deal"].to_pylist(), np.int64) < 8
@@ -153,13 +184,13 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED
 
 
 def toxicity_scores(docs: DataFrame, trained: tuple[Boosted, np.ndarray, np.ndarray], threshold: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, score, predicted, lexicon_hits for every row, whole texts; narrow. Null text is empty and is scored by the same trees. Repeated rows
-    are scored alike; other columns are left out."""
+    """doc_id, score, predicted, lexicon_hits for every row, whole texts; narrow. Null text is empty and is scored by the same trees. Equal texts get equal scores, so repeated
+    rows and ties do; rows without a doc_id are scored too; other columns are left out."""
     model, learned, weights = trained
 
     def scored(batches):
-        for part, data, offsets in slices(batches, text):
-            x = features(data, offsets, learned, weights)
+        for part, _, _ in slices(batches, text):
+            x = features(part.column(text), learned, weights)
             s = model.predict(x)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(x[:, 1])], ["doc_id", "score", "predicted", "lexicon_hits"])
 

@@ -181,9 +181,50 @@ def test_vectors(spark):
     assert [got[i].component_id for i in range(300)] == low.tolist()
 
 
-def test_held_out_accuracy(spark, folder):
-    big = folder.replace("sf0.001", "sf0.01")
-    labels = {r.doc_id: r for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
-    for name, column, least in (("op5_quality", "quality", 0.9), ("op10_toxicity", "toxic", 0.88)):
-        held = [r for r in queries.QUERIES[name](spark, big).collect() if r.held_out and r.doc_id in labels]
-        assert np.mean([r.predicted == labels[r.doc_id][column] for r in held]) >= least
+def ranks(scores, labels):
+    """Area under the curve: the share of pairs of a positive and a negative in the right order, ties half."""
+    good, bad = (np.array([s for s, y in zip(scores, labels, strict=True) if y == k]) for k in (1, 0))
+    return float((good[:, None] > bad[None, :]).mean() + (good[:, None] == bad[None, :]).mean() / 2)
+
+
+@pytest.mark.parametrize("name, column, least", [("op5_quality", "quality", (0.95, 0.97, 0.8)), ("op10_toxicity", "toxic", (0.8, 0.65, 0.97))])
+def test_held_out(spark, folder, name, column, least):
+    """Area, true positive rate and true negative rate on the held-out fifth; always saying the same would give 0.5 and one rate of 0."""
+    big = folder.replace("sf0.001", "sf0.1")
+    labels = {r.doc_id: r[column] for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
+    held = [(r.score, r.predicted, labels[r.doc_id]) for r in queries.QUERIES[name](spark, big).collect() if r.held_out and r.doc_id in labels]
+    area = ranks([h[0] for h in held], [h[2] for h in held])
+    rate = lambda y: np.mean([h[1] == y for h in held if h[2] == y])
+    assert (area, rate(1), rate(0)) >= least and area >= least[0] and rate(1) >= least[1] and rate(0) >= least[2], (area, rate(1), rate(0))
+
+
+def test_toxic_features():
+    """Single features by plain counting."""
+    import pyarrow as pa
+
+    from tarnfell.llm.toxicity import FEATURES, features
+
+    def of(text):
+        return dict(zip(FEATURES, features(pa.array(["first", text, None]), np.zeros(0, np.uint64), np.zeros(0))[1].round(6).tolist(), strict=True))
+
+    assert of("you are an 1diot")["lookalike"] == 25 and of("you idiot! you 1diot!!")["lookalike"] == 25
+    assert of("you idiot! you 1diot")["lexicon_words"] == 1 and of("fine! no insult")["lookalike"] == 0
+    assert of("BLÖD")["lexicon_words"] == of("blöd")["lexicon_words"] == 1
+    assert of("vivo con mi familia")["lexicon_words"] == 0
+    assert of("you are an idiot")["near_you"] == 25 and of("an idiot " + "and so on " * 4 + "you")["near_you"] == 0
+    assert of("WHY not YOU")["capital_words"] == round(200 / 3, 6) and of("")["length"] == 0
+    assert of("so!!")["exclaims"] == 50 and of("a1 b2c d")["mixed_words"] == round(100 / 3, 6)
+
+
+def test_personal_data_beyond_patterns(spark):
+    """What the trees add: secrets and obfuscated addresses, nothing in prose. Learned from perturbed base spans, so recall is measured on unseen ones."""
+    from tarnfell.llm.pii import personal_data, train_detector
+
+    filler = ["the river was cold and the boat", "le chat dort sur la table et", "im Jahr 1998 war es so warm, dass 40", "part 12 of 250 pages with 3,000 words"]
+    learn = [(i, f"{filler[i % 4]} write to user{i}.name@host{i % 13}.org or call +49 30 {1000000 + i * 137 % 9000000} {filler[(i + 1) % 4]} token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" {filler[(i + 2) % 4]}") for i in range(600)]
+    docs = spark.createDataFrame(learn, "doc_id bigint, text string")
+    detector = train_detector(docs)
+    new = [(i, f"{filler[i % 4]} write to who{i} (at) place{i} (dot) net {filler[(i + 1) % 4]}") for i in range(40)] + [(100 + i, f"{filler[i % 4]} secret: {hashlib.md5(str(i).encode()).hexdigest()}") for i in range(40)] + [(200 + i, f"{filler[i % 4]} and {filler[(i + 3) % 4]}") for i in range(40)]
+    got = {r.doc_id: r.n_extra for r in personal_data(spark.createDataFrame(new, "doc_id bigint, text string"), detector).collect()}
+    assert np.mean([got[i] > 0 for i in range(40)]) >= 0.9 and np.mean([got[100 + i] > 0 for i in range(40)]) >= 0.9
+    assert sum(got[200 + i] for i in range(40)) == 0

@@ -84,6 +84,27 @@ def test_repeated_passages(spark, docs):
     assert got[3].kept_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_passages_of_repeated_rows(spark, docs):
+    twice = docs.unionByName(docs).unionByName(spark.createDataFrame([(2, "other " + PROSE, 7, "k", "b", "n", "q"), (None, PROSE, 7, "k", "b", "n", "q")], SCHEMA))
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in repeated_passages(twice).collect())
+    assert len(got) == 26
+    assert [g for g in got if g[0] in (0, 1, 2, 8)] == [(0, 120, 0), (1, 120, 0), (1, 120, 0), (2, 120, 120), (2, 120, 120), (2, 121, 120), (8, 121, 120), (8, 121, 120)]
+
+
+def test_hot_windows(spark, monkeypatch):
+    """Salted joins and automata give what plain ones give."""
+    from tarnfell.llm import shared, substring_dedup
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{'again ' * 70}head{i} {passage} tail{i}" if i % 3 else f"{passage} {passage}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(repeated_passages(df).collect())
+    monkeypatch.setattr(shared, "HOT_ROWS", 4)
+    monkeypatch.setattr(substring_dedup, "SHARE", 3)
+    assert sorted(repeated_passages(df).collect()) == want
+    assert [r.n_removed for r in want if r.doc_id in (0, 1, 2, 3)] == [0, 60, 130, 120]
+
+
 def test_packing(spark, docs, empty):
     rows = packed(docs, BYTES).collect()
     assert {r.doc_id for r in rows} == set(range(1, 13))
@@ -140,3 +161,23 @@ def test_long_runs_of_digits(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
     got = {r.doc_id: r for r in personal_data(df, train_detector(df)).collect()}
     assert got[5].n_email == 1 and got[3].n_email == 1 and got[2].n_ip == 750
+
+
+def test_very_many_spans(spark):
+    """A long text with tens of thousands of spans: time grows with the text, not with its square."""
+    piece = "x 10.0.0.1 a@b.co +49 301 2345678 y 4111111111111111 z 7777777 abcdef0123456789abcdef "
+    df = spark.createDataFrame([(1, piece * 5_000), (2, piece), (None, piece), (2, piece)], "doc_id bigint, text string")
+    detector = train_detector(df)
+    got = sorted((r.doc_id or 0, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in personal_data(df, detector).collect())
+    assert got == [(0, 1, 1, 1, 1), (1, 5_000, 5_000, 5_000, 5_000), (2, 1, 1, 1, 1), (2, 1, 1, 1, 1)]
+    clean = {r.doc_id: r.text for r in redacted(df, detector).collect()}
+    assert clean[1] == clean[2] * 5_000
+    assert clean[2].startswith("x [IP] [EMAIL] [PHONE] y [CARD] z ")
+
+
+def test_marks_of_a_text_itself(spark):
+    """Private code points of a text don't move places and come out as U+FFFD where something is redacted."""
+    df = spark.createDataFrame([(1, "\U000f0041\U000f0042 a@b.co \U000f00c0"), (2, "\U000f0041"), (3, "a@b.co+49 301 2345678")], "doc_id bigint, text string")
+    detector = train_detector(df)
+    assert [r.spans for r in personal_data(df, detector).orderBy("doc_id").collect()] == ["email:3:9", "", "email:0:6,phone:6:21"]
+    assert [r.text for r in redacted(df, detector).orderBy("doc_id").collect()] == ["\ufffd\ufffd [EMAIL] \ufffd", "\U000f0041", "[EMAIL]"]
