@@ -2,12 +2,18 @@
 
 Every line is good or bad. Its features are binned shares of character classes, word lengths and repetitions, of the line itself and of its
 two neighbours; a transition weight ties it to the line before. Training takes each line of a labelled document as labelled like the document
-and maximises the chain's conditional likelihood. A document's raw score is the mean of the lines' forward-backward marginals of being
+and maximises the chain's conditional likelihood, by iterative parameter mixing: in each round every shard of the sample goes on from the mixed weights in
+a task of its own, a step for some hundred lines, and the shards' weights are averaged. Whole documents are learned, of any length, and no line leaves its task.
+A document's raw score is the mean of the lines' forward-backward marginals of being
 good, weighted by length; a rising step function, fitted on labelled documents that the chain has not seen, turns it into a probability.
+
+Forward and backward passes are prefix products of the chain's 2 by 2 matrices, taken by doubling over all lines at once, so that a text of a million lines is as cheap
+a line as a short one.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,13 +22,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import isotonic
-from .shared import MAX_LABELLED_ROWS, id_type, labelled_sample, unclashed
+from .shared import MAX_LABELLED_ROWS, id_type, labelled_sample, unclashed, written
 from .words import find_words, mix, slices, word_hashes
 
 FEATURES = ("length", "letters", "upper", "digits", "space", "pipes", "symbols", "stops", "wide", "word_length", "repeats", "skip_repeats", "same_as_before")
-BINS = 12
-#: Lines of the training sample at most; whole documents are taken while they fit.
-MAX_LINES = 150_000
+_SMALL = (0.001, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.4, 0.7)
+_TIMES = (0.001, 0.01, 0.03, 0.06, 0.1, 0.15, 0.25, 0.4, 0.6, 0.8, 0.95)
+#: Upper limits of the bins of each feature, by its scale; the last bin has none.
+LIMITS = np.array(
+    [
+        (1.5, 2.5, 3, 3.5, 4, 4.5, 5, 5.5, 6, 6.5, 7.5),
+        (0.3, 0.45, 0.55, 0.62, 0.68, 0.72, 0.76, 0.79, 0.82, 0.85, 0.9),
+        _SMALL,
+        _SMALL,
+        (0.02, 0.06, 0.09, 0.11, 0.125, 0.14, 0.155, 0.17, 0.19, 0.22, 0.3),
+        _SMALL,
+        _SMALL,
+        _SMALL,
+        _SMALL,
+        (1.5, 2.5, 3.2, 3.8, 4.3, 4.8, 5.3, 6, 7, 9, 14),
+        _TIMES,
+        _TIMES,
+        _TIMES,
+    ]
+)
+BINS = LIMITS.shape[1] + 1
+#: Rounds of mixing, shards of the sample, lines of a step, its length in the first round, and the penalty of large weights.
+ROUNDS, SHARDS, STEP_LINES, RATE, RIDGE = 6, 8, 600, 0.1, 3e-6
 
 _HIGH = np.uint64(32)
 _CLASSES = {
@@ -81,29 +107,32 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return owner, n, out
 
 
+def _prefix_products(m: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """(4, n) matrices, row by row: the product of each one with all before it in its chain, up to a factor. place: the number of those before."""
+    m, step = m.copy(), 1
+    while True:
+        at = np.flatnonzero(place >= step)
+        if not len(at):
+            return m
+        a, b = m[:, at - step], m[:, at]
+        new = np.stack([a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3]])
+        m[:, at] = new / new.max(0)
+        step *= 2
+
+
 @dataclass
 class Chain:
-    """edges: bin limits of each feature; weights (3, features, BINS + 1): previous, own and next line, the last bin for a missing line."""
+    """weights (3, features, BINS + 1): previous, own and next line, the last bin for a missing line; steps (2, 2): from and to bad and good."""
 
-    edges: np.ndarray
     weights: np.ndarray
     steps: np.ndarray
     bias: float = 0.0
     knots: np.ndarray | None = None
     levels: np.ndarray | None = None
 
-    def bins(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], 1)
-
-    def placed(self, owner: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """(n, 3, features): bins of the neighbours and of the line."""
-        own = self.bins(x)
-        out = np.full((len(x), 3, x.shape[1]), BINS)
-        out[:, 1] = own
-        same = owner[1:] == owner[:-1]
-        out[1:, 0][same] = own[:-1][same]
-        out[:-1, 2][same] = own[1:][same]
-        return out
+    @staticmethod
+    def of(theta: np.ndarray) -> Chain:
+        return Chain(theta[:-5].reshape(3, len(FEATURES), BINS + 1), theta[-5:-1].reshape(2, 2), float(theta[-1]))
 
     def emissions(self, placed: np.ndarray) -> np.ndarray:
         out = np.full(len(placed), self.bias)
@@ -112,42 +141,31 @@ class Chain:
                 out += self.weights[p, j][placed[:, p, j]]
         return out
 
-    def marginals(self, owner: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Probability of good for each line, expected transitions (2, 2), log partition."""
-        if not len(e):
-            return np.zeros(0), np.zeros((2, 2)), 0.0
+    def marginals(self, owner: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of good for each line, expected transitions (2, 2)."""
+        n = len(e)
+        if not n:
+            return np.zeros(0), np.zeros((2, 2))
         first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        size = np.diff(np.append(first, len(owner)))
-        order = np.argsort(-size, kind="stable")
-        first, size = first[order], size[order]
-        alive = [int(np.searchsorted(-size, -t, "left")) for t in range(int(size[0]) + 1)]
-        a, b = np.zeros((len(e), 2)), np.zeros((len(e), 2))
-        a[first, 1] = e[first]
-        for t in range(1, int(size[0])):
-            at = first[: alive[t]] + t
-            before = a[at - 1]
-            for y in (0, 1):
-                a[at, y] = np.logaddexp(before[:, 0] + self.steps[0, y], before[:, 1] + self.steps[1, y]) + (e[at] if y else 0)
-        for t in range(int(size[0]) - 2, -1, -1):
-            at = first[: alive[t + 1]] + t
-            after = b[at + 1] + np.stack([np.zeros(len(at)), e[at + 1]], 1)
-            for y in (0, 1):
-                b[at, y] = np.logaddexp(after[:, 0] + self.steps[y, 0], after[:, 1] + self.steps[y, 1])
-        tail = first + size - 1
-        whole = np.empty(len(first))
-        whole[order] = np.logaddexp(a[tail, 0], a[tail, 1])
-        z = np.repeat(whole, np.diff(np.append(np.sort(first), len(owner))))
-        good = np.exp(np.minimum(a[:, 1] + b[:, 1] - z, 0))
-        moves = np.zeros((2, 2))
-        inner = np.flatnonzero(owner[1:] == owner[:-1])
-        for y in (0, 1):
-            for w in (0, 1):
-                moves[y, w] = np.exp(a[inner, y] + self.steps[y, w] + (e[inner + 1] if w else 0) + b[inner + 1, w] - z[inner]).sum()
-        return good, moves, float(whole.sum())
+        size = np.diff(np.append(first, n))
+        place = np.arange(n) - np.repeat(first, size)
+        steps = np.exp(self.steps - self.steps.max())
+        low, high = np.exp(-np.maximum(e, 0)), np.exp(np.minimum(e, 0))
+        m = np.stack([steps[0, 0] * low, steps[0, 1] * high, steps[1, 0] * low, steps[1, 1] * high])
+        m[:, first] = np.stack([low[first], high[first]] * 2)
+        ahead = _prefix_products(m, place)[:2]
+        back = np.ones((4, n))
+        back[:, :-1] = m[:, 1:][[0, 2, 1, 3]]
+        back[:, first + size - 1] = 1
+        behind = _prefix_products(back[:, ::-1], (np.repeat(size, size) - 1 - place)[::-1])[:2, ::-1]
+        both = ahead * behind
+        inner = np.flatnonzero(place > 0)
+        moves = (ahead[:, None, inner - 1] * m[:, inner].reshape(2, 2, -1) * behind[None, :, inner]) if len(inner) else np.zeros((2, 2, 0))
+        return both[1] / both.sum(0), (moves / moves.sum((0, 1))).sum(2)
 
     def raw(self, owner: np.ndarray, n: np.ndarray, x: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Length-weighted mean marginal, lines and bad lines of each row."""
-        good, _, _ = self.marginals(owner, self.emissions(self.placed(owner, x)))
+        good, _ = self.marginals(owner, self.emissions(placed(owner, bins(x))))
         w = n + 1.0
         return np.bincount(owner, good * w, rows) / np.bincount(owner, w, rows), np.bincount(owner, minlength=rows), np.bincount(owner[good < 0.5], minlength=rows)
 
@@ -155,78 +173,108 @@ class Chain:
         return raw if self.knots is None or not len(self.knots) else np.interp(raw, self.knots, self.levels)
 
 
-def _limits(values: np.ndarray) -> np.ndarray:
-    """Half of the limits split the lines evenly, half the distinct values, so that rare high shares get bins too."""
-    half = BINS // 2
-    even = np.quantile(values, np.linspace(0, 1, half + 1)[1:-1])
-    distinct = np.quantile(np.unique(values.round(3)), np.linspace(0, 1, BINS - half + 2)[1:-1])
-    return np.sort(np.concatenate([even, distinct]))
+def bins(x: np.ndarray) -> np.ndarray:
+    """(n, features) numbers of bins."""
+    return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(LIMITS)], 1).astype(np.uint8)
+
+
+def placed(owner: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """(n, 3, features): bins of the line before, of the line and of the next one."""
+    out = np.full((len(own), 3, own.shape[1]), BINS, np.uint8)
+    out[:, 1] = own
+    same = owner[1:] == owner[:-1]
+    out[1:, 0][same] = own[:-1][same]
+    out[:-1, 2][same] = own[1:][same]
+    return out
 
 
-def fit_chain(owner: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int = 80, ridge: float = 3e-6, rate: float = 0.15) -> Chain:
-    """Adam on the penalised conditional log likelihood; y is each line's label."""
-    edges = np.stack([_limits(x[:, j]) for j in range(x.shape[1])]) if len(x) else np.zeros((len(FEATURES), BINS - 1))
-    chain = Chain(edges, np.zeros((3, x.shape[1], BINS + 1)), np.zeros((2, 2)))
-    if not len(y):
-        return chain
-    placed = chain.placed(owner, x)
+def gradient(theta: np.ndarray, owner: np.ndarray, own: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the conditional log likelihood a line, less the penalty. own: bins, y: labels, each of every line."""
+    chain, at = Chain.of(theta), placed(owner, own)
+    good, moves = chain.marginals(owner, chain.emissions(at))
     inner = owner[1:] == owner[:-1]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[:-1][inner], y[1:][inner]), 1)
-    cells = chain.weights.size
-    theta, m, v = np.zeros(cells + 5), np.zeros(cells + 5), np.zeros(cells + 5)
-    for i in range(1, rounds + 1):
-        chain.weights, chain.steps, chain.bias = theta[:cells].reshape(chain.weights.shape), theta[cells : cells + 4].reshape(2, 2), float(theta[-1])
-        good, moves, _ = chain.marginals(owner, chain.emissions(placed))
-        gap = y - good
-        g = np.concatenate([np.concatenate([np.bincount(placed[:, p, j], gap, BINS + 1) for p in range(3) for j in range(x.shape[1])]), (seen - moves).ravel(), [gap.sum()]]) / len(y) - ridge * theta
+    seen = np.bincount(2 * y[:-1][inner] + y[1:][inner], minlength=4)
+    gap = y - good
+    cells = [np.bincount(at[:, p, j], gap, BINS + 1) for p in range(3) for j in range(own.shape[1])]
+    return np.concatenate([*cells, seen - moves.ravel(), [gap.sum()]]) / len(y) - RIDGE * theta
+
+
+def learned(documents, theta: np.ndarray, rate: float) -> tuple[np.ndarray, int]:
+    """Weights after one pass over documents (label, bins) with Adam steps of some hundred lines each, and the lines."""
+    theta, m, v, i, lines = theta.copy(), np.zeros(len(theta)), np.zeros(len(theta)), 0, 0
+    held: list[tuple[int, np.ndarray]] = []
+
+    def step() -> None:
+        nonlocal m, v, i
+        sizes = [len(b) for _, b in held]
+        g = gradient(theta, np.repeat(np.arange(len(held)), sizes), np.concatenate([b for _, b in held]), np.repeat([y for y, _ in held], sizes))
+        i += 1
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta = theta + rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
-    return chain
+        theta[:] += rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
+        held.clear()
+
+    for document in documents:
+        held.append(document)
+        lines += len(document[1])
+        if sum(len(b) for _, b in held) >= STEP_LINES:
+            step()
+    if held:
+        step()
+    return theta, lines
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED_ROWS) -> Chain:
-    """Fit on at most limit labelled documents outside the held-out fifth: three in four train the chain, one in four the final step function.
+    """Fit on at most limit labelled documents outside the held-out fifth, whole texts of any number of lines: three in four train the chain, one in four the final step function.
     One label only, or none: a constant."""
-    sample = labelled_sample(docs, labels, "quality", limit)
-
-    def features(batches):
-        for batch in batches:
-            for part, data, offsets in slices([batch]):
-                owner, n, x = line_features(data, offsets)
-                cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                lists = pa.LargeListArray.from_arrays(pa.array(cut * x.shape[1], pa.int64()), pa.array(x.ravel())).cast(pa.list_(pa.float32()))
-                sizes = pa.LargeListArray.from_arrays(pa.array(cut, pa.int64()), pa.array(n.astype(np.int64))).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists, sizes], ["doc_id", "label", "x", "n"])
-
-    kept = sample.select("doc_id", "text", "label").mapInArrow(features, f"doc_id {id_type(docs)}, label int, x array<float>, n array<bigint>")
-    rows = kept.withColumn("turn", F.xxhash64("doc_id")).where(F.size("n") <= 4000).orderBy("turn", "doc_id").toArrow()  # at most limit rows
-    owner, xs, ns, ys, total = [], [], [], [], 0
-    for i, (label, x, n) in enumerate(zip(rows["label"].to_pylist(), rows["x"], rows["n"], strict=True)):
-        n = np.asarray(n.values)
-        total += len(n)
-        if total > MAX_LINES:
+    sample = written(labelled_sample(docs, labels, "quality", limit).withColumn("deal", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(4 * SHARDS)).cast("int")), "sample")
+
+    def binned(batches):
+        for part, data, offsets in slices(batches):
+            owner, _, x = line_features(data, offsets)
+            cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
+            own = bins(x)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), part.column("deal"), pa.array([own[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["doc_id", "label", "deal", "bins"])
+
+    known = sample.where(F.col("deal") < 3 * SHARDS).select("doc_id", "text", "label", "deal").mapInArrow(binned, f"doc_id {id_type(docs)}, label int, deal int, bins binary")
+    known = written(known.withColumn("shard", F.col("deal") % SHARDS).repartition(SHARDS, "shard").sortWithinPartitions("shard", "doc_id"), "lines")
+    theta = np.zeros(3 * len(FEATURES) * (BINS + 1) + 5)
+
+    def one_round(start: np.ndarray, rate: float):
+        def mixed(batches):
+            def rows():
+                for batch in batches:
+                    yield from zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+
+            for _, own in itertools.groupby(rows(), lambda r: r[0]):
+                got, lines = learned(((y, np.frombuffer(b, np.uint8).reshape(-1, len(FEATURES))) for _, y, b in own), start, rate)
+                yield pa.RecordBatch.from_arrays([pa.array([lines], pa.int64()), pa.array([got], pa.list_(pa.float64()))], ["lines", "theta"])
+
+        # a row for each shard
+        return known.select("shard", "label", "bins").mapInArrow(mixed, "lines bigint, theta array<double>").collect()
+
+    for i in range(ROUNDS):
+        got = one_round(theta, RATE / (1 + i))
+        if not got:
             break
-        owner.append(np.full(len(n), i))
-        xs.append(np.asarray(x.values).reshape(len(n), -1))
-        ns.append(n)
-        ys.append(label)
-    if not ys:
-        return Chain(np.zeros((len(FEATURES), BINS - 1)), np.zeros((3, len(FEATURES), BINS + 1)), np.zeros((2, 2)))
-    owner, x, n, y = np.concatenate(owner), np.concatenate(xs), np.concatenate(ns), np.array(ys)
-    own = owner % 4 != 3
-    chain = fit_chain(owner[own], x[own], y[owner[own]])
-    raw, _, _ = chain.raw(owner, n, x, len(y))
-    turn = np.arange(len(y)) % 4 == 3
-    chain.knots, chain.levels = isotonic(raw[turn], y[turn])
-    if not len(chain.knots) and y.min() == y.max():
+        theta = np.average([r["theta"] for r in got], axis=0, weights=[r["lines"] for r in got])
+    chain = Chain.of(theta)
+
+    def judged(batches):
+        for part, data, offsets in slices(batches):
+            raw, _, _ = chain.raw(*line_features(data, offsets), part.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(raw), part.column("label")], ["raw", "label"])
+
+    rows = sample.where(F.col("deal") >= 3 * SHARDS).select("text", "label").mapInArrow(judged, "raw double, label int").toArrow()  # at most limit rows
+    raw, y = np.asarray(rows["raw"], np.float64), np.asarray(rows["label"], np.int64)
+    chain.knots, chain.levels = isotonic(raw, y)
+    if not len(chain.knots) and len(y):
         chain.knots, chain.levels = np.array([0.0]), np.array([(y.sum() + 1) / (len(y) + 2)])
     return chain
 
 
 def quality_scores(docs: DataFrame, chain: Chain, threshold: float = 0.3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, score, predicted, n_lines, n_bad_lines for every row, whole texts; narrow. Null text is empty: one line without bytes, scored
-    by the same chain. Repeated rows are scored alike; other columns are left out."""
+    """doc_id, score, predicted, n_lines, n_bad_lines for every row, whole texts of any number of lines; narrow. Null text is empty: one line without bytes, scored
+    by the same chain. Equal texts get equal scores, so repeated rows and ties do; rows without a doc_id are scored too; other columns are left out."""
 
     def scored(batches):
         for part, data, offsets in slices(batches, text):
@@ -238,7 +286,7 @@ def quality_scores(docs: DataFrame, chain: Chain, threshold: float = 0.3, text:
 
 
 def keep_good(docs: DataFrame, chain: Chain, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that the chain accepts, all columns as they are; narrow: the verdict is made beside the row, not joined to it."""
+    """The rows of docs that the chain accepts, all columns as they are, repeated rows as often as they occur; narrow: the verdict is made beside the row, not joined to it."""
     schema = docs.schema
 
     def kept(batches):
