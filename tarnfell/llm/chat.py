@@ -5,26 +5,28 @@ fits beside what a window repeats: the system turn, and up to history turns befo
 span itself are targets; a repeated turn is masked, so each assistant text is learned once.
 
 Turns are marked by control strings. Where a text or role holds something like them, an escape character is added inside, which reading takes
-off again. A conversation is dealt by turn number into blocks, each formatted by itself with what it repeats sent along: a conversation of any
-length is never gathered in one task.
+off again.
+
+Three steps: turns are rendered and counted where they lie; windows are cut from the turns' token counts alone, a stream of a few numbers a turn for each conversation, of which the
+history is held; turns then join their windows, which are put together each by itself. So no task holds a conversation, and texts are dealt by window, however long a conversation is.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from collections import deque
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .packing import Encoder
-from .shared import id_type, unclashed
+from .shared import id_type, unclashed, written
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Turn numbers in a block.
-BLOCK = 256
 _OPEN, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
 
@@ -53,75 +55,93 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def _block_windows(system: list, before: list, own: list, budget: int, history: int, history_budget: int) -> list[tuple]:
-    """(text, repeated turns, targets, tokens, over budget) of the windows of one block. Turns are (role, rendered, from, to, tokens)."""
-    sums = np.concatenate([[0], np.cumsum([t[4] for t in own])])
-    out, i = [], 0
-    lead = not system and not before and own and own[0][0] == "system"
-    while i < len(own):
-        fixed = system or ([own[0]] if lead and i else [])
-        past = (before + own[:i])[-history:] if history else []
-        past = [t for t in past if not any(t is s for s in fixed)]
-        while past and sum(t[4] for t in past) > history_budget:
-            past.pop(0)
-        room = budget - sum(t[4] for t in fixed)
-        while past and sum(t[4] for t in past) + own[i][4] > room:
-            past.pop(0)
-        room -= sum(t[4] for t in past)
-        j = max(i + 1, int(np.searchsorted(sums, sums[i] + room, "right")) - 1)
-        parts, at, targets = [], 0, []
-        for k, t in enumerate([*fixed, *past, *own[i:j]]):
-            if k >= len(fixed) + len(past) and t[0] == "assistant":
-                targets.append({"start": at + t[2], "end": at + t[3]})
-            parts.append(t[1])
-            at += len(t[1])
-        tokens = sum(t[4] for t in [*fixed, *past, *own[i:j]])
-        out.append(("".join(parts), len(fixed) + len(past), targets, tokens, tokens > budget))
-        i = j
-    return out
+class Cutter:
+    """Cuts one conversation's turns, fed in order, into windows; holds the system turn and the history."""
+
+    def __init__(self, budget: int, history: int, history_budget: int):
+        self.budget, self.history_budget = budget, history_budget
+        self.lead: tuple[int, int, int] | None = None
+        self.past: deque[tuple[int, int, int]] = deque(maxlen=history)
+        self.window, self.total, self.place = -1, 0, -1
+
+    def fed(self, row: int, tokens: int, system: bool) -> list[tuple[int, int, int, bool]]:
+        """(row, window, place, own) of the turn and, where it opens a window, of the turns that are repeated before it."""
+        self.place += 1
+        out = []
+        if self.window < 0 or self.total + tokens > self.budget:
+            self.window += 1
+            kept = deque(self.past)
+            total = sum(t for _, t, _ in kept)
+            room = self.budget - (self.lead[1] if self.lead else 0)
+            while kept and (total > self.history_budget or total + tokens > room):
+                total -= kept.popleft()[1]
+            out = [(r, self.window, p, False) for r, _, p in ([self.lead, *kept] if self.lead else kept)]
+            self.total = self.budget - room + total
+        self.total += tokens
+        out.append((row, self.window, self.place, True))
+        if system and self.place == 0:
+            self.lead = (row, tokens, 0)
+        else:
+            self.past.append((row, tokens, self.place))
+        return out
 
 
 def chat_windows(conversations: DataFrame, tokenizer_path: str, budget: int = 2048, history: int = 4, history_budget: int = 512) -> DataFrame:
-    """conv_id, block, window, text, n_repeated (turns at the head that are repeats), targets (code points of text under the loss), n_tokens, over_budget.
+    """conv_id, window, text, n_repeated (turns at the head that are repeats), targets (code points of text under the loss), n_tokens, over_budget.
 
-    Rows by turn, then role and text; null role and text are empty, a null turn comes first. The first turn of a conversation, if its role is system, heads
-    each of its windows. A turn that can't fit is a window of its own, marked over_budget, never cut. Repeated rows are repeated turns;
-    rows without conv_id make one conversation; an empty table gives no rows; extra columns are left out."""
+    Turns come by turn, a null one first, and those of one number by role and the hash of their text; null role and text are empty. A window is the longest span of turns that fits the budget
+    beside its repeats: the first turn of a conversation, if its role is system, and the last `history` turns before the span, of which the first are left out until they fit. A turn that can't
+    fit is a window of its own, marked over_budget, never cut. Repeated rows are repeated turns; rows without conv_id make one conversation; an empty table gives no rows; extra columns are left out."""
     kind = id_type(conversations, "conv_id")
-    rows = unclashed(conversations, "conv_id", "turn", "role", "text").withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit("")), "turn": F.col("turn").cast("bigint")})
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(0)).cast("long"))
-    own = rows.withColumn("part", F.lit(2))
-    after = rows.where((F.pmod("turn", F.lit(BLOCK)) >= BLOCK - history) & F.lit(history > 0)).withColumns({"block": F.col("block") + 1, "part": F.lit(1)})
-    heads = rows.groupBy("conv_id").agg(F.min(F.struct(F.col("turn").isNotNull().alias("k"), "turn", "role", "text")).alias("head"), F.min("block").alias("low"), F.max("block").alias("high")).where("high > low and head.role = 'system'")
-    heads = heads.select("conv_id", "head.turn", "head.role", "head.text", F.explode(F.sequence(F.col("low") + 1, F.col("high"))).alias("block"), F.lit(0).alias("part"))
-    sent = own.unionByName(after).unionByName(heads).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "part", "turn", "role", "text")
-    out_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    rows = unclashed(conversations, "conv_id", "turn", "role", "text").select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
 
-    def formatted(batches):
+    def rendered(batches):
         encode = Encoder(tokenizer_path)
-        key, parts = None, ([], [], [])
+        for batch in batches:
+            got = [render(r, t) for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts, low, high = zip(*got, strict=True) if got else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2, 4)), pa.array(texts, pa.string()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array([len(encode(t)) for t in texts], pa.int64())], ["conv_id", "turn", "role", "hash", "text", "low", "high", "n_tokens"])
 
-        def emit(id_kind):
-            got = _block_windows(*parts, budget, history, history_budget)
-            n = len(got)
-            texts, repeated, targets, tokens, over = zip(*got, strict=True) if got else ((), (), (), (), ())
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * n, id_kind), pa.array([key[1]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(texts, pa.string()), pa.array(repeated, pa.int64()), pa.array(targets, out_type), pa.array(tokens, pa.int64()), pa.array(over, pa.bool_())], ["conv_id", "block", "window", "text", "n_repeated", "targets", "n_tokens", "over_budget"])
+    turns = rows.select("conv_id", "turn", "role", "text", "hash").mapInArrow(rendered, f"conv_id {kind}, turn bigint, role string, hash bigint, text string, low bigint, high bigint, n_tokens bigint")
+    turns = written(turns.withColumn("row", F.monotonically_increasing_id()), "turns")
 
-        id_kind = None
+    def cut(batches):
+        key, cutter = None, None
         for batch in batches:
-            id_kind = batch.column(0).type
-            for conv, role, text, block, part in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True):
-                if (conv, block) != key:
-                    if key is not None and parts[2]:
-                        yield emit(id_kind)
-                    key, parts = (conv, block), ([], [], [])
-                turn, a, b = render(role, text)
-                parts[part].append((role, turn, a, b, len(encode(turn))))
-        if key is not None and parts[2]:
-            yield emit(id_kind)
+            out, of = [], []
+            for at, (conv, row, tokens, system) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+                if cutter is None or conv != key:
+                    key, cutter = conv, Cutter(budget, history, history_budget)
+                got = cutter.fed(row, tokens, system)
+                out += got
+                of += [at] * len(got)
+            columns = zip(*out, strict=True) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True))], ["conv_id", "row", "window", "place", "own"])
+
+    thin = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "hash").select("conv_id", "row", "n_tokens", (F.col("role") == "system").alias("system"))
+    places = thin.mapInArrow(cut, f"conv_id {kind}, row bigint, window bigint, place bigint, own boolean")
+    dealt = places.join(turns.select("row", "role", "text", "low", "high", "n_tokens"), "row").repartition("conv_id", "window").sortWithinPartitions("conv_id", "window", "place")
+    out_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    schema = f"conv_id {kind}, block bigint, window bigint, text string, n_repeated bigint, targets array<struct<start:bigint,end:bigint>>, n_tokens bigint, over_budget boolean"
-    return sent.select("conv_id", "turn", "role", "text", "block", "part").mapInArrow(formatted, schema)
+    def formatted(batches):
+        def rows():
+            for batch in batches:
+                yield from zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True)
+
+        for (conv, window), own in itertools.groupby(rows(), lambda r: r[:2]):
+            parts, at, targets, tokens, repeated = [], 0, [], 0, 0
+            for _, _, mine, role, text, low, high, n in own:
+                if mine and role == "assistant":
+                    targets.append({"start": at + low, "end": at + high})
+                repeated += not mine
+                parts.append(text)
+                at += len(text)
+                tokens += n
+            yield pa.RecordBatch.from_arrays([pa.array([conv], id_kind), pa.array([window], pa.int64()), pa.array(["".join(parts)]), pa.array([repeated], pa.int64()), pa.array([targets], out_type), pa.array([tokens], pa.int64()), pa.array([tokens > budget])], ["conv_id", "window", "text", "n_repeated", "targets", "n_tokens", "over_budget"])
+
+    id_kind = to_arrow_type(conversations.schema["conv_id"].dataType)
+    schema = f"conv_id {kind}, window bigint, text string, n_repeated bigint, targets array<struct<start:bigint,end:bigint>>, n_tokens bigint, over_budget boolean"
+    return dealt.select("conv_id", "window", "own", "role", "text", "low", "high", "n_tokens").mapInArrow(formatted, schema)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -140,7 +160,7 @@ def read_back(windows: DataFrame) -> DataFrame:
 
         for batch in batches:
             id_kind = batch.column(0).type
-            for conv, text, repeated, targets in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4, 5)), strict=True):
+            for conv, text, repeated, targets in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
                 if not seen or conv != key:
                     if seen:
                         yield emit()
@@ -157,5 +177,5 @@ def read_back(windows: DataFrame) -> DataFrame:
         if seen:
             yield emit()
 
-    ordered = windows.repartition("conv_id").sortWithinPartitions("conv_id", "block", "window")
-    return ordered.select("conv_id", "block", "window", "text", "n_repeated", "targets").mapInArrow(digests, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_windows bigint")
+    ordered = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return ordered.select("conv_id", "window", "text", "n_repeated", "targets").mapInArrow(digests, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_windows bigint")
