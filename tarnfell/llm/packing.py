@@ -2,7 +2,7 @@
 
 Documents become token pieces (one narrow pass), pieces a histogram of lengths, which has as many rows as a sequence has places however
 large the corpus is. The plan is made on the histogram: for the longest length that is left, a single length, a pair or a triple that
-fills the gap exactly is looked up, and as many sequences of that pattern are closed as the counts allow; what has no exact complement
+fills the gap exactly is looked up in an index of such sums, and as many sequences of that pattern are closed as the counts allow; what has no exact complement
 is packed best-fit. Pieces then take their places by their rank within their length, a sum of counts, so no length meets in one task.
 """
 
@@ -99,32 +99,85 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id:
     return unclashed(docs, doc_id, text).mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
+class Sums:
+    """Index of the sums of one, two and three available lengths. left[n]: pieces of length n; pairs[s]: unordered pairs of available lengths with sum s, where a
+    length goes with itself only if there are two of it; triples[s]: lengths a for which s - a has a pair. Taking pieces away changes the index only when a length
+    runs out or is down to one piece, by whole arrays."""
+
+    def __init__(self, counts: dict[int, int], size: int):
+        self.size = size
+        self.left = np.zeros(size + 1, np.int64)
+        self.free, self.twice = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
+        self.pairs, self.triples = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+        for n, c in counts.items():
+            self.change(n, c)
+
+    def change(self, n: int, by: int) -> None:
+        self.left[n] += by
+        free, twice = bool(self.left[n] > 0), bool(self.left[n] > 1)
+        had = self.pairs > 0
+        if free != self.free[n]:
+            step = 1 if free else -1
+            self.free[n] = False
+            self.pairs[n:] += step * self.free[: self.size + 1 - n]
+            self.triples[n:] += step * had[: self.size + 1 - n]
+            self.free[n] = free
+        if twice != self.twice[n]:
+            self.twice[n] = twice
+            if 2 * n <= self.size:
+                self.pairs[2 * n] += 1 if twice else -1
+        now = self.pairs > 0
+        for s in np.flatnonzero(now != had):
+            self.triples[s:] += (1 if now[s] else -1) * self.free[: self.size + 1 - s]
+
+    def exact(self, gap: int) -> list[int] | None:
+        """One, two or three available lengths of sum gap, few before many, the longest first."""
+        if self.free[gap]:
+            return [gap]
+        if self.pairs[gap]:
+            return self._pair(gap)
+        if self.triples[gap]:
+            # a triple may need more of a length than there is, so those that the index names are tried
+            for a in np.flatnonzero(self.free[:gap] & (self.pairs[gap - np.arange(gap)] > 0))[::-1]:
+                self.change(int(a), -1)
+                pair = self._pair(gap - int(a)) if self.pairs[gap - a] else None
+                self.change(int(a), 1)
+                if pair:
+                    return [int(a), *pair]
+        return None
+
+    def _pair(self, total: int) -> list[int]:
+        a = np.arange((total + 1) // 2, total)
+        a = int(a[self.free[a] & self.free[total - a] & ((2 * a != total) | self.twice[a])][-1])
+        return [a, total - a]
+
+
 def plan(counts: dict[int, int], size: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Patterns ([(length, times in one sequence), ...], sequences of it) that use up all counts. Work depends on size, not on the counts."""
-    left = np.zeros(size + 1, np.int64)
-    for n, c in counts.items():
-        left[n] = c
+    sums = Sums(counts, size)
     out: list[tuple[list[tuple[int, int]], int]] = []
 
     def take(lengths: list[int]) -> None:
         pattern = sorted({n: lengths.count(n) for n in lengths}.items(), reverse=True)
-        k = min(int(left[n]) // m for n, m in pattern)
+        k = min(int(sums.left[n]) // m for n, m in pattern)
         for n, m in pattern:
-            left[n] -= k * m
+            sums.change(n, -k * m)
         out.append((pattern, k))
 
-    if left[size]:
+    if sums.left[size]:
         take([size])
     for n in range(size - 1, 0, -1):
-        while left[n]:
-            found = _complement(left, n, size - n)
+        while sums.left[n]:
+            sums.change(n, -1)
+            found = sums.exact(size - n)
+            sums.change(n, 1)
             if found is None:
                 break
             take([n, *found])
-    while left.any():
-        lengths = [int(np.flatnonzero(left)[-1])]
+    while sums.left.any():
+        lengths = [int(np.flatnonzero(sums.left)[-1])]
         gap = size - lengths[0]
-        free = left.copy()
+        free = sums.left.copy()
         free[lengths[0]] -= 1
         while gap:
             fits = np.flatnonzero(free[: gap + 1])
@@ -139,33 +192,6 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[list[tuple[int, int]],
     return out
 
 
-def _complement(left: np.ndarray, n: int, gap: int) -> list[int] | None:
-    """One, two or three lengths of sum gap that the counts still allow beside one n, the longest first."""
-    free = left.copy()
-    free[n] -= 1
-    if free[gap]:
-        return [gap]
-    have = np.flatnonzero(free[:gap])[::-1]
-    mates = free[gap - have] > 0
-    twin = 2 * have == gap
-    mates &= ~twin | (free[have] > 1)
-    if mates.any():
-        a = int(have[mates][0])
-        return [a, gap - a]
-    for a in have[: len(have)]:
-        rest = gap - int(a)
-        if 3 * a < gap:
-            break
-        free[a] -= 1
-        some = np.flatnonzero(free[: min(rest, int(a) + 1)])[::-1]
-        pair = (free[rest - some] > 0) & ((2 * some != rest) | (free[some] > 1)) & (rest - some <= a)
-        free[a] += 1
-        if pair.any():
-            b = int(some[pair][0])
-            return [int(a), b, rest - b]
-    return None
-
-
 def pack(pieces: DataFrame, size: int = 2048, rows_per_group: int = 50_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...). Written first: the histogram and the ranks must see the same rows."""
     spark = pieces.sparkSession
@@ -193,5 +219,6 @@ def pack(pieces: DataFrame, size: int = 2048, rows_per_group: int = 50_000) -> D
 
 def packed(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: all documents in nearly as few sequences as their tokens need.
-    An empty table gives no rows."""
+    An empty table gives no rows; null and empty texts are one piece, the end id; repeated rows and rows without a doc_id are packed as often as they occur. Texts of any
+    length are encoded whole; pieces of one length take their places by doc_id and piece, so that ties don't matter. Extra columns are left out."""
     return pack(token_pieces(docs, tokenizer_path, size, end_id), size)
