@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import id_type, unclashed
-from .words import give_back, text_buffers
+from .words import slices
 
 #: Fixed value: the split pattern under which a token never spans white space.
 SPACELESS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Pieces whose counts a worker remembers at most; the memory is emptied when full.
-MEMORY = 400_000
+#: Pieces whose counts a worker remembers at most, and characters of each: 64 MB or so. The memory is emptied when full; longer pieces are encoded each time.
+MEMORY, MEMORY_CHARS = 400_000, 64
+#: Characters of new pieces that are encoded in one call.
+CALL_CHARS = 1 << 20
 #: The memories of this Python worker by tokenizer file; they serve all its tasks.
 _KNOWN: dict[str, dict[str, int]] = {}
 #: Tokens that must agree on either side of a splice.
@@ -73,11 +75,26 @@ class Counter:
         if len(known) > MEMORY:
             known.clear()
             known[""] = 0
-        new = list(set().union(*pieces).difference(known))
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = len(e)
+        longer: dict[str, int] = {}
+        call, chars = [], 0
+
+        def encoded() -> None:
+            for p, e in zip(call, self.tokenizer.encode_batch_fast(call, add_special_tokens=False), strict=True):
+                (known if len(p) <= MEMORY_CHARS else longer)[p] = len(e)
+            call.clear()
+
+        for p in set().union(*pieces).difference(known):
+            call.append(p)
+            chars += len(p)
+            if chars > CALL_CHARS:
+                encoded()
+                chars = 0
+        encoded()
         for i, own in zip(short, pieces, strict=True):
-            out[i] = (sum(map(known.__getitem__, own)), 1, 0)
+            try:
+                out[i] = (sum(map(known.__getitem__, own)), 1, 0)
+            except KeyError:
+                out[i] = (sum(known[p] if p in known else longer[p] for p in own), 1, 0)
         return out
 
     def encode(self, text: str, start: int, end: int) -> np.ndarray:
@@ -134,18 +151,15 @@ def splice(text: str, left: np.ndarray, right: np.ndarray, start: int, end: int)
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk_chars: int = 32_768, overlap_chars: int = 512, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, n_chunks, n_widened for every row; narrow, no shuffle.
 
-    Null and empty texts count 0. Repeated rows come out as often as they come in; other columns are left out."""
+    Null and empty texts count 0. Repeated rows and rows without a doc_id come out as often as they come in; a text has the same count wherever it stands, however long it
+    is; other columns are left out."""
     kind = id_type(docs, doc_id)
 
     def count(batches):
         counter = Counter(tokenizer_path, chunk_chars, overlap_chars)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                offsets, _ = text_buffers(part.column(1))
-                got = counter.many([t or "" for t in part.column(1).to_pylist()])
-                tokens, chunks, widened = (pa.array([g[i] for g in got], pa.int64()) for i in range(3))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), tokens, pa.array(np.array([g[0] > limit for g in got], bool)), chunks, widened], ["doc_id", "n_bytes", "n_tokens", "over_limit", "n_chunks", "n_widened"])
-        give_back()
+        for part, _, offsets in slices(batches, text, rows=500):
+            got = counter.many([t or "" for t in part.column(1).to_pylist()])
+            tokens, chunks, widened = (pa.array([g[i] for g in got], pa.int64()) for i in range(3))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), tokens, pa.array(np.array([g[0] > limit for g in got], bool)), chunks, widened], ["doc_id", "n_bytes", "n_tokens", "over_limit", "n_chunks", "n_widened"])
 
     return unclashed(docs, doc_id, text).mapInArrow(count, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, n_chunks bigint, n_widened bigint")
