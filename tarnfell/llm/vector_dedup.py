@@ -1,7 +1,7 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison.
 
 Unit vectors are rotated to principal axes, which leaves cosines as they are and puts most of them into the leading coordinates. A cell is
-a box of leading coordinates as wide as the largest distance two linked vectors can have, so links lie in the same or in adjacent cells.
+a box of leading coordinates at least as wide as the largest distance two linked vectors can have, so links lie in the same or in adjacent cells.
 Cells are dealt into tiles of bounded size, and every pair of tiles of adjacent cells is a task's input: it multiplies a block of leading
 dimensions after the other, bounds what is missing by the product of the suffix norms, and drops the pairs of vectors that can no
 longer reach the limit. Links are counted, and a spanning forest of them is kept: no pair is ever a row.
@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, id_type, spanning_roots, unclashed, written
+from .shared import components, id_type, salted_join, spanning_roots, unclashed, written
 
 TILE = 4096
 BLOCK = 1024
-#: Leading axes that make cells; there are at most (2 / width + 2) ** CELL_AXES cells.
-CELL_AXES = 3
+#: Leading axes that make cells, and the least width of a cell: whatever the limit, there are at most (2 / CELL_WIDTH + 2) ** CELL_AXES = 1,000 cells.
+CELL_AXES, CELL_WIDTH = 3, 0.25
 #: Dimensions that are multiplied before the first two bounds.
 STEPS = (16, 32)
 _NEAR = 1e-9
@@ -100,7 +100,8 @@ def linked_vectors(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id
     """vec_id, n_links, component_id, kept for every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of different lengths. Equal
-    vectors are compared once and counted as often as they occur; vec_id is taken to be unique. Extra columns are left out."""
+    vectors are compared once and counted as often as they occur, so rows that repeat a vec_id count as vectors of their own under one name; rows without a vec_id link with nothing.
+    Extra columns are left out."""
     own = unclashed(vectors, vec_id, embedding).toDF("vec_id", "embedding")
     spark = vectors.sparkSession
     kind = id_type(own, "vec_id")
@@ -116,7 +117,7 @@ def linked_vectors(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id
     counts = links.groupBy("vec_id").agg(F.sum("n").alias("n"))
     per = distinct.join(counts, "vec_id", "left").join(labels, distinct.vec_id == labels.node, "left")
     per = per.select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
-    all_links = good.withColumn("embedding", F.col("embedding").cast("array<double>")).join(per, "embedding").select("vec_id", "n_links", "component_id")
+    all_links = salted_join(good.withColumn("embedding", F.col("embedding").cast("array<double>")), per, ["embedding"], "vec_id", counts=distinct.select("embedding", F.col("copies").alias("n"))).select("vec_id", "n_links", "component_id")
     out = all_links.unionByName(own.where(~(_valid("embedding") & F.col("vec_id").isNotNull()) | F.col("embedding").isNull()).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.select("vec_id", F.col("n_links").cast("long"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
@@ -125,7 +126,7 @@ def _linked(vectors: DataFrame, dims: int, least: float, kind: str) -> DataFrame
     """(vec_id, n, root): links of a vector to other vectors (copies counted) and a vector that it is connected to, per pair of tiles."""
     spark = vectors.sparkSession
     axes = spark.sparkContext.broadcast(principal_axes(vectors, dims))
-    width = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
+    width = max(math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6, CELL_WIDTH)
     lead = min(CELL_AXES, dims)
 
     def celled(batches):
