@@ -19,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, id_type, spanning_roots, unclashed, written
+from .shared import components, id_type, salted_join, spanning_roots, unclashed, written
 from .words import LOWER_VALUES, find_words, mix, phrase_hashes, powers, slices, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
 #: 32 bands of 6: a pair at the limit shares no bucket once in 16,000 pairs, one at 0.85 once in 4 million.
 BANDS, ROWS = 32, 6
-#: Members that meet one copy of a pivot's text; members of a bucket in one tile; shingles of a matrix product.
-CHUNK, TILE, COLUMNS = 256, 256, 4096
+#: Members that meet one copy of a pivot's text; members of a bucket in one tile, and characters of their texts, both on average; shingles of a matrix product.
+CHUNK, TILE, TILE_CHARS, COLUMNS = 256, 256, 1 << 22, 4096
 _LOW52 = np.uint64((1 << 52) - 1)
 _STEP = 0xD6E8FEB86659FD93
 
@@ -180,9 +180,10 @@ def _links(bags: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray, known: n
 
 
 def _across(open_buckets: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(u, v): a spanning forest of the links between components inside the buckets (bucket, doc_id, root)."""
-    sets = open_buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id") % (1 << 40)).alias("s"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x"))
-    once = sets.groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    """(u, v): roots of components between which the buckets (bucket, doc_id, root, chars) hold a link, a spanning forest for each pair of tiles. A text that is longer than a
+    tile's share has a tile nearly to itself, so a task holds two tiles' texts and not a number of texts of any length."""
+    sets = open_buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.bit_xor(F.xxhash64("doc_id")).alias("s"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x"))
+    once = sets.groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket"), F.max("chars").alias("chars")).select("bucket", F.ceil(F.greatest(F.col("n") / TILE, F.col("chars") / TILE_CHARS)).cast("int").alias("tiles"))
     rows = open_buckets.join(once, "bucket").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("bucket", F.least("tile", "mate").alias("low"), F.greatest("tile", "mate").alias("high"), (F.col("tile") > F.col("mate")).cast("int").alias("side"), "doc_id", "root")
     rows = rows.join(texts, "doc_id").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "doc_id")
@@ -191,11 +192,11 @@ def _across(open_buckets: DataFrame, texts: DataFrame, least: float) -> DataFram
         key, held = None, []
 
         def emit(kind):
-            ids = np.array([h[0] for h in held])
+            roots = np.array([h[2] for h in held])
             a, b = _links([h[3] for h in held], np.array([h[1] for h in held]), np.array([h[2] for h in held]), least) if len(held) > 1 else ((), ())
             root = spanning_roots(np.asarray(a, np.int64), np.asarray(b, np.int64), len(held))
             some = np.flatnonzero(root != np.arange(len(held)))
-            return pa.RecordBatch.from_arrays([pa.array(ids[root[some]], kind), pa.array(ids[some], kind)], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(roots[root[some]], kind), pa.array(roots[some], kind)], ["u", "v"])
 
         kind = None
         for part, data, offsets in slices(batches, "text"):
@@ -218,11 +219,11 @@ def _across(open_buckets: DataFrame, texts: DataFrame, least: float) -> DataFram
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, representative (the smallest doc_id with the same words), class_id (the smallest doc_id reachable over links), kept (it is the class').
 
-    One row for every row with a doc_id. Null, empty and blank texts link with nothing. Rows that share a doc_id count as one document."""
+    One row for every row with a doc_id. Null, empty and blank texts link with nothing. Rows that share a doc_id count as one document, whose text is that of any of them
+    if they differ. A text of fewer than five words has one shingle, all of them. Long texts are taken whole; extra columns are left out."""
     docs = unclashed(docs, doc_id, text).toDF("doc_id", "text")
     signed = written(prepared(docs), "signatures")
-    same = written(signed.where("key1 is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("representative"), F.min_by("bands", "doc_id").alias("bands")), "unique")
-    members = signed.select("doc_id", "key1", "key2").join(same.drop("bands"), ["key1", "key2"], "left").select("doc_id", F.coalesce("representative", "doc_id").alias("representative"))
+    same = written(signed.where("key1 is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("representative"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("n")), "unique")
     buckets = same.select(F.col("representative").alias("doc_id"), F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(buckets.join(sizes, "bucket"), "buckets")
@@ -230,12 +231,17 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, text: str = "tex
     texts = written(docs.join(degrees.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]), "texts")
     pivots = shared.join(degrees, "doc_id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("low"))).alias("top")).select("bucket", (-F.col("top.low")).alias("pivot"))
     star = shared.join(pivots, "bucket").where("doc_id <> pivot").select("pivot", F.col("doc_id").alias("member")).distinct()
-    edges = written(_verified(star, texts, least), "edges")
-    labelled = shared.join(components(edges), F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    first = written(components(written(_verified(star, texts, least), "edges")), "roots")
+    labelled = shared.join(first, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     several = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
-    across = written(_across(written(labelled.join(several, "bucket"), "open"), texts, least), "edges")
-    labels = components(edges.unionByName(across))
-    out = members.join(labels, members.representative == labels.node, "left").select("doc_id", "representative", F.coalesce("root", "representative").alias("class_id"))
+    opened = written(labelled.join(several, "bucket").join(texts.select("doc_id", F.length("text").alias("chars")), "doc_id"), "open")
+    # only roots are joined anew: their classes are few
+    second = components(written(_across(opened, texts, least), "edges")).toDF("root", "top")
+    labels = first.join(second, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(second.join(first, second.root == first.node, "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root")))
+    classes = same.select("key1", "key2", "representative").join(labels, F.col("representative") == F.col("node"), "left").select("key1", "key2", "representative", F.coalesce("root", "representative").alias("class_id"))
+    told = signed.select("doc_id", "key1", "key2")
+    out = salted_join(told.where("key1 is not null"), classes, ["key1", "key2"], "doc_id", counts=same.select("key1", "key2", "n")).select("doc_id", "representative", "class_id")
+    out = out.unionByName(told.where("key1 is null").select("doc_id", F.col("doc_id").alias("representative"), F.col("doc_id").alias("class_id")))
     return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 

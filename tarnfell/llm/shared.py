@@ -16,9 +16,11 @@ MAX_LABELLED_ROWS = 12_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of this machine where that is unset and no other machine takes part (tests)."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.tarnfell.folder", "")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{os.path.realpath(tempfile.mkdtemp(prefix='spark-', dir='/tmp'))}"
         spark.conf.set("spark.tarnfell.folder", where)
     return where.rstrip("/")
@@ -70,10 +72,9 @@ def salted_join(rows: DataFrame, keyed: DataFrame, on: list[str], by: str, how:
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): the smallest node reachable over undirected edges (u, v). Alternates large-star and small-star steps
-    (Kiveris et al., Connected Components in MapReduce and Beyond) until every edge points at its root; nothing is collected
-    but two numbers a round. Nodes without edges are not listed."""
+    (Kiveris et al., Connected Components in MapReduce and Beyond) until the edges are stars: every node has one edge to a centre that has none itself,
+    so that nothing can change any more. One number a round reaches the driver. Nodes without edges are not listed."""
     now = written(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), name)
-    state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -81,10 +82,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = star.groupBy("b").agg(F.min("a").alias("m"))
         star = star.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("a").alias("v")), F.struct(F.col("m").alias("u"), F.col("b").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         now = written(star, name)
-        found = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1000003), F.lit(0))).first()
-        if found == state:
-            return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root"))
-        state = found
+        ends = now.select(F.col("v").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("u").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")).distinct())
+        loose = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1")
+        if loose.agg(F.count("*")).first()[0] == 0:
+            return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
 def spanning_roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
