@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns: every operator gives the result its docstring names."""
 
 import hashlib
+import itertools
 
 import public_tokenizers
 import pytest
@@ -149,8 +150,102 @@ def test_chat(spark):
         assert parse(render(role, text)[0]) == [(role, text)]
 
 
-def test_repeated_rows(spark, docs):
+def test_windows_of_gapped_turns(spark):
+    """Against prefix sums over the turns in order: numbers with gaps, many tiny turns, any budget."""
+    from tarnfell.llm.packing import Encoder
+
+    encode = Encoder(BYTES)
+    sets = {1: [(i * 1000, "user" if i % 2 else "assistant", f"tiny {i}") for i in range(10)], 2: [(i, "system" if i == 0 else "user" if i % 2 else "assistant", "word " * (i * 37 % 90)) for i in range(300)]}
+    frame = spark.createDataFrame([(c, *t) for c, turns in sets.items() for t in turns], "conv_id bigint, turn bigint, role string, text string")
+    for budget, history, most in ((100_000, 4, 512), (400, 3, 120)):
+        want = []
+        for c, turns in sets.items():
+            tokens = [len(encode(render(r, t)[0])) for _, r, t in turns]
+            sums = [0, *itertools.accumulate(tokens)]
+            start, window = 0, 0
+            while start < len(turns):
+                system = int(start > 0 and turns[0][1] == "system")
+                past = start - min(history, start - (turns[0][1] == "system")) if start else 0
+                room = budget - system * tokens[0]
+                while past < start and (sums[start] - sums[past] > most or sums[start + 1] - sums[past] > room):
+                    past += 1
+                end = start + 1
+                while end < len(turns) and sums[end + 1] - sums[past] <= room:
+                    end += 1
+                want.append((c, window, system + start - past, system * tokens[0] + sums[end] - sums[past]))
+                start, window = end, window + 1
+        got = chat_windows(frame, BYTES, budget, history, most).select("conv_id", "window", "n_repeated", "n_tokens").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_links_at_high_limits(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    angles = np.sort(rng.uniform(0, 2 * np.pi, 1500))
+    x = np.stack([np.cos(angles), np.sin(angles)], 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    want = (x @ x.T >= 0.9999).sum() - len(x)
+    assert linked_vectors(df, 0.9999).agg({"n_links": "sum"}).first()[0] == want
+
+
+def test_marginals():
+    """Against all labellings of short chains."""
+    import numpy as np
+
+    from tarnfell.llm.quality import BINS, FEATURES, Chain, gradient
+
+    rng = np.random.default_rng(9)
+    chain = Chain(np.zeros((3, len(FEATURES), BINS + 1)), rng.normal(size=(2, 2)) * 2)
+    owner = np.repeat(np.arange(7), [1, 4, 2, 6, 1, 3, 5])
+    e = rng.normal(size=len(owner)) * 3
+    good, moves = chain.marginals(owner, e)
+    total = np.zeros((2, 2))
+    for k in range(7):
+        mine = e[owner == k]
+        labels = np.array(list(itertools.product((0, 1), repeat=len(mine))))
+        w = np.exp(labels @ mine + chain.steps[labels[:, :-1], labels[:, 1:]].sum(1))
+        w /= w.sum()
+        assert np.allclose(good[owner == k], w @ labels)
+        for a, b in itertools.product((0, 1), repeat=2):
+            total[a, b] += (w[:, None] * ((labels[:, :-1] == a) & (labels[:, 1:] == b))).sum()
+    assert np.allclose(moves, total)
+    # the gradient, against differences of the likelihood by enumeration
+    own = rng.integers(0, BINS, (6, len(FEATURES))).astype(np.uint8)
+    y, theta = np.array([1, 1, 0, 0, 1, 1]), rng.normal(size=3 * len(FEATURES) * (BINS + 1) + 5) * 0.3
+
+    def likelihood(t):
+        from tarnfell.llm.quality import placed
+
+        c, out = Chain.of(t), 0.0
+        for part in (slice(0, 4), slice(4, 6)):
+            em = c.emissions(placed(np.zeros(len(y[part]), int), own[part]))
+            labels = np.array(list(itertools.product((0, 1), repeat=len(em))))
+            s = labels @ em + c.steps[labels[:, :-1], labels[:, 1:]].sum(1)
+            out += s[(labels == y[part]).all(1)][0] - np.log(np.exp(s).sum())
+        return out / len(y)
+
+    g = gradient(theta, np.array([0, 0, 0, 0, 1, 1]), own, y)
+    for i in (*rng.integers(0, len(theta), 20), *range(len(theta) - 5, len(theta))):
+        step = np.zeros(len(theta))
+        step[i] = 1e-5
+        assert abs((likelihood(theta + step) - likelihood(theta - step)) / 2e-5 - 3e-6 * theta[i] - g[i]) < 1e-6
+
+
+def test_very_many_lines(spark):
+    """A labelled text of 200,000 lines is learned and scored whole."""
+    rows = [(i, "good words here\nand more of them" if i % 2 else "| x | 77 |\n| 8 |") for i in range(1, 60)] + [(60, "| x | 77 |\n" * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, quality int")
+    got = {r.doc_id: r for r in quality_scores(df, train_quality(df, labels)).collect()}
+    assert got[60].n_lines == 200_001 and got[60].n_bad_lines > 199_000 and got[60].score < 0.3 < got[1].score
+
+
+def test_repeated_rows(spark, docs, labels):
     twice = docs.unionByName(docs)
+    chain, toxic, bench = train_quality(docs, labels), train_toxicity(docs, labels), spark.createDataFrame([(1, PROSE)], "item_id bigint, text string")
+    for make in (lambda d: quality_scores(d, chain), lambda d: toxicity_scores(d, toxic), lambda d: packed(d, BYTES), lambda d: contaminated(d, bench)):
+        assert make(twice).count() == 2 * make(docs).count() > 0
     assert token_counts(twice, WORDS).count() == 24
     assert near_duplicates(twice).count() == 24
     assert ids(twice.where("doc_id > 100")) == []
