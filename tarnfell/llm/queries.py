@@ -53,7 +53,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("n_stretches")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, train_toxicity(docs, table(spark, sf_dir, "labels"))).withColumn("held_out", held_out())
 
 
+def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 reads back of the turns themselves, without what depends on tokens."""
+    return op1_chat_windows(spark, sf_dir).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+
+
+def personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's base spans, counted."""
+    return op3_personal_data(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_windows": op1_chat_windows,
     "op2_near_duplicates": op2_near_duplicates,
@@ -84,5 +94,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_toxicity": op10_toxicity,
+    "chat_digests": chat_digests,
+    "personal_data_counts": personal_data_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+_REACH = """reach AS (SELECT DISTINCT a AS node, a AS root FROM (SELECT a FROM links UNION ALL SELECT b FROM links) UNION SELECT l.b, r.root FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = r.node WHERE r.root < l.b),
+classes AS (SELECT node, min(root) AS root FROM reach GROUP BY node)"""
+#: Every pair of texts by its exact similarity, the classes by a closure of the links.
+_NEAR = f"""WITH RECURSIVE plain AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
+alike AS (SELECT doc_id, words, CASE WHEN len(words) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY md5(array_to_string(words, ' '))) END AS representative FROM plain),
+one AS (SELECT doc_id, words FROM alike WHERE doc_id = representative AND len(words) > 0),
+bag AS (SELECT doc_id, s, count(*) AS c FROM (SELECT doc_id, unnest(CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS s FROM one) GROUP BY doc_id, s),
+total AS (SELECT doc_id, sum(c) AS t FROM bag GROUP BY doc_id),
+common AS (SELECT p.doc_id AS a, q.doc_id AS b, sum(p.c) AS x, sum(q.c) AS y FROM bag p JOIN bag q ON p.s = q.s AND p.doc_id < q.doc_id GROUP BY 1, 2),
+may AS (SELECT a, b, p.t - x AS only_a, q.t - y AS only_b FROM common JOIN total p ON p.doc_id = a JOIN total q ON q.doc_id = b WHERE x >= 0.79 * p.t AND y >= 0.79 * q.t),
+met AS (SELECT a, b, only_a, only_b, p.c AS x, q.c AS y, CAST(p.c AS DOUBLE) / q.c AS r FROM may JOIN bag p ON p.doc_id = a JOIN bag q ON q.doc_id = b AND q.s = p.s),
+ratios AS (SELECT a, b, only_a, only_b, r, sum(x) AS mass FROM met GROUP BY ALL),
+parts AS (SELECT t.a, t.b, t.r, any_value(mass) / (any_value(t.only_a) + t.r * any_value(t.only_b) + sum(greatest(m.x, t.r * m.y))) AS part FROM ratios t JOIN met m ON m.a = t.a AND m.b = t.b GROUP BY t.a, t.b, t.r),
+links AS (SELECT a, b FROM parts GROUP BY a, b HAVING sum(part) >= 0.8 - 1e-12), {_REACH}
+SELECT doc_id, representative, coalesce(root, representative) AS class_id, doc_id = coalesce(root, representative) AS kept FROM alike LEFT JOIN classes ON node = representative"""
+#: Every window of 50 words by its first document.
+_PASSAGES = f"""WITH plain AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+windows AS (SELECT doc_id, unnest(hashes) AS h, generate_subscripts(hashes, 1) AS i FROM (SELECT doc_id, list_transform(range(1, len(words) - 48), lambda i: md5(array_to_string(words[i:i + 49], ' '))) AS hashes FROM plain WHERE len(words) > 49)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS place FROM windows JOIN (SELECT h, min(doc_id) AS first_doc FROM windows GROUP BY h) USING (h) WHERE doc_id > first_doc),
+every AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM plain),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text FROM every ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM plain LEFT JOIN removed USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
+_VECTORS = f"""WITH RECURSIVE good AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM good p JOIN good q ON p.vec_id < q.vec_id AND len(p.e) = len(q.e) AND list_cosine_similarity(p.e, q.e) >= 0.9), {_REACH},
+counts AS (SELECT a, count(*) AS n FROM (SELECT a FROM links UNION ALL SELECT b FROM links) GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, vec_id = coalesce(root, vec_id) AS kept FROM embeddings LEFT JOIN counts ON a = vec_id LEFT JOIN classes ON node = vec_id"""
+_CHAT = f"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '{_TRICKY}' UNION ALL SELECT -1, 1, 'assistant', '{_TRICKY}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256 FROM turns GROUP BY conv_id"""
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN CAST({_DIGITS}[i] AS INT) WHEN CAST({_DIGITS}[i] AS INT) > 4 THEN 2 * CAST({_DIGITS}[i] AS INT) - 9 ELSE 2 * CAST({_DIGITS}[i] AS INT) END)) % 10 = 0"
+_PERSONAL = f"""SELECT doc_id, len(regexp_extract_all(body, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')) AS n_email,
+len(list_filter(regexp_extract_all(body, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)'), lambda v: len(list_filter(string_split(v, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0)) AS n_ip,
+len(list_filter(regexp_extract_all(body, '[0-9]([\\x20-]?[0-9])+'), lambda v: length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN})) AS n_card,
+len(list_filter(regexp_extract_all(body, '\\+[0-9][\\x20().0-9-]+[0-9]'), lambda v: length({_DIGITS}) BETWEEN 9 AND 15)) AS n_phone FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents)"""
+ORACLE_SQL: dict[str, str] = {"op2_near_duplicates": _NEAR, "op6_substring_dedup": _PASSAGES, "op9_vector_dedup": _VECTORS, "chat_digests": _CHAT, "personal_data_counts": _PERSONAL}
