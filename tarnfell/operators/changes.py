@@ -91,10 +91,18 @@ def apply_sync(index: DataFrame, done: DataFrame, new_chunks: DataFrame) -> Data
     return index.join(gone, "document_id", "left_anti").unionByName(new_chunks.join(fresh, "document_id", "left_semi").select(index.columns))
 
 
+def _bucket() -> Column:
+    return F.when(F.col("outcome") == "indexed", F.when(F.col("old").isNull(), "added").otherwise("updated")).when(F.col("outcome").isin("failed", "kept", "given_up"), "failed").otherwise(F.col("outcome"))
+
+
 def sync_report(done: DataFrame) -> DataFrame:
-    """bucket, files, paths: added, updated, deleted, unchanged, failed (with those given up)."""
-    bucket = F.when(F.col("outcome") == "indexed", F.when(F.col("old").isNull(), "added").otherwise("updated")).when(F.col("outcome").isin("failed", "kept", "given_up"), "failed").otherwise(F.col("outcome"))
-    return done.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("files"), F.array_sort(F.collect_list("relative_path")).alias("paths"))
+    """bucket, files: how many were added, updated, deleted, unchanged, failed (with those given up)."""
+    return done.groupBy(_bucket().alias("bucket")).agg(F.count("*").alias("files"))
+
+
+def sync_changes(done: DataFrame) -> DataFrame:
+    """relative_path, bucket of every file that is not unchanged; a row each, nothing is gathered."""
+    return done.select("relative_path", _bucket().alias("bucket")).where("bucket <> 'unchanged'")
 
 
 def integrity_check(manifest: DataFrame, index: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Keyword search: an inverted index with BM25 scores, for many questions at once.
 
-The index is three tables: postings (term, chunk_id, tf, dl), term_stats (term, df), corpus_stats (n, avgdl). Question terms are few next to postings, so
-the join on term filters the postings where they lie whenever Spark finds the terms small enough to send."""
+The index is three tables: postings (term, chunk_id, tf, dl), term_stats (term, df), corpus_stats (n, avgdl). Texts are tokenized once, when the postings are written; the
+statistics come from them. A search keeps the postings of its terms where they lie, and reads texts only for the pool of a question: the terms and the pool are counted, and sent to the
+executors where they prove small."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, content_terms, tokens
+from ..sources.stores import sized, written
 
 #: Metadata that is searched beside the text.
 SEARCHED = ("file_name", "sheet_name", "header_path", "language")
@@ -43,15 +45,20 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """One row: n, avgdl (1.0 if there is nothing)."""
-    sizes = chunks.select(F.size(tokens(searchable_text(chunks))).alias("dl"))
-    return sizes.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl") / F.count("*"), F.lit(0.0)).alias("mean")).select("n", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("avgdl"))
+def corpus_stats(chunks: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """One row: n, avgdl (1.0 if there is nothing). With the chunks' postings no text is read."""
+    if postings is None:
+        sums = chunks.select(F.size(tokens(searchable_text(chunks))).alias("dl")).agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
+    else:
+        sums = chunks.agg(F.count("*").alias("n")).crossJoin(postings.agg(F.sum("tf").alias("total")))
+    mean = F.coalesce(F.col("total") / F.col("n"), F.lit(0.0))
+    return sums.select("n", F.when(F.col("n") == 0, 1.0).when(mean > 0, mean).otherwise(1.0).alias("avgdl"))
 
 
 def build_index(chunks: DataFrame) -> LexicalIndex:
-    postings = build_postings(chunks)
-    return LexicalIndex(postings, term_stats(postings), corpus_stats(chunks))
+    """Written to the shared folder once, read by every search."""
+    postings = written(build_postings(chunks), "postings")
+    return LexicalIndex(postings, term_stats(postings), corpus_stats(chunks, postings))
 
 
 def query_terms(questions: DataFrame) -> DataFrame:
@@ -63,21 +70,23 @@ def query_terms(questions: DataFrame) -> DataFrame:
 def bm25(questions: DataFrame, index: LexicalIndex, k1: float = K1, b: float = B) -> DataFrame:
     """question_id, chunk_id, score (9 decimals) of all chunks that share a term with the question."""
     stats = index.corpus_stats
-    terms = query_terms(questions).join(index.term_stats, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    asked = query_terms(questions)
+    held = index.postings.join(sized(asked.select("term").distinct()), "term", "left_semi")
+    terms = asked.join(term_stats(held), "term").crossJoin(F.broadcast(stats))  # stats is one row
     weighted = terms.select("question_id", "term", "avgdl", F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     length = F.when(F.col("dl") > 0, F.col("dl")).otherwise(1)
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length / F.col("avgdl")))
-    return index.postings.join(weighted, "term").groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
+    return held.join(weighted, "term").groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def keyword_search(questions: DataFrame, chunks: DataFrame, index: LexicalIndex | None = None, k: int = 12) -> DataFrame:
     """question_id, chunk_id, score, rank: the k best of the 3k best BM25 chunks after a boost for chunks that hold the whole question. Ties: chunk_id."""
     index = index or build_index(chunks)
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
-    pool = bm25(questions, index).withColumn("place", F.row_number().over(best)).where(F.col("place") <= POOL * k)
+    pool = written(bm25(questions, index).withColumn("place", F.row_number().over(best)).where(F.col("place") <= POOL * k), "pool")
     asked = questions.select("question_id", F.lower(F.trim("question")).alias("phrase"), _content_count("question").alias("terms"))
     texts = chunks.select("chunk_id", F.lower(searchable_text(chunks)).alias("body"))
-    boosted = pool.join(asked, "question_id").join(texts, "chunk_id").withColumn("score", F.col("score") + F.when((F.col("terms") > 1) & (F.col("phrase") != "") & F.col("body").contains(F.col("phrase")), PHRASE_BOOST).otherwise(0.0))
+    boosted = texts.join(sized(pool), "chunk_id").join(asked, "question_id").withColumn("score", F.col("score") + F.when((F.col("terms") > 1) & (F.col("phrase") != "") & F.col("body").contains(F.col("phrase")), PHRASE_BOOST).otherwise(0.0))
     final = Window.partitionBy("question_id").orderBy(F.desc("score"), "place")
     return boosted.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("question_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 

@@ -6,8 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Questions whose vectors a task holds at once.
 QUESTIONS = 4096
@@ -28,6 +30,13 @@ def embed(rows: DataFrame, function: Callable[[list[str]], np.ndarray], text: st
     return rows.select(key, text).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<float>")
 
 
+def _whole(lists: pa.Array) -> np.ndarray:
+    """Whether each list has no null in it."""
+    holes = np.concatenate([[0], np.cumsum(np.asarray(lists.flatten().is_null()))])
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+    return holes[ends] == holes[np.concatenate([[0], ends[:-1]])]
+
+
 def vector_search(questions: DataFrame, vectors: DataFrame, k: int = 12, block: int = QUESTIONS) -> DataFrame:
     """question_id, chunk_id, score, rank: the k vectors of highest cosine, exact; ties by chunk_id.
 
@@ -37,6 +46,7 @@ def vector_search(questions: DataFrame, vectors: DataFrame, k: int = 12, block:
     blocks = -(-questions.count() // block)
     kind, qkind = (df.schema[c].dataType.simpleString() for df, c in ((vectors, "chunk_id"), (questions, "question_id")))
     schema = f"question_id {qkind}, chunk_id {kind}, score double"
+    chunk_type, question_type = to_arrow_type(vectors.schema["chunk_id"].dataType), to_arrow_type(questions.schema["question_id"].dataType)
     found = spark.createDataFrame([], schema)
 
     def local_best(held):
@@ -44,25 +54,30 @@ def vector_search(questions: DataFrame, vectors: DataFrame, k: int = 12, block:
             ids, matrix = held.value
             scores = np.full((len(ids), 0), 0.0)
             names = np.zeros((len(ids), 0), np.int64)
-            known: list = []
+            known = pa.array([], chunk_type)
             for b in batches:
-                rows = [(c, v) for c, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if v is not None and len(v) == matrix.shape[1] and None not in v]
-                if not rows or not len(ids):
+                own, lists = b.column(0), b.column(1)
+                flat = lists.flatten()
+                if flat.null_count:
+                    lists = pc.if_else(pa.array(_whole(lists)), lists, None)
+                good = pc.fill_null(pc.equal(pc.list_value_length(lists), matrix.shape[1]), False)
+                own, lists = own.filter(good), lists.filter(good)
+                if not len(own) or not len(ids):
                     continue
-                x = np.array([v for _, v in rows], np.float64)
+                x = np.asarray(lists.flatten(), np.float64).reshape(-1, matrix.shape[1])
                 norm = np.linalg.norm(x, axis=1, keepdims=True)
                 s = np.where(norm[:, 0] > 0, matrix @ (x / np.where(norm > 0, norm, 1)).T, -np.inf)
                 scores = np.concatenate([scores, s], 1)
-                names = np.concatenate([names, np.broadcast_to(np.arange(len(known), len(known) + len(rows)), s.shape)], 1)
-                known += [c for c, _ in rows]
+                names = np.concatenate([names, np.broadcast_to(np.arange(len(known), len(known) + len(own)), s.shape)], 1)
+                known = pa.concat_arrays([known, own])
                 order = np.empty(len(known), np.int64)
-                order[sorted(range(len(known)), key=known.__getitem__)] = np.arange(len(known))
+                order[np.asarray(pc.sort_indices(known))] = np.arange(len(known))
                 top = np.lexsort((order[names], -scores.round(9)), axis=1)[:, :k]
                 scores, names = np.take_along_axis(scores, top, 1), np.take_along_axis(names, top, 1)
                 used = np.unique(names)
-                known, names = [known[i] for i in used], np.searchsorted(used, names)
+                known, names = known.take(pa.array(used)), np.searchsorted(used, names)
             q, c = np.nonzero(np.isfinite(scores))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), pa.array([known[i] for i in names[q, c]]), pa.array(scores[q, c].round(9))], ["question_id", "chunk_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], question_type), known.take(pa.array(names[q, c].astype(np.int64))), pa.array(scores[q, c].round(9))], ["question_id", "chunk_id", "score"])
 
         return run
 

@@ -78,7 +78,7 @@ JUDGED = """CASE conv_id % 6 WHEN 0 THEN '{"relevant": true, "faithful": true, "
 WHEN 2 THEN '{"relevant": true, "faithful": true, "verdict": "PASS", "issues": []}' WHEN 3 THEN 'broken {' WHEN 4 THEN '{"relevant": 0, "faithful": "maybe", "complete": "y", "verdict": "FAIL", "issues": ["a", " ", "b"]}' ELSE '{"relevant": "TRUE", "faithful": "true", "complete": 1.0, "verdict": "FAIL", "issues": null}' END"""
 EVALUATED = f"""evaluated AS (SELECT *, CASE WHEN n_blocks = 0 THEN 'none' WHEN conv_id % 6 IN (2, 3) THEN 'broken' ELSE 'read' END AS kind, conv_id % 6 IN (0, 1, 5) AS r, conv_id % 6 IN (0, 1, 5) AND len(bad) = 0 AS f, conv_id % 6 IN (0, 4, 5) AS c FROM faults),
 judged AS (SELECT *, kind = 'read' AND r AS relevant, kind = 'read' AND f AS faithful, kind = 'read' AND c AS complete, CASE WHEN kind = 'read' AND r AND f AND c THEN 'PASS' ELSE 'FAIL' END AS verdict, kind = 'broken' AS evaluation_error,
-CASE kind WHEN 'none' THEN 'No retrieval context was available.' WHEN 'broken' THEN 'The evaluation could not be read.' ELSE concat_ws('; ', CASE conv_id % 6 WHEN 1 THEN 'too short' WHEN 4 THEN 'a; b' END, CASE WHEN len(bad) > 0 THEN 'Answer cites non-existent context blocks: ' || array_to_string({_BAD}, ', ') || '.' END) END AS issues FROM evaluated)"""
+CASE kind WHEN 'none' THEN 'Nothing was retrieved.' WHEN 'broken' THEN 'The judgement is not readable.' ELSE concat_ws('; ', CASE conv_id % 6 WHEN 1 THEN 'too short' WHEN 4 THEN 'a; b' END, CASE WHEN len(bad) > 0 THEN 'Cited blocks do not exist: ' || array_to_string({_BAD}, ', ') || '.' END) END AS issues FROM evaluated)"""
 
 
 def _judged(spark, sf_dir):
@@ -90,10 +90,10 @@ def judge_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).select("question_id", "evaluation.*").withColumn("issues", F.array_join("issues", "; "))
 
 
-@query(with_sql("SELECT question_id, len(list_filter(lits, lambda t: true)) >= 0 AS checked, CASE WHEN missing = '' THEN '' ELSE 'missing' END || CASE WHEN invalid = '' THEN '' ELSE ' invalid' END AS kinds FROM (SELECT l.question_id, l.lits, array_to_string(list_filter(l.lits, lambda t: NOT contains(" + _NORMAL.format("l.context") + ", regexp_replace(" + _NORMAL.format("t") + ", '%+$', ''))), ' ') AS missing, array_to_string(list_filter(c.numbers, lambda n: CAST(n AS INT) <> 1), ' ') AS invalid FROM distinct_literals l JOIN cited c USING (question_id))", ANSWERS_SQL, LITERALS, CITED))
+@query(with_sql("SELECT question_id, CASE WHEN missing = '' THEN '' ELSE 'missing' END || CASE WHEN invalid = '' THEN '' ELSE ' invalid' END AS kinds FROM (SELECT l.question_id, l.lits, array_to_string(list_filter(l.lits, lambda t: NOT contains(" + _NORMAL.format("l.context") + ", regexp_replace(" + _NORMAL.format("t") + ", '%+$', ''))), ' ') AS missing, array_to_string(list_filter(c.numbers, lambda n: CAST(n AS INT) <> 1), ' ') AS invalid FROM distinct_literals l JOIN cited c USING (question_id))", ANSWERS_SQL, LITERALS, CITED))
 def judge_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = verify.judge_hints(given.answers(spark, sf_dir))
-    return rows.select("question_id", (F.length("hints") >= 0).alias("checked"), F.concat(F.when(F.col("hints").contains("no context holds"), "missing").otherwise(""), F.when(F.col("hints").contains("do not exist"), " invalid").otherwise("")).alias("kinds"))
+    return rows.select("question_id", F.concat(F.when(F.col("hints").contains("no context holds"), "missing").otherwise(""), F.when(F.col("hints").contains("do not exist"), " invalid").otherwise("")).alias("kinds"))
 
 
 _STEP_INPUT = {"mode": "CASE conv_id % 5 WHEN 0 THEN 'semantic' WHEN 1 THEN 'keyword' WHEN 2 THEN 'hybrid' WHEN 3 THEN 'summary' ELSE 'semantic' END", "attempt": "CAST(1 + turn % 3 AS INT)", "recovered": "conv_id % 7 = 0", "recovery_changed": "conv_id % 4 <> 1"}

@@ -152,15 +152,25 @@ def sync_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.apply_sync(given.index(old), done, fresh.where("chunk_no is not null")).groupBy("document_id").agg(F.count("*").alias("nodes"))
 
 
-@query(with_sql("""SELECT CASE WHEN outcome = 'indexed' THEN CASE WHEN known THEN 'updated' ELSE 'added' END WHEN outcome IN ('failed', 'kept', 'given_up') THEN 'failed' ELSE outcome END AS bucket, count(*) AS files, string_agg(relative_path, ',' ORDER BY relative_path) AS paths FROM done GROUP BY 1""", FILES_SQL, MANIFEST_SQL, PLAN_SQL, DONE_SQL))
+_BUCKET = "CASE WHEN outcome = 'indexed' THEN CASE WHEN known THEN 'updated' ELSE 'added' END WHEN outcome IN ('failed', 'kept', 'given_up') THEN 'failed' ELSE outcome END"
+
+
+@query(with_sql(f"SELECT {_BUCKET} AS bucket, count(*) AS files FROM done GROUP BY 1", FILES_SQL, MANIFEST_SQL, PLAN_SQL, DONE_SQL))
 def sync_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.sync_report(_done(spark, sf_dir)[2]).withColumn("paths", F.array_join("paths", ","))
+    return changes.sync_report(_done(spark, sf_dir)[2])
+
+
+@query(with_sql(f"SELECT relative_path, bucket FROM (SELECT relative_path, {_BUCKET} AS bucket FROM done) WHERE bucket <> 'unchanged'", FILES_SQL, MANIFEST_SQL, PLAN_SQL, DONE_SQL))
+def sync_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.sync_changes(_done(spark, sf_dir)[2])
 
 
-@query(with_sql("SELECT CAST((SELECT sum(indexed_nodes) FROM manifest WHERE status <> 'failed') AS BIGINT) AS expected, (SELECT count(*) FROM idx WHERE hash(document_id) IS NOT NULL AND chunk_no < 3) AS actual, false AS passes", FILES_SQL, MANIFEST_SQL, INDEX_SQL))
+@query(with_sql("SELECT which, expected, actual, expected = actual AS passes FROM (SELECT CAST(sum(indexed_nodes) AS BIGINT) AS expected FROM manifest WHERE status <> 'failed'), (SELECT 'cut' AS which, count(*) AS actual FROM idx WHERE chunk_no < 3 UNION ALL SELECT 'whole', count(*) FROM idx)", FILES_SQL, MANIFEST_SQL, INDEX_SQL))
 def index_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both outcomes: an index that lacks rows, and the whole one."""
     old = given.manifest(given.files(spark, sf_dir))
-    return changes.integrity_check(old, given.index(old).where("chunk_no < 3"))
+    cut, whole = given.index(old).where("chunk_no < 3"), given.index(old)
+    return changes.integrity_check(old, cut).withColumn("which", F.lit("cut")).unionByName(changes.integrity_check(old, whole).withColumn("which", F.lit("whole")))
 
 
 @query(with_sql("""SELECT n.relative_path, m.relative_path IS NOT NULL AS removed, (SELECT count(*) FROM idx WHERE document_id NOT IN (SELECT document_id FROM manifest WHERE doc_id % 19 = 2 AND status <> 'failed' AND NOT starts_with(relative_path, 'gone/'))) AS nodes_left

@@ -133,12 +133,13 @@ CASE conv_id % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'unverified' ELSE 'no_eviden
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four documents for each conversation, in an order of their own: question_id, chunk_id, score, rank."""
+    """Four documents for each conversation, from anywhere in the table, in an order of their own: question_id, chunk_id, score, rank."""
+    ids = table(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("n"))  # one row
     rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").selectExpr("conv_id * 1000 + turn AS question_id", "conv_id")
-    return rows.selectExpr("question_id", "explode(sequence(1, 4)) AS rank", "conv_id").selectExpr("question_id", "(conv_id * 7 + rank * 3) % 200 AS chunk_id", "1.0D / (rank + conv_id % 3) AS score", "rank")
+    return rows.selectExpr("question_id", "explode(sequence(1, 4)) AS rank", "conv_id").crossJoin(F.broadcast(ids)).selectExpr("question_id", "(conv_id * 7919 + rank * 104729) % n AS chunk_id", "1.0D / (rank + conv_id % 3) AS score", "rank")
 
 
-HITS_SQL = "hits AS (SELECT question_id, (conv_id * 7 + rank * 3) % 200 AS chunk_id, CAST(1.0 AS DOUBLE) / (rank + conv_id % 3) AS score, rank FROM (SELECT conv_id * 1000 + turn AS question_id, unnest(range(1, 5)) AS rank, conv_id FROM conversations WHERE role = 'assistant'))"
+HITS_SQL = "hits AS (SELECT question_id, (conv_id * 7919 + rank * 104729) % (SELECT max(doc_id) + 1 FROM documents) AS chunk_id, CAST(1.0 AS DOUBLE) / (rank + conv_id % 3) AS score, rank FROM (SELECT conv_id * 1000 + turn AS question_id, unnest(range(1, 5)) AS rank, conv_id FROM conversations WHERE role = 'assistant'))"
 
 
 def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,7 +182,7 @@ regexp_matches(question, '(?i){_B}(summari[sz]e|summary|overview|main themes?|ke
 regexp_matches(question, '(?i){_B}(compare|comparison|contrast|differences?|versus|vs\\.?|across|both|multiple|and explain|why and how){_E}') OR length(question) - length(replace(question, '?', '')) > 1 AS complex,
 len(list_filter(string_split_regex(question, '\\s+'), lambda w: w <> '')) AS words FROM asked),
 routed AS (SELECT question_id, question, CASE WHEN chosen <> 'auto' THEN chosen WHEN broad THEN 'summary' WHEN strong AND words <= 6 AND NOT complex THEN 'keyword' WHEN strong OR weak OR numbers OR complex THEN 'hybrid' ELSE 'semantic' END AS mode,
-CASE WHEN chosen <> 'auto' THEN 'user selected' WHEN broad THEN 'broad/global question' WHEN strong AND words <= 6 AND NOT complex THEN 'short identifier lookup' WHEN strong THEN 'identifier signals inside a longer question' WHEN weak OR numbers OR complex THEN 'lexical hints or multi-part question' ELSE 'conceptual/semantic question' END AS reason,
+CASE WHEN chosen <> 'auto' THEN 'as asked' WHEN broad THEN 'asks about the whole' WHEN strong AND words <= 6 AND NOT complex THEN 'a short identifier' WHEN strong THEN 'an identifier in a longer question' WHEN weak OR numbers OR complex THEN 'exact words or several parts' ELSE 'a matter of meaning' END AS reason,
 chosen = 'auto' AND (strong OR weak OR numbers) AS needs_exact_match, chosen = 'auto' AND broad AS is_broad, chosen = 'auto' AND complex AS is_complex, chosen IN ('auto', 'semantic', 'keyword', 'hybrid', 'summary') AS mode_ok FROM flags)"""
 
 

@@ -6,7 +6,6 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -40,8 +39,8 @@ def sync_stream(found: DataFrame, folder: str, ingest: Callable[[DataFrame], tup
     """A stream of inventory rows (relative_path, document_id, hash, extension, size, mtime_ns) kept in step with index and manifest below folder; returns the query, not yet
     awaited. Files are new or changed, never gone: deletions need a whole inventory.
 
-    ingest takes the planned rows to be read (relative_path, new) and returns (chunks, results) as outcomes() wants them. Each batch writes the index first and the manifest
-    last; both are snapshots by batch number, so a batch that is run again gives the same tables."""
+    ingest takes the planned rows to be read (relative_path, new) and returns (chunks, results) as outcomes() wants them. Each batch replaces the index' buckets that its documents
+    fall in, then publishes the manifest under its number; a batch that is run again gives the same tables."""
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
@@ -50,11 +49,7 @@ def sync_stream(found: DataFrame, folder: str, ingest: Callable[[DataFrame], tup
         plan = changes.plan_sync(manifest, latest).where("action <> 'delete'")
         chunks, results = ingest(plan.where("action in ('ingest_new', 'ingest_changed', 'retry')").select("relative_path", "new"))
         done = changes.outcomes(plan, results)
-        try:
-            index = spark.read.parquet(f"{folder}/index/v={number - 1}")
-        except AnalysisException:
-            index = chunks.limit(0)
-        changes.apply_sync(index, done, chunks).write.mode("overwrite").parquet(f"{folder}/index/v={number}")
+        stores.update_index(f"{folder}/index", latest, lambda old: changes.apply_sync(old, done, chunks), chunks)
         untouched = manifest.join(latest.select("relative_path"), "relative_path", "left_anti")
         stores.write_manifest(untouched.unionByName(changes.next_manifest(done)), f"{folder}/manifest", number)
 

@@ -35,7 +35,7 @@ def test_sync_stream(spark, tmp_path):
         query.stop()
     manifest = stores.read_manifest(spark, f"{tmp_path}/out/manifest")
     assert {(r.relative_path, r.hash, r.indexed_nodes) for r in manifest.collect()} == {("a.txt", "h9", 1), ("b.txt", "h2", 1)}
-    index = spark.read.parquet(f"{tmp_path}/out/index/v=1")
+    index = stores.read_index(spark, f"{tmp_path}/out/index")
     assert {(r.document_id, r.text) for r in index.collect()} == {("1", "h9"), ("2", "h2")}
     assert changes.integrity_check(manifest, index).first().passes
 

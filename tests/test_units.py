@@ -63,7 +63,7 @@ def test_rrf_tie(spark):
 def test_judgement(spark):
     rows = [('{"relevant": true, "faithful": true, "complete": true, "verdict": "x", "issues": "one"}', "ok [Context 9]", 2), ("{", "", 2), ("{}", "", 0)]
     got = [r.evaluation for r in verify.normalize_judgement(spark.createDataFrame(rows, "judgement string, answer string, n_blocks int")).collect()]
-    assert (got[0].verdict, got[0].faithful, got[0].issues) == ("FAIL", False, ["one", "Answer cites non-existent context blocks: [Context 9]."])
+    assert (got[0].verdict, got[0].faithful, got[0].issues) == ("FAIL", False, ["one", "Cited blocks do not exist: [Context 9]."])
     assert got[1].evaluation_error and not got[2].evaluation_error
 
 
@@ -91,6 +91,11 @@ def test_manifest_round_trip(spark, tmp_path):
     own = [("a\\b.txt", "id", "h", ".txt", 1, 1, "indexed", 2, None)]
     stores.write_manifest(spark.createDataFrame(own, stores.MANIFEST_SCHEMA), str(tmp_path), 1)
     assert [r.relative_path for r in stores.read_manifest(spark, str(tmp_path)).collect()] == ["a/b.txt"]
+    # a reader between snapshot and pointer, and one beside an unfinished pointer, see the version before
+    spark.createDataFrame([("new.txt", "n", "h", ".txt", 1, 1, "indexed", 2, None)], stores.MANIFEST_SCHEMA).write.parquet(str(tmp_path / "v=2"))
+    (tmp_path / "published" / "n=2" / "_temporary").mkdir(parents=True)
+    assert stores.latest_version(spark, str(tmp_path)) == 1
+    assert [r.relative_path for r in stores.read_manifest(spark, str(tmp_path)).collect()] == ["a/b.txt"]
     stores.write_manifest(spark.createDataFrame([*own, ("a/b.txt", "x", "h", "", 1, 1, "indexed", 1, None)], stores.MANIFEST_SCHEMA), str(tmp_path), 2)
     assert stores.read_manifest(spark, str(tmp_path)).count() == 0
     assert stores.read_manifest(spark, str(tmp_path / "none")).count() == 0
