@@ -1,39 +1,19 @@
-"""Helpers that several operators use: tables in the shared folder, labelled samples, connected components."""
+"""Helpers that several operators use: labelled samples, joins with hot keys, connected components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.stores import written
+
+__all__ = ["MAX_LABELLED_ROWS", "components", "held_out", "id_type", "labelled_sample", "salted_join", "spanning_roots", "table", "unclashed", "written"]
 #: Rows of labelled data that a model is fitted on at most; the only sample that the operators take.
 MAX_LABELLED_ROWS = 12_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of this machine where that is unset and no other machine takes part (tests)."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.tarnfell.folder", "")
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = f"file://{os.path.realpath(tempfile.mkdtemp(prefix='spark-', dir='/tmp'))}"
-        spark.conf.set("spark.tarnfell.folder", where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, survives lost executors. The user clears the folder."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
