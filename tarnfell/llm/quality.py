@@ -47,8 +47,8 @@ LIMITS = np.array(
     ]
 )
 BINS = LIMITS.shape[1] + 1
-#: Rounds of mixing, shards of the sample, lines of a step, its length in the first round, and the penalty of large weights.
-ROUNDS, SHARDS, STEP_LINES, RATE, RIDGE = 6, 8, 600, 0.1, 3e-6
+#: Rounds of mixing, shards of the sample, lines of a step at least, its length in the first round, and the penalty of large weights.
+ROUNDS, SHARDS, STEP_LINES, RATE, RIDGE = 10, 4, 150, 0.1, 3e-6
 
 _HIGH = np.uint64(32)
 _CLASSES = {
@@ -253,7 +253,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED_
         return known.select("shard", "label", "bins").mapInArrow(mixed, "lines bigint, theta array<double>").collect()
 
     for i in range(ROUNDS):
-        got = one_round(theta, RATE / (1 + i))
+        got = one_round(theta, RATE / (1 + i / 2))
         if not got:
             break
         theta = np.average([r["theta"] for r in got], axis=0, weights=[r["lines"] for r in got])
