@@ -39,16 +39,18 @@ def rate_limit(events: DataFrame, max_calls: int = 3, window: float = 60.0) -> D
     """Adds allowed and retry_after (seconds) to events (event_id, key, ts). A call is allowed if fewer than max_calls allowed ones of its key are younger than window seconds;
     refused calls don't count; max_calls <= 0 allows all.
 
-    Verdicts hang on earlier verdicts, so a key is one stream of rows in time order, of which max_calls times are held. A gap of a window without any call starts afresh, so
-    keys are dealt by such gaps, and a hot key with gaps is not one task."""
+    Verdicts hang on earlier verdicts, so calls of a key are one stream of rows in time order, of which max_calls times are held, until it pauses: behind a stretch of time as long as a window
+    and without any call everything starts afresh. Keys are dealt by such pauses, which are found on a key's stretches of time and not on its calls; a key that never pauses is one task."""
     if max_calls <= 0:
         return events.withColumns({"allowed": F.lit(True), "retry_after": F.lit(0.0)})
     from pyspark.sql import Window
 
-    by = Window.partitionBy("key").orderBy("ts", "event_id")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = F.coalesce((micros - F.lag(micros).over(by)) >= int(window * 1e6), F.lit(True))
-    rows = events.withColumn("_run", F.sum(gap.cast("int")).over(by)).withColumn("_t", micros)
+    width = max(1, int(window * 1e6))
+    rows = events.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_stretch", F.floor(F.col("_t") / width))
+    by = Window.partitionBy("k").orderBy("s")
+    stretches = rows.select(F.col("key").alias("k"), F.col("_stretch").alias("s")).distinct()
+    runs = stretches.withColumn("_run", F.sum(F.coalesce(F.col("s") - F.lag("s").over(by) > 1, F.lit(True)).cast("int")).over(by))
+    rows = rows.join(runs, F.col("key").eqNullSafe(F.col("k")) & (F.col("_stretch") == F.col("s"))).drop("k", "s", "_stretch")
     rows = rows.repartition("key", "_run").sortWithinPartitions("key", "_run", "ts", "event_id")
 
     def run(frames):

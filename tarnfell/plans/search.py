@@ -257,3 +257,37 @@ def retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["retrieval"] = retrieval
+
+
+#: The vectors of documents only, and the hits that each mode reranks. Scores are compared to four decimals: those that start from cosines differ in the ninth.
+_KNOWN = NEAREST.replace("embeddings v WHERE", "(SELECT * FROM embeddings WHERE vec_id IN (SELECT chunk_id FROM chunks)) v WHERE")
+_HITS = {"keyword": "keyword_hits", "semantic": "dense", "hybrid": "fused"}
+
+
+def _retrieved_sql(mode: str) -> str:
+    found = (RERANKED.replace("FROM keyword_hits h", f"FROM {_HITS[mode]} h"), EDGE_TERMS, SIDES, EXPANDED)
+    return with_sql("SELECT question_id, chunk_id, round(score, 4) AS score, place FROM expanded", *LEXICAL, _KNOWN, DENSE, FUSED, *found)
+
+
+def _retrieved(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """The whole retrieval in one mode: question 20 * i of the vectors is passage i."""
+    rows = given.doc_chunks(spark, sf_dir)
+    known = _vectors(spark, sf_dir)
+    mine = known.where("chunk_id % 20 = 0").select(F.expr("chunk_id div 20").alias("question_id"), "embedding")
+    asked = given.questions(spark, sf_dir).withColumn("mode", F.lit(mode))
+    return ranking.retrieve(asked, rows, known.join(rows.select("chunk_id"), "chunk_id", "left_semi"), mine).withColumn("score", F.round("score", 4))
+
+
+@query(_retrieved_sql("keyword"))
+def retrieval_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir, "keyword")
+
+
+@query(_retrieved_sql("semantic"))
+def retrieval_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir, "semantic")
+
+
+@query(_retrieved_sql("hybrid"))
+def retrieval_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir, "hybrid")
