@@ -184,8 +184,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     firsts = copies.groupBy("first_doc", "first_t").agg(F.first("places").alias("places")).select(F.col("first_doc").alias("doc_id"), F.col("first_t").alias("t"), "first_doc", "places", F.lit(True).alias("whole"))
     placed = written(placed.unionByName(copies.select("doc_id", "t", "first_doc", "places", F.lit(True).alias("whole"))).unionByName(firsts), "places")
     others = placed.where("doc_id > first_doc")
-    shares = others.groupBy("first_doc").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("salts"))
-    salted = placed.join(shares, "first_doc").withColumn("salt", F.explode(F.when(own, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")))))
+    shares = others.groupBy("first_doc").agg(F.count("*").alias("n"))
+    salted = salted_join(placed, shares.select("first_doc", F.ceil(F.col("n") / SHARE).cast("int").alias("salts")), ["first_doc"], "doc_id", counts=shares).withColumn("salt", F.explode(F.when(own, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")))))
     cut = salted.join(candidates.select("doc_id", "t", "text"), ["doc_id", "t"]).select("doc_id", "t", "first_doc", "salt", "whole", "places", "text")
 
     def stretches(batches):
