@@ -115,3 +115,41 @@ def test_loaders(spark, tmp_path):
     assert files.load_delimited(d).first().text == "x | a,\nb | c\n1 | 2 | 3"
     assert files.html_parts("<body>x<script>no</script><section>a <b>b</b></section><section> </section></body>", "section") == ["a b"]
     assert changes.MAX_ATTEMPTS == 3
+
+
+def test_splitters():
+    """Exact pieces of small texts, worked out by hand from the rules."""
+    from tarnfell.operators.splitting import count_default, enforce_limit, merge_small, split_code, split_lines, split_markdown, split_sentences
+
+    text = "intro\n# One\na\n## Two\nb\n```\n# no\n```\n# Three\nc"
+    assert split_markdown(text) == [("intro", ""), ("# One\na", ""), ("## Two\nb\n```\n# no\n```", "One"), ("# Three\nc", "")]
+    assert merge_small([("a b", ""), ("c d", "x"), ("e " * 70, "y")], 10, count_default, 3) == [("a b\n\nc d", ""), ("e " * 70, "y")]
+    assert split_sentences("One two. Three four. Five six. Seven.", 6, 3, count_default) == ["One two. Three four.", "Three four. Five six.", "Five six. Seven."]
+    assert split_sentences("a b c d e", 2, 0, count_default) == ["a b", "c", "d e"]
+    rows = [f"{c} {c} {c} {c} {c}" for c in "pqrst"]
+    assert split_lines("\n".join(rows), 20, count_default, "id | v") == ["id | v\n" + "\n".join(rows[i : i + 2]) for i in (0, 2, 4)]
+    assert split_lines("\n".join(rows), 20, count_default, "id | v", 1) == ["id | v\n" + "\n".join(rows[i : i + 2]) for i in range(4)]
+    assert split_lines("\n".join(rows[:2]), 20, count_default, "a header of far more than half of all tokens there") == ["\n".join(rows[:2])]
+    assert split_code("def a():\n x\n\ndef b():\n y\n z", 4, 1000) == ["def a():\n x\n", "\ndef b():\n y\n z"]
+    assert enforce_limit([(" ", None), ("a b c d e", "p")], 2, 0, count_default) == [("a b", "p"), ("c", "p"), ("d e", "p")]
+
+
+def test_html_parts():
+    from tarnfell.sources.files import html_parts
+
+    assert html_parts("<html><body><section>a <b>c</b></section><section> </section><section>d</section></body></html>", "section") == ["a c", "d"]
+    assert html_parts("<body><script>x</script>hi <p>there</p></body>", "section") == ["hi there"]
+    assert html_parts(None, "section") == []
+
+
+def test_prompts_and_code_hints(spark):
+    from tarnfell.operators import profiling, verify
+
+    row = spark.createDataFrame([('why """x"""', "[1] block", "because", "check 5")], "question string, blocks string, answer string, hints string")
+    answer, judge = (verify.build_prompts(row, kind).first().prompt.split("\n\n")[1:] for kind in ("answer", "judge"))
+    assert answer == ["QUESTION:\nwhy '''x'''", "[BEGIN CONTEXT]\n[1] block\n[END CONTEXT]"]
+    assert judge == ["QUESTION:\nwhy '''x'''", "ANSWER:\nbecause", "HINTS:\ncheck 5", "[BEGIN CONTEXT]\n[1] block\n[END CONTEXT]"]
+    texts = ["def run(x)", "def the thing", "import os", "import the goods", "a => b", "x := 1", "plain words", "from a.b import c", "#!/bin/sh"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", F.col("text").rlike(profiling.CODE_HINT).alias("code")).collect()
+    assert [r.code for r in sorted(got)] == [True, False, True, False, True, True, False, True, True]
+    assert [r.code for r in spark.createDataFrame([("drop table x",), ("select * from",), ("update from",), ("select tablex",)], "t string").select(F.col("t").rlike(profiling.SQL_HINT).alias("code")).collect()] == [True, False, True, False]
