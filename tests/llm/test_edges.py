@@ -39,12 +39,18 @@ def labels(spark):
     return spark.createDataFrame([(i, i % 2, (i + 1) % 2, "x") for i in range(1, 13)], "doc_id bigint, quality int, toxic int, text string")
 
 
+@pytest.fixture(scope="module")
+def detector(spark):
+    rows = [(i, f"the river {i} write to user{i}.name@host{i % 13}.org or call +49 30 {1000000 + i * 137} and token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" so on") for i in range(200)]
+    return train_detector(spark.createDataFrame(rows, "doc_id bigint, text string"))
+
+
 def ids(df, name="doc_id"):
     return sorted(r[name] for r in df.select(name).collect())
 
 
-def test_row_per_row(spark, docs, empty, labels):
-    chain, toxic, detector = train_quality(docs, labels), train_toxicity(docs, labels), train_detector(docs)
+def test_row_per_row(spark, docs, empty, labels, detector):
+    chain, toxic = train_quality(docs, labels), train_toxicity(docs, labels)
     for make in (lambda d: quality_scores(d, chain), lambda d: toxicity_scores(d, toxic), lambda d: personal_data(d, detector), lambda d: token_counts(d, WORDS), near_duplicates, repeated_passages):
         assert ids(make(docs)) == list(range(1, 13))
         assert make(empty).count() == 0
@@ -59,8 +65,8 @@ def test_training_without_rows(spark, docs, empty, labels):
     assert personal_data(docs, train_detector(empty)).where("n_extra > 0").count() == 0
 
 
-def test_stages_keep_columns(spark, docs, empty, labels):
-    chain, detector = train_quality(docs, labels), train_detector(docs)
+def test_stages_keep_columns(spark, docs, empty, labels, detector):
+    chain = train_quality(docs, labels)
     bench = spark.createDataFrame([(1, " ".join(PROSE.split()[30:60]), "z")], "item_id bigint, text string, doc_id string")
     for stage in (lambda d: keep_good(d, chain), one_of_each, lambda d: without_benchmark(d, bench), lambda d: redacted(d, detector)):
         assert stage(docs).columns == docs.columns
@@ -251,18 +257,17 @@ def test_repeated_rows(spark, docs, labels):
     assert ids(twice.where("doc_id > 100")) == []
 
 
-def test_long_runs_of_digits(spark):
+def test_long_runs_of_digits(spark, detector):
     texts = ["1" * 6_000, "1 " * 3_000, "1.2." * 1_500, "a." * 3_000 + "@x.y", "+" * 2_000, "a@" + "b." * 2_000 + "c", "12345678901234567890 4111 1111 1111 1111"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    got = {r.doc_id: r for r in personal_data(df, train_detector(df)).collect()}
+    got = {r.doc_id: r for r in personal_data(df, detector).collect()}
     assert got[5].n_email == 1 and got[3].n_email == 1 and got[2].n_ip == 750
 
 
-def test_very_many_spans(spark):
+def test_very_many_spans(spark, detector):
     """A long text with tens of thousands of spans: time grows with the text, not with its square."""
     piece = "x 10.0.0.1 a@b.co +49 301 2345678 y 4111111111111111 z 7777777 abcdef0123456789abcdef "
     df = spark.createDataFrame([(1, piece * 5_000), (2, piece), (None, piece), (2, piece)], "doc_id bigint, text string")
-    detector = train_detector(df)
     got = sorted((r.doc_id or 0, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in personal_data(df, detector).collect())
     assert got == [(0, 1, 1, 1, 1), (1, 5_000, 5_000, 5_000, 5_000), (2, 1, 1, 1, 1), (2, 1, 1, 1, 1)]
     clean = {r.doc_id: r.text for r in redacted(df, detector).collect()}
@@ -270,9 +275,8 @@ def test_very_many_spans(spark):
     assert clean[2].startswith("x [IP] [EMAIL] [PHONE] y [CARD] z ")
 
 
-def test_marks_of_a_text_itself(spark):
+def test_marks_of_a_text_itself(spark, detector):
     """Private code points of a text don't move places and come out as U+FFFD where something is redacted."""
     df = spark.createDataFrame([(1, "\U000f0041\U000f0042 a@b.co \U000f00c0"), (2, "\U000f0041"), (3, "a@b.co+49 301 2345678")], "doc_id bigint, text string")
-    detector = train_detector(df)
     assert [r.spans for r in personal_data(df, detector).orderBy("doc_id").collect()] == ["email:3:9", "", "email:0:6,phone:6:21"]
     assert [r.text for r in redacted(df, detector).orderBy("doc_id").collect()] == ["\ufffd\ufffd [EMAIL] \ufffd", "\U000f0041", "[EMAIL]"]
