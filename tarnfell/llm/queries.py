@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .chat import chat_windows, read_back
 from .decontamination import contaminated
+from .merkle import dataset_manifest, tampered
 from .near_dedup import near_duplicates
 from .packing import packed
 from .pii import personal_data, train_detector
@@ -73,6 +74,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, train_toxicity(docs, table(spark, sf_dir, "labels"))).withColumn("held_out", held_out())
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset_manifest(table(spark, sf_dir, "documents"), tampered())
+
+
 def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op1 reads back of the turns themselves, without what depends on tokens."""
     return op1_chat_windows(spark, sf_dir).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_toxicity": op10_toxicity,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "chat_digests": chat_digests,
     "personal_data_counts": personal_data_counts,
 }
@@ -134,4 +140,38 @@ _PERSONAL = f"""SELECT doc_id, len(regexp_extract_all(body, '[A-Za-z0-9._%+-]+@[
 len(list_filter(regexp_extract_all(body, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)'), lambda v: len(list_filter(string_split(v, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0)) AS n_ip,
 len(list_filter(regexp_extract_all(body, '[0-9]([\\x20-]?[0-9])+'), lambda v: length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN})) AS n_card,
 len(list_filter(regexp_extract_all(body, '\\+[0-9][\\x20().0-9-]+[0-9]'), lambda v: length({_DIGITS}) BETWEEN 9 AND 15)) AS n_phone FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents)"""
-ORACLE_SQL: dict[str, str] = {"op2_near_duplicates": _NEAR, "op6_substring_dedup": _PASSAGES, "op9_vector_dedup": _VECTORS, "chat_digests": _CHAT, "personal_data_counts": _PERSONAL}
+#: CRC-32 of the decimal digits, a byte at a time.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, x: xor(steps[xor(c & 255, x) + 1], c >> 8)), 4294967295::BIGINT)"
+_CRC_STEPS = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS steps)"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree_sql(name: str, depth: int) -> str:
+    """Levels and siblings above {name}0 (k, pos, digest): a node that is alone on its level goes up as it is."""
+    out = []
+    for i in range(depth):
+        out.append(f"{name}{i + 1} AS (SELECT k, pos // 16 AS pos, CASE WHEN count(*) = 1 AND pos // 16 = 0 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest FROM {name}{i} GROUP BY k, pos // 16)")
+        parts = ", ".join(f"coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos {op} a.pos), '') AS {word}" for op, word in (("<>", "others"), ("<", "lefts"), (">", "rights")))
+        out.append(f"{name}s{i} AS (SELECT a.k, a.pos, {parts}, count(*) = 1 AND a.pos // 16 = 0 AS lone FROM {name}{i} a JOIN {name}{i} b ON a.k = b.k AND a.pos // 16 = b.pos // 16 GROUP BY a.k, a.pos)")
+    return ", ".join(out)
+
+
+def _fold_sql(name: str, depth: int, source: str, key: str) -> str:
+    """From rows (key columns k and pos of the tree, folded, proof) to those above depth levels."""
+    for i in range(depth):
+        rows = f"SELECT f.* EXCLUDE (folded, proof), CASE WHEN lone THEN folded ELSE sha256(lefts || folded || rights) END AS folded, proof || others AS proof FROM {source} f JOIN {name}s{i} s ON s.k = f.{key} AND s.pos = f.{key}_pos // {16**i}"
+        source = f"({rows})"
+    return source
+
+
+#: Five levels for a source (a million rows each), three for the sources.
+_MERKLE = f"""WITH {_CRC_STEPS}, sealed AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS k, {_leaf_sql("text")} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf_sql("text")} END AS altered FROM documents, crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM sealed), n0 AS (SELECT k, pos, leaf AS digest FROM placed), {_tree_sql("n", 5)},
+ends AS (SELECT k, digest, row_number() OVER (ORDER BY k) - 1 AS place FROM n5), t0 AS (SELECT '' AS k, place AS pos, digest FROM ends), {_tree_sql("t", 3)},
+start AS (SELECT doc_id, leaf, p.k AS source, p.pos AS source_pos, '' AS every, e.place AS every_pos, e.digest AS subroot, altered AS folded, '' AS proof FROM placed p JOIN ends e ON e.k = p.k),
+done AS (SELECT * FROM {_fold_sql("t", 3, _fold_sql("n", 5, "start", "source"), "every")})
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = digest AS verified FROM done, t3"""
+ORACLE_SQL: dict[str, str] = {"op12_merkle_manifest": _MERKLE, "op2_near_duplicates": _NEAR, "op6_substring_dedup": _PASSAGES, "op9_vector_dedup": _VECTORS, "chat_digests": _CHAT, "personal_data_counts": _PERSONAL}
