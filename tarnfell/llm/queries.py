@@ -15,6 +15,7 @@ from .decontamination import contaminated
 from .merkle import dataset_manifest, tampered
 from .near_dedup import near_duplicates
 from .packing import packed
+from .periodic_runs import periodic_runs
 from .pii import personal_data, train_detector
 from .quality import quality_scores, train_quality
 from .shared import held_out, table
@@ -78,6 +79,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset_manifest(table(spark, sf_dir, "documents"), tampered())
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), planted=True)
+
+
 def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op1 reads back of the turns themselves, without what depends on tokens."""
     return op1_chat_windows(spark, sf_dir).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_vector_dedup": op9_vector_dedup,
     "op10_toxicity": op10_toxicity,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_periodic_runs": op13_periodic_runs,
     "chat_digests": chat_digests,
     "personal_data_counts": personal_data_counts,
 }
