@@ -20,6 +20,7 @@ from .pii import personal_data, train_detector
 from .quality import quality_scores, train_quality
 from .shared import held_out, table
 from .substring_dedup import repeated_passages
+from .suffix_dedup import repeated_bytes
 from .token_counts import token_counts
 from .toxicity import toxicity_scores, train_toxicity
 from .vector_dedup import linked_vectors
@@ -75,6 +76,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, train_toxicity(docs, table(spark, sf_dir, "labels"))).withColumn("held_out", held_out())
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset_manifest(table(spark, sf_dir, "documents"), tampered())
 
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
     "chat_digests": chat_digests,
