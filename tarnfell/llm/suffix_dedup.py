@@ -30,6 +30,8 @@ GRAM = 64
 SPAN = LENGTH - GRAM + 1
 #: Places of an anchor in one shard, bytes that a task sorts at once, windows of a piece at most.
 SHARE, SHARD_BYTES, PIECE = 2048, 1 << 20, 8 * SPAN
+#: Shards of an anchor for each task that merges their lists.
+LISTS = 4
 _BLOCK, _PLACE = 1 << 20, np.uint64((1 << 21) - 1)
 _OTHER_VALUES = mix(BYTE_VALUES + np.uint64(1))
 
@@ -142,12 +144,15 @@ def repeated(pieces: list[bytes], weights: np.ndarray, length: int = LENGTH) ->
     return at[windows], own[order[windows]], cls, total[cls] > 1
 
 
-_FOUND = "kind int, u binary, low bigint, high bigint, g bigint, salt int, part int, h1 bigint, h2 bigint, recurs boolean"
-_FOUND_NAMES = [c.split(" ")[0] for c in _FOUND.split(", ")]
+#: A shard's distinct windows of an anchor, as a sorted list.
+_WINDOWS = "array<struct<h1:bigint,h2:bigint,u:binary,low:bigint,recurs:boolean>>"
+_FOUND = f"kind int, u binary, low bigint, high bigint, g bigint, part int, salt int, windows {_WINDOWS}"
+_FOUND_TYPES = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("u", pa.binary()), ("low", pa.int64()), ("recurs", pa.bool_())]))]
+_FOUND_NAMES = ["kind", "u", "low", "high", "g", "part", "salt", "windows"]
 
 
 def _settled(g, salt, salts, u, start, pieces) -> pa.RecordBatch:
-    """The rows of one buffer of pieces: kind 0, stretches of bytes that go; kind 1, the distinct windows of anchors that other shards hold too."""
+    """The rows of one buffer of pieces: kind 0, stretches of bytes that go; kind 1, the lists of distinct windows of anchors that other shards hold too."""
     known: dict[tuple[int, bytes], int] = {}
     which = np.array([known.setdefault((k, p), len(known)) for k, p in zip(salt, pieces, strict=True)])
     distinct = [p for _, p in known]
@@ -164,8 +169,7 @@ def _settled(g, salt, salts, u, start, pieces) -> pa.RecordBatch:
     at = first[which][np.repeat(np.arange(len(which)), n[which])] + (np.arange(len(mine)) - np.repeat(np.cumsum(n[which]) - n[which], n[which]))
     start = np.array(start, np.int64)
     offset = start[mine] - base[which[mine]]
-    columns = [[0] * len(mine), [u[i] for i in mine.tolist()], low[at] + offset, high[at] - 1 + LENGTH + offset]
-    rest = [[None] * len(mine)] * 6
+    columns = [[0] * len(mine), [u[i] for i in mine.tolist()], (low[at] + offset).tolist(), (high[at] - 1 + LENGTH + offset).tolist(), *[[None] * len(mine)] * 4]
     member = np.empty(len(distinct), np.int64)
     member[which[::-1]] = np.arange(len(which))[::-1]  # its first place
     split = np.array([salts[m] > 1 for m in member.tolist()])
@@ -174,14 +178,18 @@ def _settled(g, salt, salts, u, start, pieces) -> pa.RecordBatch:
         sums = [np.concatenate([phrase_hashes(values[np.frombuffer(distinct[p], np.uint8)], np.zeros(len(distinct[p]), np.int8), LENGTH)[0] if split[p] else np.zeros(sizes[p], np.uint64) for p in range(len(distinct))]).view(np.int64) for values in (BYTE_VALUES, _OTHER_VALUES)]
         spot = np.concatenate([[0], np.cumsum(sizes)])[piece[once]] + place[once]
         owner = member[piece[once]]
-        h1, h2 = sums[0][spot], sums[1][spot]
-        many = np.array(salts)[owner]
-        extra = [[1] * len(once), [u[i] for i in owner.tolist()], start[owner] + place[once], start[owner] + place[once] + LENGTH, np.array(g)[owner], np.array(salt)[owner], h1 % many, h1, h2, recurs[once]]
-        columns = [[*a, *b] for a, b in zip([*columns, *rest], extra, strict=True)]
+        h1, h2, key, shard = sums[0][spot], sums[1][spot], np.array(g)[owner], np.array(salt)[owner]
+        part = h1 % -(-np.array(salts)[owner] // LISTS)
+        order = np.lexsort((h2, h1, shard, part, key))
+        cuts = np.flatnonzero(np.append(True, (np.diff(key[order]) != 0) | (np.diff(part[order]) != 0) | (np.diff(shard[order]) != 0)))
+        heads, ends = order[cuts], np.append(cuts, len(order)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(h1[order]), pa.array(h2[order]), pa.array([u[i] for i in owner[order].tolist()], pa.binary()), pa.array((start[owner] + place[once])[order]), pa.array(recurs[once][order])], ["h1", "h2", "u", "low", "recurs"]))
+        n = len(heads)
+        columns = [[*a, *b] for a, b in zip(columns, [[1] * n, *[[None] * n] * 3, key[heads].tolist(), part[heads].tolist(), shard[heads].tolist()], strict=False)]
+        held = pa.concat_arrays([pa.nulls(len(mine), _FOUND_TYPES[-1]), lists.cast(_FOUND_TYPES[-1])])
     else:
-        columns += rest
-    types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c.tolist() if isinstance(c, np.ndarray) else [v.item() if isinstance(v, np.generic) else v for v in c], t) for c, t in zip(columns, types, strict=True)], _FOUND_NAMES)
+        columns, held = columns[:7], pa.nulls(len(mine), _FOUND_TYPES[-1])
+    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, _FOUND_TYPES, strict=False)), held], _FOUND_NAMES)
 
 
 def _by_salt(known: dict[tuple[int, bytes], int], which: np.ndarray):
@@ -293,30 +301,25 @@ def _located(batches):
 
 
 def _across(batches):
-    """Windows in order of (g, part, salt) to those that were alone in their shard and stand in another: kind 0 rows of u, low, high."""
-    key, rows = None, []
+    """Lists in order of (g, part, salt) to the windows that were alone in their shard and stand in another: u, low, high."""
+    key, lists = None, []
 
     def done():
-        table = pa.Table.from_batches(rows)
-        salt = np.asarray(table["salt"])
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(salt)) + 1, [len(salt)]]).tolist()
-        h1, h2 = np.asarray(table["h1"]), np.asarray(table["h2"])
-        met = np.concatenate(merged([(h1[a:b], h2[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]))
-        on = pa.array(np.flatnonzero(met & ~np.asarray(table["recurs"])))
-        return pa.RecordBatch.from_arrays([table[c].take(on).combine_chunks() for c in ("u", "low", "high")], ["u", "low", "high"])
+        flat = [x.flatten() for x in lists]
+        met = np.concatenate(merged([(np.asarray(f.field("h1")), np.asarray(f.field("h2"))) for f in flat]))
+        alone = ~np.concatenate([np.asarray(f.field("recurs")) for f in flat])
+        on = pa.array(np.flatnonzero(met & alone))
+        low = pa.concat_arrays([f.field("low") for f in flat]).take(on)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([f.field("u") for f in flat]).take(on), low, pa.array(np.asarray(low) + LENGTH)], ["u", "low", "high"])
 
     for batch in batches:
-        g, part = np.asarray(batch.column("g")), np.asarray(batch.column("part"))
-        cuts = np.concatenate([[0], np.flatnonzero((np.diff(g) != 0) | (np.diff(part) != 0)) + 1, [batch.num_rows]]).tolist()
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
-            if rows and (g[a], part[a]) != key:
+        for i, now in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if lists and now != key:
                 yield done()
-                rows = []
-            key = (g[a], part[a])
-            rows.append(batch.slice(a, b - a))
-    if rows:
+                lists = []
+            key = now
+            lists.append(batch.column(3).slice(i, 1))
+    if lists:
         yield done()
     give_back()
 
@@ -372,8 +375,8 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     found = written(dealt.mapInArrow(_located, _FOUND), "found")
     gone = found.where("kind = 0").select("u", "low", "high")
     if recurring.where(F.col("n") > SHARE).limit(1).count():
-        lists = found.where("kind = 1").select("g", "part", "salt", "h1", "h2", "u", "low", "high", "recurs")
-        gone = gone.unionByName(lists.repartition("g", "part").sortWithinPartitions("g", "part", "salt", "h1").mapInArrow(_across, "u binary, low bigint, high bigint"))
+        lists = found.where("kind = 1").select("g", "part", "salt", "windows")
+        gone = gone.unionByName(lists.repartition("g", "part").sortWithinPartitions("g", "part", "salt").mapInArrow(_across, "u binary, low bigint, high bigint"))
     gone = gone.groupBy("u").agg(F.collect_list(F.struct("low", "high")).alias("gone"))
     cleaned = candidates.select("u", "text").join(gone, "u").select("u", "gone", "text").mapInArrow(_cleaned, "u binary, n_removed bigint, n_spans bigint, kept_sha256 string")
     copied = texts.where("n > 1").select("sha", "n")
