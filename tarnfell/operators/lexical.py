@@ -32,6 +32,11 @@ class LexicalIndex:
     term_stats: DataFrame
     corpus_stats: DataFrame
 
+    def pool(self, questions: DataFrame, k: int) -> DataFrame:
+        """question_id, chunk_id, score, place of the k best chunks."""
+        best = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
+        return bm25(questions, self).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
 
 def build_postings(chunks: DataFrame) -> DataFrame:
     """term, chunk_id, tf, dl. Counted where the chunk is read; the exchange carries one row for each term and chunk."""
@@ -79,14 +84,16 @@ def bm25(questions: DataFrame, index: LexicalIndex, k1: float = K1, b: float = B
     return held.join(weighted, "term").groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
-def keyword_search(questions: DataFrame, chunks: DataFrame, index: LexicalIndex | None = None, k: int = 12) -> DataFrame:
-    """question_id, chunk_id, score, rank: the k best of the 3k best BM25 chunks after a boost for chunks that hold the whole question. Ties: chunk_id."""
-    index = index or build_index(chunks)
-    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
-    pool = written(bm25(questions, index).withColumn("place", F.row_number().over(best)).where(F.col("place") <= POOL * k), "pool")
+def keyword_search(questions: DataFrame, chunks: DataFrame, index=None, k: int = 12) -> DataFrame:
+    """question_id, chunk_id, score, rank: the k best of the 3k best BM25 chunks after a boost for chunks that hold the whole question. Ties: chunk_id.
+
+    index: a LexicalIndex or a stored one; without, one is built for this search."""
+    pool = written((index or build_index(chunks)).pool(questions, POOL * k), "pool")
     asked = questions.select("question_id", F.lower(F.trim("question")).alias("phrase"), _content_count("question").alias("terms"))
-    texts = chunks.select("chunk_id", F.lower(searchable_text(chunks)).alias("body"))
-    boosted = texts.join(sized(pool), "chunk_id").join(asked, "question_id").withColumn("score", F.col("score") + F.when((F.col("terms") > 1) & (F.col("phrase") != "") & F.col("body").contains(F.col("phrase")), PHRASE_BOOST).otherwise(0.0))
+    texts = chunks.join(sized(pool.select("question_id", F.col("chunk_id"), "score", "place")), "chunk_id")
+    body = F.lower(searchable_text(chunks))
+    boosted = texts.select("question_id", "chunk_id", "score", "place", body.alias("body")).join(asked, "question_id")
+    boosted = boosted.withColumn("score", F.col("score") + F.when((F.col("terms") > 1) & (F.col("phrase") != "") & F.col("body").contains(F.col("phrase")), PHRASE_BOOST).otherwise(0.0))
     final = Window.partitionBy("question_id").orderBy(F.desc("score"), "place")
     return boosted.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("question_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 

@@ -3,6 +3,8 @@ expression text that Spark and the checking SQL share wherever both dialects all
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +96,23 @@ def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"prev_chunk_id": F.lag("chunk_id").over(by), "next_chunk_id": F.lead("chunk_id").over(by)})
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    from ..sources.stores import shared_folder
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_index(spark: SparkSession, sf_dir: str):
+    """The index over doc_chunks in the shared folder, built by the first query that needs it and found again by the others as long as the files of the table are the same."""
+    from ..operators.stored_index import open_index, write_index
+    from ..sources.stores import shared_folder
+
+    files = table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    n, key = files.agg(F.count("*"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()
+    folder = f"{shared_folder(spark)}/index-{n}-{key}"
+    return open_index(spark, folder) or write_index(doc_chunks(spark, sf_dir), folder)
+
+
 CHUNKS_SQL = f"""chunks AS (SELECT *, lag(chunk_id) OVER (PARTITION BY document_id ORDER BY chunk_id) AS prev_chunk_id, lead(chunk_id) OVER (PARTITION BY document_id ORDER BY chunk_id) AS next_chunk_id FROM
 (SELECT doc_id AS chunk_id, source AS document_id, doc_id AS chunk_index, {BODY} AS text, {NAME} AS file_name, source AS header_path FROM documents))"""
 

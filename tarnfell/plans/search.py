@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, tokens
-from ..operators import lexical, ranking, sampling, vectors
+from ..operators import lexical, ranking, sampling, stored_index, vectors
 from . import inputs as given
 from .inputs import ASKED_SQL, CHUNKS_SQL, FILES_SQL, HITS_SQL, MANIFEST_SQL, QUESTIONS_SQL, with_sql
 
@@ -73,12 +73,12 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql("SELECT question_id, chunk_id, round(score, 6) AS score FROM scores", *LEXICAL))
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = lexical.build_index(given.doc_chunks(spark, sf_dir))
+    index = given.stored_index(spark, sf_dir).lexical()
     return lexical.bm25(given.questions(spark, sf_dir), index).withColumn("score", F.round("score", 6))
 
 
 def _keyword(spark, sf_dir):
-    return lexical.keyword_search(given.questions(spark, sf_dir), given.doc_chunks(spark, sf_dir))
+    return lexical.keyword_search(given.questions(spark, sf_dir), given.doc_chunks(spark, sf_dir), given.stored_index(spark, sf_dir))
 
 
 @query(with_sql("SELECT question_id, chunk_id, round(score, 6) AS score, rank FROM keyword_hits", *LEXICAL))
@@ -86,6 +86,38 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyword(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
+@query(with_sql("SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, CAST(sum(dl) AS BIGINT) AS dl FROM postings GROUP BY term", CHUNKS_SQL, TOKENED, POSTINGS))
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index written from nothing, read back by term."""
+    return _by_term(stored_index.write_index(given.doc_chunks(spark, sf_dir), given.new_folder(spark, "built")))
+
+
+def _by_term(index):
+    rows = index.lexical().postings
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.sum("dl").alias("dl"))
+
+
+@query(with_sql("SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, CAST(sum(dl) AS BIGINT) AS dl, any_value(n) AS n, any_value(avgdl) AS avgdl FROM postings, (SELECT count(*) AS n, round(CAST(sum(len(terms)) AS DOUBLE) / count(*), 6) AS avgdl FROM tokened) GROUP BY term", CHUNKS_SQL, TOKENED, POSTINGS))
+def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An older index (a twentieth of the documents with other texts, some missing, some that are gone now) brought up to date by deltas: what a rebuild gives."""
+    now = given.doc_chunks(spark, sf_dir)
+    other = now.where("chunk_id % 20 = 3").withColumn("text", F.concat("text", F.lit(" older words "), F.col("file_name")))
+    left = now.where("chunk_id % 40 = 7").withColumn("chunk_id", -1 - F.col("chunk_id"))
+    old = now.where("chunk_id % 20 <> 3 and chunk_id % 50 <> 11").unionByName(other).unionByName(left)
+    index = stored_index.write_index(old, given.new_folder(spark, "updated"))
+    index = stored_index.update_index(index, left.select("chunk_id"), now.where("chunk_id % 20 = 3"))
+    index = stored_index.update_index(index, left.select("chunk_id").limit(0), now.where("chunk_id % 50 = 11"))
+    return _by_term(index).withColumns({"n": F.lit(index.chunks).cast("long"), "avgdl": F.lit(round(index.avgdl, 6))})
+
+
+def search_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_id, postings of its terms, those of them that the bounded search scores, and the share that it skips."""
+    reads = stored_index.search(given.stored_index(spark, sf_dir), given.questions(spark, sf_dir), 36).reads
+    return reads.withColumn("skipped", F.round(1 - F.col("scored") / F.col("postings"), 4))
+
+
+QUERIES["search_reads"] = search_reads
+
 NEAREST = """pairs AS (SELECT q.vec_id AS question_id, v.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
 vector_hits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM pairs) WHERE rank <= 36)"""
 
@@ -253,7 +285,7 @@ def retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = given.questions(spark, sf_dir).withColumn("mode", F.expr("CASE question_id % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'hybrid' WHEN 2 THEN 'semantic' ELSE 'summary' END"))
     known = _vectors(spark, sf_dir)
     mine = known.withColumnRenamed("chunk_id", "question_id").join(asked.select("question_id"), "question_id", "left_semi")
-    return ranking.retrieve(ranking.route_questions(asked), rows, known.join(rows.select("chunk_id"), "chunk_id", "left_semi"), mine)
+    return ranking.retrieve(ranking.route_questions(asked), rows, known.join(rows.select("chunk_id"), "chunk_id", "left_semi"), mine, index=given.stored_index(spark, sf_dir))
 
 
 QUERIES["retrieval"] = retrieval
@@ -275,7 +307,7 @@ def _retrieved(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     known = _vectors(spark, sf_dir)
     mine = known.where("chunk_id % 20 = 0").select(F.expr("chunk_id div 20").alias("question_id"), "embedding")
     asked = given.questions(spark, sf_dir).withColumn("mode", F.lit(mode))
-    return ranking.retrieve(asked, rows, known.join(rows.select("chunk_id"), "chunk_id", "left_semi"), mine).withColumn("score", F.round("score", 4))
+    return ranking.retrieve(asked, rows, known.join(rows.select("chunk_id"), "chunk_id", "left_semi"), mine, index=given.stored_index(spark, sf_dir)).withColumn("score", F.round("score", 4))
 
 
 @query(_retrieved_sql("keyword"))

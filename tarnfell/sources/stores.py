@@ -33,9 +33,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """df (few narrow columns) to be broadcast if it proves to have at most that many rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def sized(df: DataFrame, rows: int = 200_000, size: int = 32 << 20) -> DataFrame:
+    """df to be broadcast if it proves to have at most that many rows and bytes (as JSON), else as it is."""
+    n, m = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and m <= size else df
 
 
 def validate_manifest(records: DataFrame) -> DataFrame:
