@@ -54,7 +54,8 @@ def normal_language(name: Column | str) -> Column:
 
 def clean_name(raw: Column | str, max_length: int = 150) -> Column:
     """A flat, harmless name: no directories, odd signs as underscores, the stem shortened and the suffix kept; null for blank and hidden names."""
-    name = F.regexp_replace(F.trim(file_name(F.regexp_replace(col(raw), r"[/\\]+$", ""))), r"[^\p{L}\p{N}_.\- ()]", "_")
+    plain = F.regexp_replace(file_name(F.regexp_replace(col(raw), r"[/\\]+$", "")), r"(?U)^\s+|\s+$", "")
+    name = F.regexp_replace(plain, r"[^\p{L}\p{N}_.\- ()]", "_")
     suffix = F.regexp_extract(name, r"(?s)[^.].*(\.[^.]+)$", 1)
     short = F.concat(F.substring(name, F.lit(1), F.least(F.length(name) - F.length(suffix), F.lit(max_length) - F.length(suffix))), suffix)
     return F.when((name == "") | name.startswith("."), None).when(F.length(name) > max_length, short).otherwise(name)

@@ -6,13 +6,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import normal_language
 from ..functions.text import count_tokens, uuid5
 from . import splitting
 from .profiling import choose_strategy, chunk_overlap, chunk_size, code_lines, profile_structure
+from .ranges import neighbours
 
 #: Tokens an embedder takes, of which some are its own, and those kept free for metadata; share of them for a tokenizer that only estimates.
 WINDOW, SPECIAL, RESERVE, MARGIN = 512, 2, 48, 0.75
@@ -102,10 +103,16 @@ def chunk_id(document_id: Column, part_index: Column, chunk_index: Column, text:
     return uuid5(F.concat_ws("|", document_id, part_index.cast("string"), chunk_index.cast("string"), F.substring(F.sha1(F.encode(text, "UTF-8")), 1, 12)))
 
 
+def neighbour_links(chunks: DataFrame) -> DataFrame:
+    """chunk_id, prev_chunk_id, next_chunk_id within a part, from ids alone: a document of any number of chunks lies over many tasks. chunk_id tells chunks apart."""
+    ids = chunks.select("chunk_id", "document_id", "part_index", "chunk_index")
+    linked = neighbours(ids, ["document_id", "part_index"], ["chunk_index", "chunk_id"], "chunk_id")
+    return linked.select("chunk_id", F.col("before").alias("prev_chunk_id"), F.col("after").alias("next_chunk_id"))
+
+
 def link_neighbours(chunks: DataFrame) -> DataFrame:
     """Adds prev_chunk_id and next_chunk_id to chunks that lack them, within a part."""
-    by = Window.partitionBy("document_id", "part_index").orderBy("chunk_index")
-    return chunks.withColumns({"prev_chunk_id": F.lag("chunk_id").over(by), "next_chunk_id": F.lead("chunk_id").over(by)})
+    return chunks.join(neighbour_links(chunks), "chunk_id")
 
 
 def embed_text(chunks: DataFrame, exact: bool = True) -> DataFrame:

@@ -19,19 +19,20 @@ def in_ranges(rows: DataFrame, keys: list[Column | str], name: str) -> DataFrame
     return written(dealt.withColumn("_at", F.monotonically_increasing_id()), name).withColumn("_range", F.shiftright("_at", _ROW_BITS))
 
 
-def ranked(rows: DataFrame, by: list[str], order: list[Column | str], name: str = "ranks") -> tuple[DataFrame, DataFrame]:
-    """(rows with place, groups with length): place counts from 0 within a group (columns by, null a value like others) in the given order, ascending, nulls first.
+def ranked(rows: DataFrame, by: list[str], order: list[Column | str], name: str = "ranks", carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows with place, groups with length): place counts from 0 within a group (columns by, null a value like others) in the given order, ascending, nulls first. carry: columns that are one
+    value within a group, for the groups.
 
     Two levels: rows are counted for each range and group, the counts of a group's earlier ranges are summed, and the rest is a rank within range and group. A range starts at
     most one group that began before it, so the sums sent to all tasks are at most one row a range."""
     rows = in_ranges(rows, [*by, *order], name)
-    counts = rows.groupBy("_range", *by).agg(F.count("*").alias("_n"))
+    counts = rows.groupBy("_range", *by).agg(F.count("*").alias("_n"), *[F.max(c).alias(c) for c in carry])
     earlier = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     carried = counts.withColumn("_before", earlier).where("_before > 0").select("_range", F.struct(*by).alias("_group"), "_before")
     local = F.row_number().over(Window.partitionBy("_range", *by).orderBy("_at")) - 1
     before = F.when(F.struct(*by).eqNullSafe(F.col("_group")), F.col("_before")).otherwise(0)
     placed = rows.withColumn("_local", local).join(F.broadcast(carried), "_range", "left").withColumn("place", F.col("_local") + before)
-    return placed.drop("_at", "_range", "_local", "_group", "_before"), counts.groupBy(*by).agg(F.sum("_n").alias("length"))
+    return placed.drop("_at", "_range", "_local", "_group", "_before"), counts.groupBy(*by).agg(F.sum("_n").alias("length"), *[F.max(c).alias(c) for c in carry])
 
 
 def neighbours(rows: DataFrame, by: list[str], order: list[Column | str], value: str, name: str = "neighbours") -> DataFrame:

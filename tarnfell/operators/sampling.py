@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.text import col
+from ..sources.stores import written
+from .joins import HOT_ROWS, salted_join
+from .ranges import at_places, ranked
 
 #: Fixed value: wording that means every document.
 ALL_DOCUMENTS = r"(?i)(?<![\p{L}\p{N}_])(all|every|each)\s+(the\s+)?(documents?|files?)(?![\p{L}\p{N}_])|knowledge base|corpus"
@@ -18,18 +21,25 @@ def plain(text: Column | str) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(col(text)), F.lit("[a-z0-9]+"), F.lit(0)), " ")
 
 
-def documents_mentioned(questions: DataFrame, manifest: DataFrame) -> DataFrame:
+def documents_mentioned(questions: DataFrame, manifest: DataFrame, least: int = HOT_ROWS) -> DataFrame:
     """question_id, relative_path, document_id of files that are not failed whose name, or stem of four characters at least, stands in the question as whole words.
 
-    Joined by the first word of a name, so that a question meets only the files that could match."""
+    A name is looked for by the rarest of its words among all names, so that a word with which very many begin draws none of them into a question; names that are equal are one. Words and names
+    that are hot all the same (least rows and a thousandth of all) are dealt over several tasks."""
     file = names.file_name("relative_path")
     stem = F.when(names.extension(file) != "", F.substring(file, F.lit(1), F.length(file) - F.length(names.extension(file)))).otherwise(file)
     known = manifest.where("status is null or status <> 'failed'").select("relative_path", "document_id", plain(file).alias("name"), plain(stem).alias("stem"))
     forms = F.filter(F.array(F.col("name"), F.when(F.length("stem") >= 4, F.col("stem"))), lambda f: f.isNotNull() & (f != ""))
-    named = known.select("relative_path", "document_id", F.explode(F.array_distinct(forms)).alias("form")).withColumn("word", F.substring_index("form", " ", 1))
+    named = written(known.select("relative_path", "document_id", F.explode(F.array_distinct(forms)).alias("form")), "named")
+    counts = written(named.groupBy("form").agg(F.count("*").alias("n")), "forms")
+    words = counts.select("form", F.explode(F.array_distinct(F.split("form", " "))).alias("word"))
+    common = written(words.groupBy("word").agg(F.count("*").alias("n")), "words")
+    rarest = salted_join(words, common, ["word"], "form", counts=common, least=least).groupBy("form").agg(F.min(F.struct("n", "word")).alias("least")).select("form", F.col("least.word").alias("word"))
     asked = questions.select("question_id", F.concat(F.lit(" "), plain("question"), F.lit(" ")).alias("said"))
-    asked = asked.select("question_id", "said", F.explode(F.array_distinct(F.split(F.trim("said"), " "))).alias("word"))
-    return asked.join(named, "word").where(F.col("said").contains(F.concat(F.lit(" "), F.col("form"), F.lit(" ")))).select("question_id", "relative_path", "document_id").distinct()
+    heard = asked.select("question_id", F.explode(F.array_distinct(F.split(F.trim("said"), " "))).alias("word"))
+    may = salted_join(heard, rarest, ["word"], "question_id", least=least).select("question_id", "form")
+    found = written(may.join(asked, "question_id").where(F.col("said").contains(F.concat(F.lit(" "), F.col("form"), F.lit(" ")))).select("question_id", "form"), "mentions")
+    return salted_join(named, found, ["form"], "relative_path", counts=counts, least=least).select("question_id", "relative_path", "document_id").distinct()
 
 
 def even_positions(length: Column, n: Column) -> Column:
@@ -40,11 +50,12 @@ def even_positions(length: Column, n: Column) -> Column:
 
 
 def even_sample(rows: DataFrame, by: list[str], order: list[str], n: Column | int) -> DataFrame:
-    """At most n rows of each group, evenly spread in the given order. Adds place (from 0)."""
-    n = F.lit(n) if isinstance(n, int) else n
-    group = Window.partitionBy(*by)
-    placed = rows.withColumns({"place": (F.row_number().over(group.orderBy(*order)) - 1).cast("long"), "_length": F.count(F.lit(1)).over(group)})
-    return placed.where(F.array_contains(even_positions(F.col("_length"), n), F.col("place"))).drop("_length")
+    """At most n rows of each group (n may be a column that is one value within a group), evenly spread in the given order. Adds place (from 0).
+
+    A group may hold most of the rows: places come from ranges of the order, and only the rows at sampled places go on."""
+    placed, groups = ranked(rows.withColumn("_take", F.lit(n) if isinstance(n, int) else n), by, order, "places", ("_take",))
+    wanted = groups.select(*by, F.explode(even_positions(F.col("length"), F.col("_take"))).alias("place"))
+    return at_places(placed, wanted, by).withColumn("place", F.col("place").cast("long")).drop("_take")
 
 
 def reading_order(chunks: DataFrame) -> list[Column]:

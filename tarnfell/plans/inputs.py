@@ -88,12 +88,8 @@ def parts(files: DataFrame) -> DataFrame:
 
 
 def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as one chunk of its source: chunk_id, document_id (the source), part_index, chunk_index, text, file_name, prev and next in the source."""
-    rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS chunk_id", "source AS document_id", "0 AS part_index", "doc_id AS chunk_index", f"{BODY} AS text", f"{NAME} AS file_name", "source AS header_path")
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("document_id").orderBy("chunk_id")
-    return rows.withColumns({"prev_chunk_id": F.lag("chunk_id").over(by), "next_chunk_id": F.lead("chunk_id").over(by)})
+    """Every document as one chunk of its source: chunk_id, document_id (the source), part_index, chunk_index, text, file_name, header_path."""
+    return table(spark, sf_dir, "documents").selectExpr("doc_id AS chunk_id", "source AS document_id", "0 AS part_index", "doc_id AS chunk_index", f"{BODY} AS text", f"{NAME} AS file_name", "source AS header_path")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
