@@ -132,6 +132,8 @@ class Passages:
             if covered and covered[-1][0] <= max(0, at - half) and covered[-1][1] >= min(n, at + WINDOW):
                 continue
             for p, o in places:
+                if covered and covered[-1][0] <= max(0, at - half) and covered[-1][1] >= min(n, at + WINDOW):
+                    break  # every window over this piece is: the other places of a repetitive passage add nothing
                 if done.get((p, at - o), -1) >= at:
                     continue
                 own = self.passages[p]
