@@ -46,27 +46,30 @@ def _value(node: Node, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, node.feature] <= node.threshold, _value(node.left, x), _value(node.right, x))
 
 
-def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 60, depth: int = 3, rate: float = 0.2, least: int = 5, bins: int = 32, ridge: float = 1.0) -> Boosted:
-    """Newton boosting. With one class only, the model is the constant prior."""
+def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 60, depth: int = 3, rate: float = 0.2, least: int = 5, bins: int = 32, ridge: float = 1.0, rising: tuple[str, ...] = ()) -> Boosted:
+    """Newton boosting. With one class only, the model is the constant prior. No tree falls along a feature named in rising: a split on it has the lower value left, and what grows below on either side
+    stays on its side of the middle."""
     p = (y.sum() + 0.5) / (len(y) + 1.0)
     model = Boosted(names, float(np.log(p / (1 - p))))
     if len(y) == 0 or y.min() == y.max():
         return model
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+    # a feature that is mostly 0 has cuts among its other values too
+    cuts = [np.unique(np.concatenate([np.quantile(v, np.linspace(0, 1, bins + 1)[1:-1]) for v in (x[:, j], x[x[:, j] != 0, j]) if len(v)] + [np.zeros(1)] * bool((x[:, j] == 0).any()))) for j in range(x.shape[1])] if rising else [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+    up = {names.index(r) for r in rising}
     binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
     m = np.full(len(y), model.base)
     for _ in range(trees):
         q = 1 / (1 + np.exp(-m))
         g, h = y - q, np.maximum(q * (1 - q), 1e-6)
-        tree = _grow(binned, cuts, g, h, np.arange(len(y)), depth, least, ridge, rate)
+        tree = _grow(binned, cuts, g, h, np.arange(len(y)), depth, least, ridge, rate, up, -np.inf, np.inf)
         m += _value(tree, x)
         model.trees.append(tree)
     return model
 
 
-def _grow(binned, cuts, g, h, rows, depth, least, ridge, rate) -> Node:
+def _grow(binned, cuts, g, h, rows, depth, least, ridge, rate, up, low, high) -> Node:
     gs, hs = g[rows].sum(), h[rows].sum()
-    leaf = Node(value=float(rate * gs / (hs + ridge)))
+    leaf = Node(value=float(np.clip(rate * gs / (hs + ridge), low, high)))
     if depth == 0 or len(rows) < 2 * least:
         return leaf
     best = (1e-6, -1, -1)
@@ -79,6 +82,8 @@ def _grow(binned, cuts, g, h, rows, depth, least, ridge, rate) -> Node:
         hl = np.cumsum(np.bincount(b, h[rows], len(c) + 1))[:-1]
         gain = gl**2 / (hl + ridge) + (gs - gl) ** 2 / (hs - hl + ridge) - gs**2 / (hs + ridge)
         gain[(n < least) | (len(rows) - n < least)] = -1
+        if j in up:
+            gain[gl / (hl + ridge) > (gs - gl) / (hs - hl + ridge)] = -1
         k = int(gain.argmax())
         if gain[k] > best[0]:
             best = (float(gain[k]), j, k)
@@ -86,7 +91,12 @@ def _grow(binned, cuts, g, h, rows, depth, least, ridge, rate) -> Node:
         return leaf
     _, j, k = best
     left = binned[rows, j] <= k
-    return Node(0.0, j, float(cuts[j][k]), _grow(binned, cuts, g, h, rows[left], depth - 1, least, ridge, rate), _grow(binned, cuts, g, h, rows[~left], depth - 1, least, ridge, rate))
+    middle = (low, high, low, high)
+    if j in up:
+        sides = [np.clip(rate * g[s].sum() / (h[s].sum() + ridge), low, high) for s in (rows[left], rows[~left])]
+        middle = (low, sum(sides) / 2, sum(sides) / 2, high)
+    below = [_grow(binned, cuts, g, h, s, depth - 1, least, ridge, rate, up, *limits) for s, limits in ((rows[left], middle[:2]), (rows[~left], middle[2:]))]
+    return Node(0.0, j, float(cuts[j][k]), *below)
 
 
 def isotonic(scores: np.ndarray, y: np.ndarray, prior: float = 1.0) -> tuple[np.ndarray, np.ndarray]:

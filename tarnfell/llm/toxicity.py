@@ -1,12 +1,17 @@
 """Toxicity from gradient-boosted trees over dense features, with isotonic calibration.
 
-Features of a document are densities: words of a fixed lexicon, words of a lexicon learned from labelled documents, insults close to a
-second-person word, capitals, punctuation and obfuscated words (digits or signs inside a word; insults that appear only once such signs are
-read as letters). Words are compared in lower case, of all alphabets. Labelled documents are dealt into three: one learns the lexicon, one the trees, one the calibration.
+Features of a document are densities: insults (words of a fixed lexicon, words learned from labelled documents, and either of them behind digits or signs that are read as letters), insults close to
+a second-person word, disguised insults, words with digits or signs inside, capitals and punctuation. Densities are shares of words plus a constant, so that one word is not much in a short text. The
+score never falls as insults, address or disguise grow (monotone trees). The labelled texts have neither disguised insults nor harmless uses of such words, so the trees also learn from copies of
+training rows: toxic ones disguised or addressed to somebody, pieces of clean ones with a word that can be an insult, and with an insult addressed to somebody. Words are compared in lower case, of all
+alphabets. Labelled documents are dealt into three: one learns the lexicon, one the trees, one (as it is) the calibration.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,7 +29,13 @@ asqueroso basura estúpido idiota imbécil inútil patético payaso perdedor ton
 SECOND_PERSON = "you your you're u ur yourself du dich dir dein deine ihr euch tu te toi ta tes vous votre vos usted tú ti contigo vosotros".split()
 #: Signs read as letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
-FEATURES = ("lexicon", "lexicon_words", "learned", "learned_words", "learned_weight", "near_you", "lookalike", "mixed_words", "capitals", "capital_words", "exclaims", "punctuation", "digits", "word_length", "length")
+FEATURES = ("insults", "insult_words", "near_you", "disguised", "learned_weight", "mixed_words", "capitals", "capital_words", "exclaims", "punctuation", "digits", "word_length")
+#: Features with which the score may only rise.
+RISING = ("insults", "insult_words", "near_you", "disguised", "learned_weight")
+#: Words added to every text's number when shares are taken.
+SMOOTH = 40
+#: Words of the lexicon that also stand in harmless sentences.
+MILD = "trash garbage shut hate dumb fool ugly useless clown stupid basura dreck ordure".split()
 #: Defaults of the learned lexicon: words at most, toxic labelled documents that must hold each, log odds that it must exceed.
 LEARNED_WORDS, LEARNED_DOCUMENTS, LEARNED_ODDS = 1000, 6, 2.5
 #: Beginnings of words that are learned beside whole words: bytes, salt of their hashes.
@@ -80,56 +91,88 @@ def features(column: pa.Array, learned: np.ndarray, weights: np.ndarray) -> np.n
     """(rows, features) of a column of texts; null is empty. learned: sorted word hashes with their log odds."""
     low, places, ws, we, wr, h = _words(column)
     rows = len(places) - 1
-    n = np.maximum(np.bincount(wr, minlength=rows), 1)
-    bad, _ = _member(h, _INSULTS)
-    new, odds = np.zeros(len(h), bool), np.zeros(len(h))
+    first = np.searchsorted(wr, np.arange(rows + 1))
+    n = np.diff(first)
+    hit, odds = _member(h, _INSULTS)[0], np.zeros(len(h))
     for unit in _units(low, ws, we, h):
         found, at = _member(unit, learned)
-        new |= found
+        hit = hit | found
         if len(weights):
             odds = np.maximum(odds, np.where(found, weights[at], 0))
-    you, _ = _member(h, _YOU)
-    hit = bad | new
-    around = np.cumsum(np.concatenate([[0], you]))
-    before, after = np.maximum(np.arange(len(h)) - NEAR, 0), np.minimum(np.arange(len(h)) + NEAR + 1, len(h))
-    first = np.searchsorted(wr, np.arange(rows + 1))
-    close = hit & (around[np.minimum(after, first[wr + 1])] - around[np.maximum(before, first[wr])] > 0) if len(h) else hit
+    you = _member(h, _YOU)[0]
+    # words behind signs, by the word of the text in which or before which they begin
+    start, dr, insult, second = _read(low, places, learned)
+    at = np.minimum(np.searchsorted(ws, start, "right") - 1, len(ws) - 1)
+    at = np.where((at < 0) | (wr[np.maximum(at, 0)] != dr), np.minimum(at + 1, len(ws) - 1), at) if len(ws) else at
+    inside = wr[at] == dr if len(ws) else np.zeros(len(at), bool)
+    hit = hit.copy()
+    hit[at[inside & insult]] = True
+    you = you.copy()
+    you[at[inside & second]] = True
+    around = np.concatenate([[0], np.cumsum(you)])
+    before, after = np.maximum(np.arange(len(h)) - NEAR, first[wr]), np.minimum(np.arange(len(h)) + NEAR + 1, first[wr + 1])
+    close = hit & (around[after] - around[before] > 0)
     per = lambda flag: np.bincount(wr[flag], minlength=rows)
+    share = lambda count: 100 * count / (n + SMOOTH)
     out = np.zeros((rows, len(FEATURES)))
-    out[:, 0], out[:, 1] = per(bad) / n * 100, np.minimum(per(bad), 20)
-    out[:, 2], out[:, 3] = per(new) / n * 100, np.minimum(per(new), 20)
-    np.maximum.at(out[:, 4], wr[new], odds[new])
-    out[:, 5] = per(close) / n * 100
-    out[:, 6] = np.bincount(_read(low, places), minlength=rows) / n * 100
+    out[:, 0], out[:, 1], out[:, 2] = share(per(hit)), per(hit), share(per(close))
+    out[:, 3] = share(np.bincount(dr[insult], minlength=rows))
+    np.maximum.at(out[:, 4], wr, odds)
     offsets, data = text_buffers(column)
     offsets, data = offsets - offsets[0], data[offsets[0] : offsets[-1]]
-    size = np.maximum(np.diff(offsets), 1)
-    share = lambda mask: (lambda s: s[offsets[1:]] - s[offsets[:-1]])(_sums(mask, data)) / size
+    size = np.diff(offsets) + SMOOTH
+    part = lambda mask: 100 * (lambda s: s[offsets[1:]] - s[offsets[:-1]])(_sums(mask, data)) / size
     ps, pe, pr = find_words(data, offsets, WHITE_SPACE)
     letters, signs, upper = (_sums(_MASKS[k], data) for k in ("letter", "sign", "upper"))
-    inner = (letters[pe] - letters[ps] > 1) & (signs[np.maximum(pe - 1, ps)] - signs[ps] > 0)
-    out[:, 7] = np.bincount(pr[inner], minlength=rows) / n * 100
-    out[:, 8] = share(_MASKS["upper"])
+    mixed = (letters[pe] - letters[ps] > 1) & (signs[np.maximum(pe - 1, ps)] - signs[ps] > 0)
+    out[:, 5] = share(np.bincount(pr[mixed], minlength=rows))
+    out[:, 6] = part(_MASKS["upper"])
     cs, ce, cr = find_words(data, offsets, NOT_WORD)
-    out[:, 9] = np.bincount(cr[(upper[ce] - upper[cs] == ce - cs) & (ce - cs > 2)], minlength=rows) / n * 100
-    out[:, 10] = share([ord("!")]) * 100
-    out[:, 11] = share([i for i in range(33, 127) if not chr(i).isalnum()])
-    out[:, 12] = share(_MASKS["digit"])
-    out[:, 13] = np.bincount(wr, we - ws, rows) / n
-    out[:, 14] = np.log1p(np.diff(offsets))
+    out[:, 7] = share(np.bincount(cr[(upper[ce] - upper[cs] == ce - cs) & (ce - cs > 2)], minlength=rows))
+    out[:, 8] = part([ord("!")])
+    out[:, 9] = part([i for i in range(33, 127) if not chr(i).isalnum()])
+    out[:, 10] = part(_MASKS["digit"])
+    out[:, 11] = np.bincount(wr, we - ws, rows) / np.maximum(n, 1)
     return out
 
 
-def _read(low: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The row of every word that is an insult only once its signs are read as letters. Exclamation marks at a word's end are none of its letters."""
+def _read(low: np.ndarray, places: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, row, insult, second person) of the words that are an insult or a second-person word only once their signs are read as letters. Exclamation marks at a word's end are none of its
+    letters."""
     ls, le, lr = find_words(low, places, _LOOK_SEPARATORS)
     if not len(ls):
-        return lr
+        return ls, lr, np.zeros(0, bool), np.zeros(0, bool)
     kept = np.maximum.accumulate(np.where(low != ord("!"), np.arange(len(low)), -1))
     le = np.maximum(kept[le - 1] + 1, ls)
-    read, _ = _member(word_hashes(low, ls, le, _LOOK_VALUES), _INSULTS)
-    plain, _ = _member(word_hashes(low, ls, le), _INSULTS)
-    return lr[read & ~plain & (le > ls)]
+    read, plain = word_hashes(low, ls, le, _LOOK_VALUES), word_hashes(low, ls, le)
+    other = (read != plain) & (le > ls)
+    insult = other & (_member(read, _INSULTS)[0] | _member(read, learned)[0]) & ~_member(plain, _INSULTS)[0]
+    second = other & _member(read, _YOU)[0]
+    on = insult | second
+    return ls[on], lr[on], insult[on], second[on]
+
+
+_INSULT = re.compile(rf"\b({'|'.join(sorted(INSULTS, key=len, reverse=True))})\b", re.IGNORECASE)
+_SECOND = re.compile(rf"\b({'|'.join(sorted(SECOND_PERSON, key=len, reverse=True))})\b", re.IGNORECASE)
+_SIGN = {"o": "0", "i": "1", "e": "3", "a": "@", "s": "5", "t": "7"}
+
+
+def disguised(text: str) -> str:
+    """The text with its insults' letters as signs."""
+    return _INSULT.sub(lambda m: "".join(_SIGN.get(c.lower(), c) for c in m[0]), text)
+
+
+def copies(text: str, label: int, turn: int) -> list[tuple[str, int]]:
+    """What is learned beside a training row: (text, label)."""
+    if label:
+        return [(disguised(text), 1), (_INSULT.sub(lambda m: f"you {m[0]}", text), 1)] if _INSULT.search(text) else []
+    words = _SECOND.sub("", _INSULT.sub("", text)).split()[: 6 + turn % 9]
+    mild, insult, at = MILD[turn % len(MILD)], INSULTS[turn * 7 % len(INSULTS)], turn % (len(words) + 1)
+    if turn % 3 == 0:
+        return [(" ".join([*words[:at], mild, *words[at:]]), 0)]
+    if turn % 3 == 1:
+        return [(" ".join([*words[:at], mild, *words[at:], MILD[(turn + 4) % len(MILD)]]), 0)]
+    return [(" ".join([*words[:at], *(["you", "are", insult] if turn % 2 else ["you", disguised(insult)]), *words[at:]]), 1)]
 
 
 def _units(data: np.ndarray, ws: np.ndarray, we: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
@@ -168,17 +211,20 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED
 
     def measured(batches):
         for part, _, _ in slices(batches):
-            x = features(part.column("text"), learned, weights)
+            rows = list(zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "label", "deal")), strict=True))
+            rows += [(own, t, y, deal) for own, text, label, deal in rows if deal < 8 for t, y in copies(text or "", label, zlib.crc32(str(own).encode()))]
+            ids, texts, labels, deals = zip(*rows, strict=True)
+            x = features(pa.array(texts, pa.string()), learned, weights)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), part.column("deal"), lists], ["doc_id", "label", "deal", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, part.column("doc_id").type), pa.array(labels, pa.int32()), pa.array(deals, pa.int64()), lists], ["doc_id", "label", "deal", "x"])
 
     kind = id_type(docs)
-    rows = sample.where("deal >= 4").select("doc_id", "text", "label", "deal").mapInArrow(measured, f"doc_id {kind}, label int, deal bigint, x array<double>").toArrow()  # at most limit rows
-    rows = rows.take(pc.sort_indices(rows.select(["doc_id"]), [("doc_id", "ascending")]))
+    rows = sample.where("deal >= 4").select("doc_id", "text", "label", "deal").mapInArrow(measured, f"doc_id {kind}, label int, deal bigint, x array<double>").toArrow()  # at most limit rows and two copies of each
+    rows = rows.take(pc.sort_indices(rows.select(["doc_id"]), [("doc_id", "ascending")]))  # copies behind their row
     y = np.array(rows["label"].to_pylist(), np.int64)
     x = np.array(rows["x"].to_pylist(), np.float64).reshape(len(y), len(FEATURES))
     own = np.array(rows["deal"].to_pylist(), np.int64) < 8
-    model = fit(x[own], y[own], list(FEATURES), trees=50)
+    model = fit(x[own], y[own], list(FEATURES), trees=80, rising=RISING)
     model.knots, model.levels = isotonic(model.margin(x[~own]), y[~own])
     return model, learned, weights
 

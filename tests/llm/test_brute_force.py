@@ -199,21 +199,65 @@ def test_held_out(spark, folder, name, column, least):
 
 
 def test_toxic_features():
-    """Single features by plain counting."""
+    """Single features by plain counting: shares of the words and 40 more."""
     import pyarrow as pa
 
     from tarnfell.llm.toxicity import FEATURES, features
 
     def of(text):
-        return dict(zip(FEATURES, features(pa.array(["first", text, None]), np.zeros(0, np.uint64), np.zeros(0))[1].round(6).tolist(), strict=True))
-
-    assert of("you are an 1diot")["lookalike"] == 25 and of("you idiot! you 1diot!!")["lookalike"] == 25
-    assert of("you idiot! you 1diot")["lexicon_words"] == 1 and of("fine! no insult")["lookalike"] == 0
-    assert of("BLÖD")["lexicon_words"] == of("blöd")["lexicon_words"] == 1
-    assert of("vivo con mi familia")["lexicon_words"] == 0
-    assert of("you are an idiot")["near_you"] == 25 and of("an idiot " + "and so on " * 4 + "you")["near_you"] == 0
-    assert of("WHY not YOU")["capital_words"] == round(200 / 3, 6) and of("")["length"] == 0
-    assert of("so!!")["exclaims"] == 50 and of("a1 b2c d")["mixed_words"] == round(100 / 3, 6)
+        return dict(zip(FEATURES, features(pa.array(["first you", text, None]), np.zeros(0, np.uint64), np.zeros(0))[1].round(6).tolist(), strict=True))
+
+    part = lambda hits, words: round(100 * hits / (words + 40), 6)
+    assert of("you are an 1diot")["disguised"] == part(1, 4) and of("you idiot! you 1diot!!")["disguised"] == part(1, 4)
+    assert of("you idiot! you 1diot")["insult_words"] == 2 and of("fine! no insult")["disguised"] == of("fine! no insult")["insults"] == 0
+    assert of("BLÖD")["insult_words"] == of("blöd")["insult_words"] == 1
+    assert of("vivo con mi familia")["insult_words"] == 0
+    assert of("you are an idiot")["near_you"] == part(1, 4) and of("an idiot " + "and so on " * 4 + "you")["near_you"] == 0
+    assert of("y0u l0ser")["near_you"] == part(1, 2) and of("an idiot")["near_you"] == 0
+    assert of("WHY not YOU")["capital_words"] == part(2, 3) and of("")["word_length"] == 0
+    assert of("so!!")["exclaims"] == part(2, 4) and of("a1 b2c d")["mixed_words"] == part(1, 3)
+
+
+HARMLESS = """Take out the trash and shut the door|The garbage truck comes on Monday|She shut the window because it was cold|I hate rain in spring|The old fool in the play is the best part|He made a dumb bet and lost
+The clown at the party was funny|This key is useless without the lock|They hate to be late|The ugly duckling became a swan|Please shut the gate behind the horses|We put the trash into the blue bin
+A clown juggled four balls|My brother hates onions|The garbage was burned at night|It was a stupid mistake of the printer|The tool is useless in winter|Fools rush in where angels fear to tread|The shop was shut all day|An ugly scratch ran along the table""".replace("\n", "|").split("|")
+
+
+def test_toxic_scores(spark, folder):
+    """Every dealt feature decides something; disguise doesn't help, harmless uses of such words stay clean, address and disguise never lower a score."""
+    from tarnfell.llm.toxicity import FEATURES, RISING, disguised, toxicity_scores, train_toxicity
+
+    big = folder.replace("sf0.001", "sf0.1")
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    trained = train_toxicity(docs, labels)
+    used = set()
+
+    def walk(node):
+        if node.feature >= 0:
+            used.add(FEATURES[node.feature])
+            walk(node.left)
+            walk(node.right)
+
+    for tree in trained[0].trees:
+        walk(tree)
+    assert used >= {*RISING, "capitals", "punctuation"}, used
+    assert len(trained[1]) < 1000  # the bound of the learned lexicon is not reached
+    rng = np.random.default_rng(1)
+    x = np.abs(rng.normal(size=(400, len(FEATURES)))) * 3
+    for name in RISING:
+        more = x.copy()
+        more[:, FEATURES.index(name)] += rng.uniform(0, 3, 400)
+        assert (trained[0].margin(more) >= trained[0].margin(x) - 1e-12).all()
+
+    def scores(texts):
+        rows = toxicity_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), trained).collect()
+        return [r.score for r in sorted(rows)]
+
+    assert len(HARMLESS) == 20 and max(scores(HARMLESS)) < 0.5
+    assert min(scores(["you idiot", "you are an 1d10t", "1d10t l0ser y0u", "you are a stupid idiot and a loser"])) >= 0.5
+    held = docs.join(labels.where("toxic = 1"), "doc_id").where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").collect()
+    plain, twins = scores([r.text for r in held]), scores([disguised(r.text) for r in held])
+    assert sum(s >= 0.5 for s in twins) >= 0.9 * sum(s >= 0.5 for s in plain)
 
 
 def test_personal_data_beyond_patterns(spark):
