@@ -11,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import log
+
 MANIFEST_SCHEMA = "relative_path string, document_id string, hash string, extension string, size bigint, mtime_ns bigint, status string, indexed_nodes int, failure struct<hash:string,attempts:int,error:string>"
 
 
@@ -27,10 +29,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, survives lost executors. The user clears the folder."""
+    return scratch(df, name)[0]
+
+
+def scratch(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """written(), and the path, for those who remove it themselves."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def sized(df: DataFrame, rows: int = 200_000, size: int = 32 << 20) -> DataFrame:
@@ -99,4 +106,6 @@ def update_index(path: str, document_ids: DataFrame, updated: Callable[[DataFram
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         old = empty.limit(0)
-    write_index(written(updated(old), "index"), path, buckets)
+    table, where = scratch(updated(old), "index")
+    write_index(table, path, buckets)
+    log.remove(spark, where)
