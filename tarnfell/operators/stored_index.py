@@ -28,6 +28,8 @@ from ..sources.stores import sized, written
 from .lexical import B, K1, LexicalIndex, query_terms, searchable_text
 
 BLOCK = 64
+#: Number of the layout, for those who look for an index by what it is made of.
+LAYOUT = 1
 #: Share of the score that a pool must reach which the common terms together may make up: the smaller, the fewer chunks are looked up and the more terms are read through.
 COMMON = 0.5
 #: Postings of a question's rarest terms that are read to find a score its pool must reach, for each place of the pool.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import usage, verify
+from ..streaming import jobs
 from . import inputs as given
 from .inputs import ANSWERS_SQL, CHUNKS_SQL, HITS_SQL, with_sql
 
@@ -127,13 +128,22 @@ def answer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.resolve_status(asked, tries).select("question_id", "status", "verified", "attempts", "show_sources")
 
 
+#: The hints of judge_hints and the prompt around them, in the words of the library.
+_RULE = 'Judge the answer by the context blocks alone. Reply with JSON only: {"relevant": bool, "faithful": bool, "complete": bool, "verdict": "PASS" or "FAIL", "issues": [texts]}. PASS needs all three.'
+PROMPTED = f"""blocked AS (SELECT question_id, string_agg('[Context ' || CAST(rank AS STRING) || ' | Source: ' || file_name || ' > ' || header_path || ']' || chr(10) || {_CLEAN.format('text')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS blocks FROM hits JOIN chunks USING (chunk_id) GROUP BY question_id),
+hinted AS (SELECT question_id, conv_id, answer, list_slice(list_filter(lits, lambda t: NOT contains({_NORMAL.format('context')}, regexp_replace({_NORMAL.format('t')}, '%+$', ''))), 1, 8) AS missing,
+list_filter(list_transform(regexp_extract_all(array_to_string(regexp_extract_all(answer, '(?i)\\[Context\\s+([0-9]+(?:\\s*,\\s*[0-9]+)*)\\]', 1), ' '), '[0-9]+'), lambda t: CAST(t AS INT)), lambda n: n < 1 OR n > 1) AS bad FROM distinct_literals),
+wrong AS (SELECT * REPLACE (list_filter(bad, lambda n, i: list_position(bad, n) = i) AS bad) FROM hinted),
+said AS (SELECT *, concat_ws(chr(10), CASE WHEN len(missing) > 0 THEN 'Values of the answer that no context holds: ["' || array_to_string(missing, '","') || '"]. Each is unsupported unless it is simple arithmetic on values that are there.' END,
+CASE WHEN len(bad) > 0 THEN 'Blocks that the answer cites but that do not exist: ["[Context ' || array_to_string(bad, ']","[Context ') || ']"]. That makes it unfaithful.' END) AS hints FROM wrong)"""
+
+
+@query(with_sql(f"""SELECT question_id, sha256('{_RULE}' || chr(10) || chr(10) || 'QUESTION:' || chr(10) || 'What of ' || CAST(conv_id AS STRING) || '?' || chr(10) || chr(10) || 'ANSWER:' || chr(10) || answer || chr(10) || chr(10) ||
+CASE WHEN hints <> '' THEN 'HINTS:' || chr(10) || hints || chr(10) || chr(10) ELSE '' END || '[BEGIN CONTEXT]' || chr(10) || blocks || chr(10) || '[END CONTEXT]') AS prompt_sha256 FROM said JOIN blocked USING (question_id)""", HITS_SQL, CHUNKS_SQL, ANSWERS_SQL, LITERALS, PROMPTED))
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = verify.context_blocks(given.hits(spark, sf_dir).withColumnRenamed("rank", "place"), given.doc_chunks(spark, sf_dir)).drop("contexts", "n_blocks")
     rows = verify.judge_hints(given.answers(spark, sf_dir)).join(blocks, "question_id").withColumn("question", F.concat(F.lit("What of "), F.col("conv_id").cast("string"), F.lit("?")))
-    return verify.build_prompts(rows, "judge").select("question_id", "prompt")
-
-
-QUERIES["prompts"] = prompts
+    return verify.build_prompts(rows, "judge").select("question_id", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 @query("""SELECT operation, calls, input_tokens, output_tokens, input_tokens + output_tokens AS total_tokens FROM (SELECT event_type AS operation, count(*) AS calls, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS input_tokens, CAST(sum(event_id % 100) AS BIGINT) AS output_tokens FROM events GROUP BY ROLLUP (event_type))""")
@@ -158,3 +168,21 @@ SELECT event_id, allowed, round(retry_after, 6) AS retry_after FROM run""")
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = given.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), "ts")
     return usage.rate_limit(calls, 2, 86400.0).select("event_id", "allowed", F.round("retry_after", 6).alias("retry_after"))
+
+
+@query(ORACLE_SQL["rate_limit"])
+def rate_limit_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same verdicts from a stream: the calls as files out of order, each a micro-batch, judged when the watermark has passed them."""
+    calls = given.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    last = calls.agg(F.max("ts").alias("ts"))  # a call from nobody, long after the others, moves the watermark past them
+    after = last.select(F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast(calls.schema["key"].dataType).alias("key"), (F.col("ts") + F.expr("INTERVAL 4000 DAYS")).alias("ts"))
+    folder = given.new_folder(spark, "calls")
+    for i in range(3):
+        calls.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    for i in range(2):
+        after.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {i} DAYS")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    found = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    done = jobs.rate_limit_stream(found, 2, 86400.0, "3000 days").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").where("event_id >= 0").select("event_id", "allowed", F.round("retry_after", 6).alias("retry_after"))

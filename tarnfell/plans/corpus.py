@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.text import count_tokens
-from ..operators import changes, chunks, profiling
+from ..operators import changes, chunks, profiling, vectors
 from ..sources import files as loaders
+from ..sources import manifest_log
+from ..streaming import jobs
 from . import inputs as given
 from .inputs import DONE_SQL, FILES_SQL, ID_SQL, INDEX_SQL, MANIFEST_SQL, PLAN_SQL, with_sql
 
@@ -330,3 +333,61 @@ ORACLE_SQL["json_texts"] = "SELECT event_id, '{' || chr(10) || '  \"k\": ' || js
 def delimited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = given.table(spark, sf_dir, "documents").select("doc_id", F.expr("replace(replace(replace(text, chr(34), ''), chr(13), ''), chr(10), ' ')").alias("text"))
     return loaders.load_delimited(rows)
+
+
+def _as_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file for each document, in a folder of its number, and hidden copies of every tenth. A line break ends each file."""
+    folder = given.new_folder(spark, "files")
+    rows = given.table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text")
+    rows.repartition("doc_id").write.partitionBy("doc_id").text(f"{folder}/in")
+    rows.where("doc_id % 10 = 0").repartition("doc_id").write.partitionBy("doc_id").text(f"{folder}/in/.old")
+    return f"{folder}/in"
+
+
+def _number():
+    return F.regexp_extract("relative_path", "doc_id=([0-9]+)/", 1).cast("long").alias("doc_id")
+
+
+@query("SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size FROM documents WHERE text <> ''")
+def files_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as files and found again."""
+    return loaders.discover_files(spark, _as_files(spark, sf_dir)).select(_number(), "size")
+
+
+@query("SELECT doc_id, sha256(text || chr(10)) AS text_sha256 FROM documents WHERE regexp_matches(text, '\\S')")
+def files_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = loaders.discover_files(spark, _as_files(spark, sf_dir))
+    return loaders.load_text(found).select(_number(), F.sha2("text", 256).alias("text_sha256"))
+
+
+def _shape(texts: list[str]) -> np.ndarray:
+    """A stand-in for a model: characters and blanks."""
+    return np.array([[len(t), t.count(" ")] for t in texts], np.float32).reshape(-1, 2)
+
+
+@query("SELECT doc_id, CAST(length(coalesce(text, '')) AS DOUBLE) AS characters, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) AS DOUBLE) AS blanks FROM documents")
+def embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.embed(given.table(spark, sf_dir, "documents"), _shape, "text", "doc_id", 2)
+    return rows.select("doc_id", F.col("embedding")[0].cast("double").alias("characters"), F.col("embedding")[1].cast("double").alias("blanks"))
+
+
+@query(with_sql(f"SELECT relative_path, hash, CASE WHEN {given.CHUNKS} > 0 THEN 'indexed' ELSE 'failed' END AS status, CAST({given.CHUNKS} AS INT) AS indexed_nodes, CAST(CASE WHEN {given.CHUNKS} = 0 THEN CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END END AS INT) AS attempts FROM files", FILES_SQL))
+def sync_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inventories as a stream, every third file changed in the second: what the manifest's log says in the end."""
+    now = given.inventory(given.files(spark, sf_dir))
+    number = F.regexp_extract("relative_path", "([0-9]+)[^/]*$", 1).cast("long")
+    before = now.withColumns({"mtime_ns": F.lit(0).cast("long"), "hash": F.when(number % 3 == 0, F.concat(F.lit("old"), "hash")).otherwise(F.col("hash"))})
+    folder = given.new_folder(spark, "synced")
+    for rows in (before, now):
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+    def ingest(planned: DataFrame) -> tuple[DataFrame, DataFrame]:
+        made = planned.select("relative_path", "new", number.alias("doc_id")).withColumn("chunks", F.expr(f"CAST({given.CHUNKS} AS INT)"))
+        rows = made.where("chunks > 0").select(F.col("new.document_id").alias("document_id"), F.explode(F.sequence(F.lit(1), "chunks")).alias("chunk_no"))
+        return rows, made.select("relative_path", "chunks", F.when(F.col("chunks") == 0, "no text").alias("error"))
+
+    stream = spark.readStream.schema(now.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    running = jobs.sync_stream(stream, folder, ingest, f"{folder}/state")
+    running.processAllAvailable()
+    running.stop()
+    return manifest_log.read_log(spark, f"{folder}/manifest").select("relative_path", "hash", "status", "indexed_nodes", F.col("failure.attempts").alias("attempts"))

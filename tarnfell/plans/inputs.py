@@ -3,6 +3,7 @@ expression text that Spark and the checking SQL share wherever both dialects all
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,12 +101,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def stored_index(spark: SparkSession, sf_dir: str):
     """The index over doc_chunks in the shared folder, built by the first query that needs it and found again by the others as long as the files of the table are the same."""
-    from ..operators.stored_index import open_index, write_index
+    from ..operators.stored_index import LAYOUT, open_index, write_index
     from ..sources.stores import shared_folder
 
     files = table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     n, key = files.agg(F.count("*"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()
-    folder = f"{shared_folder(spark)}/index-{n}-{key}"
+    made = hashlib.sha1(f"{LAYOUT} {BODY} {NAME}".encode()).hexdigest()[:12]
+    folder = f"{shared_folder(spark)}/index-{n}-{key}-{made}"
     return open_index(spark, folder) or write_index(doc_chunks(spark, sf_dir), folder)
 
 

@@ -44,7 +44,7 @@ def admit_files(files: DataFrame, name: str = "name", size: str = "size", max_by
 def load_text(files: DataFrame) -> DataFrame:
     """Adds text, the content as UTF-8 without bad bytes; blank files go. An honest replacement sign in the content goes with the bad bytes."""
     text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "")
-    return files.withColumn("text", text).where(F.trim("text") != "").drop("content")
+    return files.withColumn("text", text).where(F.col("text").rlike(r"\S")).drop("content")
 
 
 def indented(text: str | None) -> str | None:
