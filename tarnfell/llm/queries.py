@@ -186,4 +186,14 @@ ends AS (SELECT k, digest, row_number() OVER (ORDER BY k) - 1 AS place FROM n5),
 start AS (SELECT doc_id, leaf, p.k AS source, p.pos AS source_pos, '' AS every, e.place AS every_pos, e.digest AS subroot, altered AS folded, '' AS proof FROM placed p JOIN ends e ON e.k = p.k),
 done AS (SELECT * FROM {_fold_sql("t", 3, _fold_sql("n", 5, "start", "source"), "every")})
 SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = digest AS verified FROM done, t3"""
-ORACLE_SQL: dict[str, str] = {"op12_merkle_manifest": _MERKLE, "op2_near_duplicates": _NEAR, "op6_substring_dedup": _PASSAGES, "op9_vector_dedup": _VECTORS, "chat_digests": _CHAT, "personal_data_counts": _PERSONAL}
+#: Every window of 400 bytes, as 800 hex digits.
+_BYTES = """WITH plain AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+places AS (SELECT r, x, unnest(range(0, length(x) // 2 - 399)) AS p FROM plain),
+windows AS MATERIALIZED (SELECT r, p, md5(substr(x, 2 * p + 1, 800)) AS h FROM places),
+twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) AS step FROM windows SEMI JOIN twice USING (h)),
+spans AS (SELECT r, min(p) AS low, max(p) + 400 AS high FROM (SELECT r, p, sum(CASE WHEN step <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS s FROM starts) GROUP BY r, s),
+marked AS (SELECT r, list(low ORDER BY low) AS lows, list(high ORDER BY low) AS highs FROM spans GROUP BY r)
+SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(list_sum(highs) - list_sum(lows), 0) AS BIGINT) AS n_removed, CAST(coalesce(len(lows), 0) AS BIGINT) AS n_spans,
+sha256(unhex(CASE WHEN lows IS NULL THEN x ELSE array_to_string(list_transform(range(1, len(lows) + 2), lambda i: substr(x, 2 * CASE WHEN i = 1 THEN 0 ELSE highs[i - 1] END + 1, 2 * (CASE WHEN i > len(lows) THEN length(x) // 2 ELSE lows[i] END - CASE WHEN i = 1 THEN 0 ELSE highs[i - 1] END))), '') END)) AS kept_sha256 FROM plain LEFT JOIN marked USING (r)"""
+ORACLE_SQL: dict[str, str] = {"op11_suffix_dedup": _BYTES, "op12_merkle_manifest": _MERKLE, "op2_near_duplicates": _NEAR, "op6_substring_dedup": _PASSAGES, "op9_vector_dedup": _VECTORS, "chat_digests": _CHAT, "personal_data_counts": _PERSONAL}
