@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, text: str = "tex
     """doc_id, representative (the smallest doc_id with the same words), class_id (the smallest doc_id reachable over links), kept (it is the class').
 
     One row for every row with a doc_id. Null, empty and blank texts link with nothing. Rows that share a doc_id count as one document, whose text is that of any of them
-    if they differ. A text of fewer than five words has one shingle, all of them. Long texts are taken whole; extra columns are left out."""
+    if they differ. A text of fewer than five words has one shingle, all of them. Long texts are taken whole; extra columns are left out. Any type of
+    doc_id that has an order will do."""
     docs = unclashed(docs, doc_id, text).toDF("doc_id", "text")
     signed = written(prepared(docs), "signatures")
     same = written(signed.where("key1 is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("representative"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("n")), "unique")
@@ -229,7 +230,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, text: str = "tex
     shared = written(buckets.join(sizes, "bucket"), "buckets")
     degrees = shared.groupBy("doc_id").agg(F.sum("n").alias("degree"))
     texts = written(docs.join(degrees.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]), "texts")
-    pivots = shared.join(degrees, "doc_id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("low"))).alias("top")).select("bucket", (-F.col("top.low")).alias("pivot"))
+    pivots = shared.join(degrees, "doc_id").groupBy("bucket").agg(F.min(F.struct((-F.col("degree")).alias("degree"), "doc_id")).alias("top")).select("bucket", F.col("top.doc_id").alias("pivot"))
     star = shared.join(pivots, "bucket").where("doc_id <> pivot").select("pivot", F.col("doc_id").alias("member")).distinct()
     first = written(components(written(_verified(star, texts, least), "edges")), "roots")
     labelled = shared.join(first, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))

@@ -1,9 +1,11 @@
-"""Short test items, and passages of one word again and again."""
+"""Short test items, passages of one word again and again, ids that are no numbers."""
 
 import time
 
 from tarnfell.llm.decontamination import contaminated, without_benchmark
+from tarnfell.llm.near_dedup import near_duplicates
 from tarnfell.llm.substring_dedup import Passages
+from tarnfell.llm.suffix_dedup import repeated_bytes
 
 
 def test_short_items(spark):
@@ -24,3 +26,14 @@ def test_one_word_again_and_again():
         assert passages.stretches(words.strip()) == [(0, len(words.split()))]
         assert time.perf_counter() - began < 2
     assert Passages(["0 " * 99 + "0"]).stretches("1 " + "0 " * 49 + "2 " + "0 " * 60 + "3") == [(51, 111)]
+
+
+def test_text_ids(spark):
+    prose = " ".join(f"w{i * 7919 % 1013}" for i in range(200))
+    other = " ".join(f"v{i * 7919 % 1013}" for i in range(200))
+    texts = {"b": prose, "a": prose + " tail", "c": prose, "d": "head " + prose, "x": other, "y": "quite another text of a few words", "z": "one " + other}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r.doc_id: (r.representative, r.class_id, r.kept) for r in near_duplicates(docs).collect()}
+    assert got == {"a": ("a", "a", True), "b": ("b", "a", False), "c": ("b", "a", False), "d": ("d", "a", False), "x": ("x", "x", True), "y": ("y", "y", True), "z": ("z", "x", False)}
+    removed = {r.doc_id: (r.n_bytes - r.n_removed) for r in repeated_bytes(docs).collect()}
+    assert removed == {"a": 5, "b": 0, "c": 0, "d": 5, "x": 0, "y": 33, "z": 4}
