@@ -53,8 +53,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 60, depth:
     model = Boosted(names, float(np.log(p / (1 - p))))
     if len(y) == 0 or y.min() == y.max():
         return model
-    # a feature that is mostly 0 has cuts among its other values too
-    cuts = [np.unique(np.concatenate([np.quantile(v, np.linspace(0, 1, bins + 1)[1:-1]) for v in (x[:, j], x[x[:, j] != 0, j]) if len(v)] + [np.zeros(1)] * bool((x[:, j] == 0).any()))) for j in range(x.shape[1])] if rising else [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+    cuts = [_cuts(x[:, j], bins, bool(rising)) for j in range(x.shape[1])]
     up = {names.index(r) for r in rising}
     binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
     m = np.full(len(y), model.base)
@@ -67,6 +66,19 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 60, depth:
     return model
 
 
+def _cuts(values: np.ndarray, bins: int, sparse: bool) -> np.ndarray:
+    """Where a feature may be split. sparse: a feature that is mostly 0 has cuts at 0 and among its other values too."""
+    steps = np.linspace(0, 1, bins + 1)[1:-1]
+    some = [np.quantile(values, steps)]
+    if sparse:
+        other = values[values != 0]
+        if len(other):
+            some.append(np.quantile(other, steps))
+        if len(other) < len(values):
+            some.append(np.zeros(1))
+    return np.unique(np.concatenate(some))
+
+
 def _grow(binned, cuts, g, h, rows, depth, least, ridge, rate, up, low, high) -> Node:
     gs, hs = g[rows].sum(), h[rows].sum()
     leaf = Node(value=float(np.clip(rate * gs / (hs + ridge), low, high)))
