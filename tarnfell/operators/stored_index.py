@@ -28,6 +28,8 @@ from ..sources.stores import sized, written
 from .lexical import B, K1, LexicalIndex, query_terms, searchable_text
 
 BLOCK = 64
+#: Postings of all questions together up to which they are simply read.
+FULL = 1 << 24
 #: Number of the layout, for those who look for an index by what it is made of.
 LAYOUT = 1
 #: Share of the score that a pool must reach which the common terms together may make up: the smaller, the fewer chunks are looked up and the more terms are read through.
@@ -198,9 +200,9 @@ class Found:
     reads: DataFrame
 
 
-def search(index: StoredIndex, questions: DataFrame, k: int, k1: float = K1, b: float = B) -> Found:
+def search(index: StoredIndex, questions: DataFrame, k: int, k1: float = K1, b: float = B, full: int = FULL) -> Found:
     """The k best chunks of each question by BM25 (score to 9 decimals, ties by chunk_id), those of the full sums. What is small is joined by broadcast, as Spark finds it from the size of the
-    written tables."""
+    written tables. Where all questions together have at most `full` postings, reading them all is quicker than finding out which can be left; the rows are the same."""
     asked = written(query_terms(questions).withColumn("bucket", bucket("term", index.buckets)), "asked")
     touched = [r[0] for r in asked.select("bucket").distinct().collect()]  # at most as many as buckets
     held = index.table("terms", touched).join(asked.select("term").distinct(), "term", "left_semi")
@@ -231,6 +233,11 @@ def search(index: StoredIndex, questions: DataFrame, k: int, k1: float = K1, b:
         rows = rows.select("question_id", F.col("own").alias("chunk_id"), "idf", F.explode(F.filter("postings", lambda p: p["chunk_id"] == F.col("own"))).alias("p"))
         return rows.select("question_id", "chunk_id", part("p").alias("part"))
 
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
+    if (weights.agg(F.sum("n")).first()[0] or 0) <= full:
+        total = through(weights).select("question_id", "chunk_id", F.round("part", 9).alias("score"))
+        reads = weights.groupBy("question_id").agg(F.sum("n").alias("postings")).withColumn("scored", F.col("postings"))
+        return Found(total.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k), reads)
     best = Window.partitionBy("question_id").orderBy(F.desc("part"), "chunk_id")
     seeds = through(weights.where(F.col("before") < SEEDS * k)).withColumn("r", F.row_number().over(best)).where(F.col("r") <= 4 * k).select("question_id", "chunk_id")
     seeds = looked_up(seats(seeds, weights)).groupBy("question_id", "chunk_id").agg(F.sum("part").alias("part")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
@@ -249,7 +256,6 @@ def search(index: StoredIndex, questions: DataFrame, k: int, k1: float = K1, b:
     strong = bounded.groupBy("question_id", "chunk_id").agg((F.first("part") + F.sum("most")).alias("most"), F.first("needed").alias("needed")).where(F.col("most") >= F.col("needed") - _SLACK).select("question_id", "chunk_id")
     left = bounded.select("question_id", "chunk_id", "term", "segment", "slot", "idf").join(strong, ["question_id", "chunk_id"], "left_semi")
     total = may.select("question_id", "chunk_id", "part").unionByName(looked_up(left)).groupBy("question_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     hits = total.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     whole = parted.groupBy("question_id").agg(F.sum("n").alias("postings"), F.sum(F.when(F.col("common"), 0).otherwise(F.col("n"))).alias("through"))
     looked = left.groupBy("question_id").agg(F.count("*").alias("looked"))

@@ -110,9 +110,16 @@ def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_term(index).withColumns({"n": F.lit(index.chunks).cast("long"), "avgdl": F.lit(round(index.avgdl, 6))})
 
 
+@query(with_sql("SELECT question_id, chunk_id, round(score, 6) AS score, CAST(place AS INT) AS place FROM pool", *LEXICAL))
+def bounded_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool that keyword search boosts, by upper bounds whatever the size."""
+    found = stored_index.search(given.stored_index(spark, sf_dir), given.questions(spark, sf_dir), 36, full=0).hits
+    return found.select("question_id", "chunk_id", F.round("score", 6).alias("score"), "place")
+
+
 def search_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """question_id, postings of its terms, those of them that the bounded search scores, and the share that it skips."""
-    reads = stored_index.search(given.stored_index(spark, sf_dir), given.questions(spark, sf_dir), 36).reads
+    reads = stored_index.search(given.stored_index(spark, sf_dir), given.questions(spark, sf_dir), 36, full=0).reads
     return reads.withColumn("skipped", F.round(1 - F.col("scored") / F.col("postings"), 4))
 
 

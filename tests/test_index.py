@@ -65,9 +65,10 @@ def test_bounded_search_is_exact(spark, texts, tmp_path, monkeypatch, block):
     questions = spark.createDataFrame(list(asked.items()), "question_id bigint, question string")
     index = stored_index.write_index(frame(spark, texts), str(tmp_path / "a"), buckets=4)
     index = stored_index.update_index(index, spark.createDataFrame([(3,), (5,)], "chunk_id bigint"), frame(spark, {7: "w1 w2 w3", 2000: "w1 w1 w9"}))
-    found = stored_index.search(index, questions, 5)
+    found = stored_index.search(index, questions, 5, full=0)
     want = sorted(map(tuple, lexical.build_index(frame(spark, {i: t for i, t in texts.items() if i not in (3, 5, 7)} | {7: "w1 w2 w3", 2000: "w1 w1 w9"})).pool(questions, 5).collect()))
     assert sorted((r.question_id, r.chunk_id, pytest.approx(r.score, abs=2e-9), r.place) for r in found.hits.collect()) == want
+    assert sorted((r.question_id, r.chunk_id, pytest.approx(r.score, abs=2e-9), r.place) for r in stored_index.search(index, questions, 5).hits.collect()) == want
     reads = found.reads.collect()
     assert all(0 <= r.scored <= r.postings for r in reads if r.postings)
     assert sum(r.scored for r in reads) < 0.9 * sum(r.postings for r in reads)
