@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, id_type, salted_join, spanning_roots, unclashed, written
+from .shared import components, few, id_type, salted_join, spanning_roots, unclashed, written
 from .words import LOWER_VALUES, find_words, mix, phrase_hashes, powers, slices, word_hashes
 
 WORDS = 5
@@ -28,6 +28,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 #: Members that meet one copy of a pivot's text; members of a bucket in one tile, and characters of their texts, both on average; shingles of a matrix product.
 CHUNK, TILE, TILE_CHARS, COLUMNS = 256, 256, 1 << 22, 4096
+#: Rows of a file of signatures or of members that meet many tiles, and of one of texts.
+WIDE_ROWS, TEXT_ROWS = 1 << 14, 1 << 11
 _LOW52 = np.uint64((1 << 52) - 1)
 _STEP = 0xD6E8FEB86659FD93
 
@@ -224,20 +226,22 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, text: str = "tex
     doc_id that has an order will do."""
     docs = unclashed(docs, doc_id, text).toDF("doc_id", "text")
     signed = written(prepared(docs), "signatures")
-    same = written(signed.where("key1 is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("representative"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("n")), "unique")
+    n_docs = signed.count()
+    same = written(few(signed.where("key1 is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("representative"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("n")), n_docs, WIDE_ROWS), "unique")
     buckets = same.select(F.col("representative").alias("doc_id"), F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(buckets.join(sizes, "bucket"), "buckets")
+    shared = written(few(buckets.join(sizes, "bucket"), BANDS * n_docs), "buckets")
+    n_shared = shared.count()
     degrees = shared.groupBy("doc_id").agg(F.sum("n").alias("degree"))
-    texts = written(docs.join(degrees.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]), "texts")
+    texts = written(few(docs.join(degrees.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]), n_docs, TEXT_ROWS), "texts")
     pivots = shared.join(degrees, "doc_id").groupBy("bucket").agg(F.min(F.struct((-F.col("degree")).alias("degree"), "doc_id")).alias("top")).select("bucket", F.col("top.doc_id").alias("pivot"))
     star = shared.join(pivots, "bucket").where("doc_id <> pivot").select("pivot", F.col("doc_id").alias("member")).distinct()
-    first = written(components(written(_verified(star, texts, least), "edges")), "roots")
+    first = written(few(components(_verified(star, texts, least), most=n_shared), n_shared), "roots")
     labelled = shared.join(first, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     several = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
-    opened = written(labelled.join(several, "bucket").join(texts.select("doc_id", F.length("text").alias("chars")), "doc_id"), "open")
+    opened = written(few(labelled.join(several, "bucket").join(texts.select("doc_id", F.length("text").alias("chars")), "doc_id"), n_shared, WIDE_ROWS), "open")
     # only roots are joined anew: their classes are few
-    second = components(written(_across(opened, texts, least), "edges")).toDF("root", "top")
+    second = components(_across(opened, texts, least), most=n_shared).toDF("root", "top")
     labels = first.join(second, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(second.join(first, second.root == first.node, "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root")))
     classes = same.select("key1", "key2", "representative").join(labels, F.col("representative") == F.col("node"), "left").select("key1", "key2", "representative", F.coalesce("root", "representative").alias("class_id"))
     told = signed.select("doc_id", "key1", "key2")
