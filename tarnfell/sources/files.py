@@ -7,9 +7,13 @@ from __future__ import annotations
 import csv
 import io
 import json
+import math
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +28,52 @@ def visible(path: Column | str, storage: str | None = None) -> Column:
     return ok if storage is None else ok & ~path.startswith(f"{storage.strip('/')}/") & (path != storage.strip("/"))
 
 
+#: Bytes of content that a task reads, and the tasks for each core that there are at least where files are small.
+TASK_BYTES, TASKS = 64 << 20, 8
+
+
+def direct(folder: str) -> bool:
+    """Python tasks reach the folder's store themselves: a local or mounted one, or another that pyarrow.fs knows."""
+    try:
+        FileSystem.from_uri(folder)
+    except (OSError, ValueError):
+        return False
+    return True
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """The content of each row (relative_path, content binary) as a file of its own below folder, a path or URI of a store that is direct() and that all executors see. Tasks write each file where it belongs,
+    one that is run again writes the same files anew; Spark's writers would make, and rename in the driver, a folder for each of them."""
+    store, root = FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = FileSystem.from_uri(folder)
+        made, n = set(), 0
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                full = f"{root}/{path}"
+                above = full.rpartition("/")[0]
+                if above not in made:
+                    store.create_dir(above, recursive=True)
+                    made.add(above)
+                with store.open_output_stream(full) as out:
+                    out.write(content.as_buffer())
+            n += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    rows.select("relative_path", "content").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()  # one row
+
+
 def discover_files(spark: SparkSession, folder: str, storage: str | None = None) -> DataFrame:
-    """relative_path, path, size, mtime_ns, content of all visible files below folder. content is read only if it is used."""
+    """relative_path, path, size, mtime_ns, content of all visible files below folder. content is read only if it is used.
+
+    Spark counts 4 MB for opening a file, which makes a task of every few small ones; here tasks are as many as the bytes ask for, and some for each core."""
     root = folder.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    least = TASKS * spark.sparkContext.defaultParallelism
+    size = files.select("length").coalesce(least).agg(F.sum("length")).first()[0] or 0
+    files = files.coalesce(max(least, math.ceil(size / TASK_BYTES)))
     tail = F.regexp_replace(F.expr("substring_index(path, concat('{0}', '/'), -1)".format(root.split("://")[-1])), r"\\", "/")
     files = files.select(tail.alias("relative_path"), "path", F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "content")
     return files.where(visible("relative_path", storage))
@@ -166,4 +212,4 @@ def prune_parse_cache(cache: DataFrame, manifest: DataFrame, version: str, now:
     return cache.join(live, "hash", "left").withColumn("removed", (F.col("version") != version) | (F.col("live").isNull() & old)).drop("live")
 
 
-__all__ = ["admit_files", "attach_identity", "discover_files", "lines", "load_delimited", "load_html", "load_json", "load_records", "load_sheets", "load_text", "prune_parse_cache", "reuse_parses", "visible"]
+__all__ = ["admit_files", "attach_identity", "discover_files", "lines", "load_delimited", "load_html", "load_json", "load_records", "load_sheets", "load_text", "prune_parse_cache", "reuse_parses", "visible", "write_files"]

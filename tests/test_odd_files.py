@@ -4,7 +4,9 @@ import duckdb
 import pytest
 
 from tarnfell.operators import splitting
+from tarnfell.plans import corpus
 from tarnfell.plans.registry import ORACLE_SQL, QUERIES
+from tarnfell.sources import files as loaders
 
 ODD = ["", " ", None, "\t\n", "x\r# no heading\r\ny\x85## none\u2028### none", "a|b\r\n---|---\r\nc", "a\r2.1 Part\n3.4.5 Part", "# \x0bx", "a\xa0b. " * 900, "Text. " * 900]
 
@@ -35,3 +37,27 @@ def test_counters_agree(spark):
     texts = ["a\xa0b", "a\x0bb\x0cc\rd", "a\x1cb\x85c\u2028d\u3000e", "snake_case 1,2"]
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", count_tokens("text").alias("n")).collect()
     assert [splitting.count_default(r.text) for r in rows] == [r.n for r in rows] == [3, 4, 9, 4]
+
+
+@pytest.mark.parametrize("direct", [True, False])
+def test_files_of_documents(spark, folder, tmp_path, monkeypatch, direct):
+    """Many small files: few folders to list, few tasks to read them, the same rows where only Spark reaches the store."""
+    monkeypatch.setattr(loaders, "direct", lambda path: direct)
+    monkeypatch.setattr(corpus.given, "new_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    monkeypatch.setattr(loaders, "TASKS", 2)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("doc_id", "octet_length(text) + 1 AS size")
+        df = QUERIES["files_discovered"](spark, folder)
+        assert df.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, docs.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    if direct:
+        folders = [p for p in tmp_path.rglob("*") if p.is_dir()]
+        assert len(folders) < 10 and len(list(tmp_path.rglob(".old/*/*.txt"))) == docs.where("doc_id % 10 = 0").count()
+
+
+def test_no_files(spark, tmp_path):
+    loaders.write_files(spark.createDataFrame([], "relative_path string, content binary"), f"file://{tmp_path}/none")
+    assert loaders.discover_files(spark, f"file://{tmp_path}/none").count() == 0
