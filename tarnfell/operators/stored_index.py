@@ -16,11 +16,17 @@ bounds have been tried (block-max)."""
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokens
 from ..sources import log
@@ -30,6 +36,10 @@ from .lexical import B, K1, LexicalIndex, query_terms, searchable_text
 BLOCK = 64
 #: Postings of all questions together up to which they are simply read.
 FULL = 1 << 24
+#: Postings that a task puts together, about.
+DEALT = 1 << 19
+#: Postings of a term above which its slots are dealt over several tasks, by their first bits.
+HOT, HOT_BITS = 1 << 22, 10
 #: Number of the layout, for those who look for an index by what it is made of.
 LAYOUT = 1
 #: Share of the score that a pool must reach which the common terms together may make up: the smaller, the fewer chunks are looked up and the more terms are read through.
@@ -98,6 +108,12 @@ class StoredIndex:
         stats = self.table("terms").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         return LexicalIndex(postings, stats, self.spark.range(1).select(F.lit(self.chunks).cast("long").alias("n"), F.lit(self.avgdl).alias("avgdl")))
 
+    def by_term(self) -> DataFrame:
+        """term, df, tf, dl: sums over the postings that are there. Signed postings are added up as they are, so no posting is shuffled."""
+        rows = self.table("blocks").select("term", F.explode("postings").alias("p"))
+        sums = rows.groupBy("term").agg(*[F.sum(x).alias(n) for n, x in (("df", F.col("p.sign")), ("tf", F.col("p.sign") * F.col("p.tf")), ("dl", F.col("p.sign") * F.col("p.dl")))])
+        return sums.where("df > 0")
+
     def vectors(self) -> DataFrame:
         """chunk_id, embedding of the chunks that are there."""
         rows = self.table("vectors").groupBy("chunk_id", "embedding").agg(F.sum("sign").alias("s"))
@@ -123,7 +139,7 @@ def write_index(chunks: DataFrame, folder: str, vectors: DataFrame | None = None
     version = log.latest(spark, folder).version + 1
     forward = counted(chunks).withColumn("sign", F.lit(1))
     signed = None if vectors is None else vectors.select("chunk_id", "embedding", F.lit(1).alias("sign"))
-    segment = _segment(spark, folder, forward, signed, buckets, files, chunks.schema["chunk_id"].dataType.simpleString())
+    segment = _segment(spark, folder, forward, signed, buckets, files, chunks.schema["chunk_id"].dataType.simpleString(), narrow=True)
     log.publish(spark, folder, log.Pointer(version, [segment]))
     return open_index(spark, folder)
 
@@ -159,32 +175,83 @@ def sweep(index: StoredIndex) -> int:
     return log.sweep(index.spark, index.folder, _TABLES, index.pointer.names)
 
 
-def _segment(spark, folder, forward: DataFrame, vectors: DataFrame | None, buckets: int, files: int, chunk_type: str) -> dict:
+def _segment(spark, folder, forward: DataFrame, vectors: DataFrame | None, buckets: int, files: int, chunk_type: str, narrow: bool = False) -> dict:
+    """Write a segment's tables. narrow: forward rows are many, so that each task writes its own share of every bucket; else they are brought together by bucket first."""
     name = uuid.uuid4().hex
     at = lambda table: f"{folder}/{table}/segment={name}"
 
-    def put(rows: DataFrame, table: str, key: str, spread: Column) -> None:
-        dealt = rows.withColumn("bucket", bucket(key, buckets)).repartition("bucket", F.pmod(F.xxhash64(spread), F.lit(files)))
-        dealt.write.partitionBy("bucket").parquet(at(table))
+    def save(rows: DataFrame, table: str) -> None:
+        rows.write.option("compression", "zstd").partitionBy("bucket").parquet(at(table))
+
+    def put(rows: DataFrame, table: str) -> None:
+        save(rows.withColumn("bucket", bucket("chunk_id", buckets)).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(files))), table)
 
-    put(forward, "forward", "chunk_id", F.col("chunk_id"))
+    if narrow:
+        save(forward.withColumn("bucket", bucket("chunk_id", buckets)), "forward")
+    else:
+        put(forward, "forward")
     fields = f"chunk_id {chunk_type}, dl int, counts array<struct<term:string,tf:int>>, sign int"
     forward = spark.read.schema(fields).parquet(at("forward"))
-    sums = forward.agg(F.coalesce(F.sum("sign"), F.lit(0)), F.coalesce(F.sum(F.col("sign") * F.col("dl")), F.lit(0))).first()
-    # outer: no filter on the counts is inferred
-    postings = forward.select("chunk_id", "dl", "sign", F.explode_outer("counts").alias("c")).where("c is not null").select("c.term", "chunk_id", "c.tf", "dl", "sign")
+    rows, n, total, postings = forward.agg(F.count("*"), *[F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("sign"), F.col("sign") * F.col("dl"), F.size("counts"))]).first()
+    hot = _hot(forward, max(HOT, postings // 1000)) if rows > HOT else {}
+    parts = max(files, math.ceil(postings / (buckets * DEALT)))
+    tasks = max(parts * buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))) if parts > files else None
+    read = max(math.ceil(postings / (4 * DEALT)), spark.sparkContext.defaultParallelism)
+    runs = _runs(forward.coalesce(read), chunk_type, list(hot)).withColumns({"bucket": bucket("term", buckets), "part": F.pmod(F.xxhash64("spread", "term"), F.lit(parts))})
+    runs = runs.repartition(tasks, "bucket", "part") if tasks else runs.repartition("bucket", "part")
+    whole = F.sum(F.size("numbers")).over(Window.partitionBy("bucket", "part", "term"))
+    known = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])[F.col("term")] if hot else F.lit(None)
+    placed = runs.withColumn("bits", _bits(F.coalesce(known.cast("bigint"), whole))).select("bucket", "part", "term", "bits", F.explode(F.arrays_zip("chunk_id", "numbers")).alias("p")).select("bucket", "part", "term", "bits", "p.*")
+    fields = {"tf": F.shiftright("numbers", 33), "dl": F.shiftright("numbers", 1).bitwiseAND(0xFFFFFFFF), "sign": F.col("numbers").bitwiseAND(1) * 2 - 1}
+    placed = placed.withColumns({c: x.cast("int") for c, x in fields.items()})
+    placed = placed.withColumn("slot", F.when(F.col("bits") > 0, _slot(F.col("bits"))).otherwise(0))
     most, least = F.max(F.when(F.col("sign") > 0, F.col("tf"))), F.min(F.when(F.col("sign") > 0, F.col("dl")))
-    terms = postings.groupBy("term").agg(F.sum("sign").alias("df"), F.count("*").alias("n"), most.alias("max_tf"), least.alias("min_dl"))
-    put(terms.withColumn("bits", F.greatest(F.ceil(F.log2(F.col("n") / BLOCK)), F.lit(0)).cast("int")), "terms", "term", F.col("term"))
-    split = spark.read.schema("term string, bits int").parquet(at("terms")).where("bits > 0")
-    slot = F.when(F.col("bits").isNull(), F.lit(0)).otherwise(_slot(F.col("bits")))
-    dealt = postings.join(sized(split), "term", "left").select("term", slot.alias("slot"), "chunk_id", "tf", "dl", "sign")
-    dealt = dealt.withColumns({"bucket": bucket("term", buckets), "part": F.pmod(F.xxhash64("slot", "term"), F.lit(files))}).repartition("bucket", "part")
-    blocks = dealt.groupBy("bucket", "part", "term", "slot").agg(F.count("*").alias("n"), most.alias("max_tf"), least.alias("min_dl"), F.collect_list(F.struct("chunk_id", "tf", "dl", "sign")).alias("postings"))
-    blocks.drop("part").sortWithinPartitions("bucket", "term", "slot").write.partitionBy("bucket").parquet(at("blocks"))
+    blocks = placed.groupBy("bucket", "part", "term", "slot").agg(F.count("*").alias("n"), most.alias("max_tf"), least.alias("min_dl"), F.collect_list(F.struct("chunk_id", "tf", "dl", "sign")).alias("postings"))
+    save(blocks.drop("part").sortWithinPartitions("bucket", "term", "slot"), "blocks")
+    blocks = spark.read.schema("term string, n bigint, max_tf int, min_dl int, postings array<struct<sign:int>>, bucket int").parquet(at("blocks"))
+    blocks = blocks.withColumns({"df": F.aggregate("postings.sign", F.lit(0).cast("bigint"), lambda a, x: a + x), "part": F.pmod(F.xxhash64("term"), F.lit(files))}).drop("postings")
+    terms = blocks.repartition("bucket", "part").groupBy("bucket", "part", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+    save(terms.select("term", "df", "n", _bits(F.col("n")).alias("bits"), "max_tf", "min_dl", "bucket"), "terms")
     if vectors is not None:
-        put(vectors, "vectors", "chunk_id", F.col("chunk_id"))
-    return {"name": name, "n": sums[0], "total": sums[1], "chunk_type": chunk_type, "buckets": buckets, "vectors": vectors is not None}
+        put(vectors, "vectors")
+    return {"name": name, "n": n, "total": total, "chunk_type": chunk_type, "buckets": buckets, "vectors": vectors is not None}
+
+
+def _hot(forward: DataFrame, above: int) -> dict[str, int]:
+    """The postings of the terms that have more than that many: fewer than 1,000 terms, as above is a thousandth of all postings at least."""
+    return {r["term"]: r["n"] for r in forward.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") > above).collect()}
+
+
+def _runs(forward: DataFrame, chunk_type: str, hot: list[str]) -> DataFrame:
+    """term, spread, and lists of chunk_id and numbers (tf, 32 bits of dl, one that says sign 1) of a term in some forward rows, so that the term is shuffled once for all of them. spread: the first bits of the slots of a hot term, else 0."""
+    key = to_arrow_type(forward.schema["chunk_id"].dataType)
+    schema = pa.schema([("term", pa.string()), ("spread", pa.int64()), ("chunk_id", pa.list_(key)), ("numbers", pa.list_(pa.int64()))])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = batch.column("counts")
+            row, found = pc.list_parent_indices(counts), pc.list_flatten(counts)
+            if not len(found):
+                continue
+            term = found.field("term")
+            spread = pc.if_else(pc.is_in(term, pa.array(hot, term.type)), batch.column("spread").take(row), 0)
+            flat = pa.table({"term": term, "spread": spread, "row": row, "tf": found.field("tf")}).sort_by([(c, "ascending") for c in ("term", "spread", "row")]).combine_chunks()
+            term, spread, row, tf = (flat[c].chunk(0) for c in ("term", "spread", "row", "tf"))
+            new = pc.or_(pc.not_equal(term[1:], term[:-1]), pc.not_equal(spread[1:], spread[:-1])).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            ends = pa.array(np.append(starts, len(term)).astype(np.int32))
+            numbers = [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (tf, batch.column("dl").take(row), pc.greater(batch.column("sign").take(row), 0))]
+            packed = pa.array(numbers[0] << 33 | numbers[1] << 1 | numbers[2])
+            runs = [term.take(pa.array(starts)), spread.take(pa.array(starts)), pa.ListArray.from_arrays(ends, batch.column("chunk_id").take(row)), pa.ListArray.from_arrays(ends, packed)]
+            yield from pa.table(runs, schema=schema).to_batches(max_chunksize=10_000)
+
+    rows = forward.select("chunk_id", "dl", "sign", "counts", F.call_function("shiftrightunsigned", F.xxhash64("chunk_id"), F.lit(64 - HOT_BITS)).alias("spread"))
+    return rows.mapInArrow(together, f"term string, spread bigint, chunk_id array<{chunk_type}>, numbers array<bigint>")
+
+
+def _bits(n: Column) -> Column:
+    """Bits of the slots of a term with n postings."""
+    return F.greatest(F.ceil(F.log2(n / BLOCK)), F.lit(0)).cast("int")
 
 
 def _slot(bits: Column) -> Column:

@@ -89,12 +89,7 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_sql("SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, CAST(sum(dl) AS BIGINT) AS dl FROM postings GROUP BY term", CHUNKS_SQL, TOKENED, POSTINGS))
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index written from nothing, read back by term."""
-    return _by_term(stored_index.write_index(given.doc_chunks(spark, sf_dir), given.new_folder(spark, "built")))
-
-
-def _by_term(index):
-    rows = index.lexical().postings
-    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.sum("dl").alias("dl"))
+    return stored_index.write_index(given.doc_chunks(spark, sf_dir), given.new_folder(spark, "built")).by_term()
 
 
 @query(with_sql("SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, CAST(sum(dl) AS BIGINT) AS dl, any_value(n) AS n, any_value(avgdl) AS avgdl FROM postings, (SELECT count(*) AS n, round(CAST(sum(len(terms)) AS DOUBLE) / count(*), 6) AS avgdl FROM tokened) GROUP BY term", CHUNKS_SQL, TOKENED, POSTINGS))
@@ -107,7 +102,7 @@ def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = stored_index.write_index(old, given.new_folder(spark, "updated"))
     index = stored_index.update_index(index, left.select("chunk_id"), now.where("chunk_id % 20 = 3"))
     index = stored_index.update_index(index, left.select("chunk_id").limit(0), now.where("chunk_id % 50 = 11"))
-    return _by_term(index).withColumns({"n": F.lit(index.chunks).cast("long"), "avgdl": F.lit(round(index.avgdl, 6))})
+    return index.by_term().withColumns({"n": F.lit(index.chunks).cast("long"), "avgdl": F.lit(round(index.avgdl, 6))})
 
 
 @query(with_sql("SELECT question_id, chunk_id, round(score, 6) AS score, CAST(place AS INT) AS place FROM pool", *LEXICAL))

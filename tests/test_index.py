@@ -95,3 +95,22 @@ def test_vectors_and_writers(spark, tmp_path):
     assert stored_index.open_index(spark, str(tmp_path / "none")) is None
     empty = stored_index.write_index(frame(spark, {1: "x"}).limit(0), str(tmp_path / "e"))
     assert empty.lexical().postings.count() == 0 and empty.avgdl == 1.0
+
+
+def test_many_parts_and_hot_terms(spark, texts, tmp_path, monkeypatch):
+    """Parts of buckets and hot terms dealt by slot: the blocks of one task for each bucket. What is brought together for a build is a row for each term and batch, not one for each posting."""
+    outline = lambda index: sorted(map(tuple, index.table("blocks").select("bucket", "term", "slot", "n", "max_tf", "min_dl", F.array_sort("postings").cast("string")).collect()))
+    terms = lambda index: sorted(map(tuple, index.table("terms").drop("segment").collect()))
+    one = stored_index.write_index(frame(spark, texts), str(tmp_path / "a"), buckets=2)
+    for name, value in (("DEALT", 500), ("HOT", 130), ("HOT_BITS", 2)):
+        monkeypatch.setattr(stored_index, name, value)
+    found = []
+    monkeypatch.setattr(stored_index, "_hot", lambda *a, f=stored_index._hot: found.append(f(*a)) or found[-1])
+    many = stored_index.write_index(frame(spark, texts), str(tmp_path / "b"), buckets=2)
+    assert found[0] and outline(many) == outline(one) and terms(many) == terms(one)
+    assert len({(r.term) for r in one.table("blocks").where("slot > 0").collect()} & set(found[0])) > 0
+    runs = stored_index._runs(one.table("forward").coalesce(1), "bigint", [])
+    assert runs.count() == one.table("terms").count() < one.table("blocks").agg(F.sum("n")).first()[0] / 5
+    sums = {r.term: (r.df, r.tf, r.dl) for r in one.by_term().collect()}
+    plain = one.lexical().postings.groupBy("term").agg(F.count("*"), F.sum("tf"), F.sum("dl")).collect()
+    assert sums == {r[0]: tuple(r[1:]) for r in plain}
