@@ -40,6 +40,8 @@ FULL = 1 << 24
 DEALT = 1 << 19
 #: Postings of a term above which its slots are dealt over several tasks, by their first bits.
 HOT, HOT_BITS = 1 << 22, 10
+#: Changed chunks whose ids are sent to all tasks, so that the forward rows of others are not shuffled.
+CHANGED = 2_000_000
 #: Number of the layout, for those who look for an index by what it is made of.
 LAYOUT = 1
 #: Share of the score that a pool must reach which the common terms together may make up: the smaller, the fewer chunks are looked up and the more terms are read through.
@@ -150,7 +152,7 @@ def update_index(index: StoredIndex, gone: DataFrame, came: DataFrame, vectors:
     spark = index.spark
     ids = written(gone.select("chunk_id").unionByName(came.select("chunk_id")).distinct(), "changed")
     touched = [r[0] for r in ids.select(bucket("chunk_id", index.buckets)).distinct().collect()]  # at most as many as buckets
-    some = sized(ids)
+    some = sized(ids, CHANGED)
     old = index.table("forward", touched).join(some, "chunk_id", "left_semi").groupBy("chunk_id", "dl", "counts").agg(F.sum("sign").alias("s")).where("s > 0")
     forward = old.select("chunk_id", "dl", "counts", F.lit(-1).alias("sign")).unionByName(counted(came).withColumn("sign", F.lit(1)))
     past = index.table("vectors", touched).join(some, "chunk_id", "left_semi").groupBy("chunk_id", "embedding").agg(F.sum("sign").alias("s")).where("s > 0").select("chunk_id", "embedding", F.lit(-1).alias("sign"))

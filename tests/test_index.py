@@ -114,3 +114,14 @@ def test_many_parts_and_hot_terms(spark, texts, tmp_path, monkeypatch):
     sums = {r.term: (r.df, r.tf, r.dl) for r in one.by_term().collect()}
     plain = one.lexical().postings.groupBy("term").agg(F.count("*"), F.sum("tf"), F.sum("dl")).collect()
     assert sums == {r[0]: tuple(r[1:]) for r in plain}
+
+
+def test_many_changes(spark, texts, tmp_path, monkeypatch):
+    """The ids of a million changed chunks are sent to the tasks, so that the forward table is not shuffled; sums by term after a change are those of a rebuild."""
+    limits = []
+    monkeypatch.setattr(stored_index, "sized", lambda df, rows=200_000: limits.append(rows) or F.broadcast(df))
+    index = stored_index.write_index(frame(spark, texts), str(tmp_path / "a"), buckets=2)
+    index = stored_index.update_index(index, frame(spark, {3: ""}).select("chunk_id"), frame(spark, {7: "w1 w2", 900: "w3"}))
+    assert max(limits) >= 1_000_000
+    whole = stored_index.write_index(frame(spark, {i: t for i, t in texts.items() if i != 3} | {7: "w1 w2", 900: "w3"}), str(tmp_path / "b"), buckets=2)
+    assert sorted(map(tuple, index.by_term().collect())) == sorted(map(tuple, whole.by_term().collect()))
