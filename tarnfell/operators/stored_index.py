@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokens
 from ..sources import log
-from ..sources.stores import sized, written
+from ..sources.stores import free_shuffles, sized, written
 from .lexical import B, K1, LexicalIndex, query_terms, searchable_text
 
 BLOCK = 64
@@ -184,6 +184,7 @@ def _segment(spark, folder, forward: DataFrame, vectors: DataFrame | None, bucke
 
     def save(rows: DataFrame, table: str) -> None:
         rows.write.option("compression", "zstd").partitionBy("bucket").parquet(at(table))
+        free_shuffles(spark)
 
     def put(rows: DataFrame, table: str) -> None:
         save(rows.withColumn("bucket", bucket("chunk_id", buckets)).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(files))), table)
