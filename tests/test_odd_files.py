@@ -61,3 +61,15 @@ def test_files_of_documents(spark, folder, tmp_path, monkeypatch, direct):
 def test_no_files(spark, tmp_path):
     loaders.write_files(spark.createDataFrame([], "relative_path string, content binary"), f"file://{tmp_path}/none")
     assert loaders.discover_files(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_loading_small_files(spark, folder, tmp_path, monkeypatch):
+    """Contents of many small files are read by few tasks, whatever Spark counts for opening a file."""
+    monkeypatch.setattr(loaders, "TASKS", 2)
+    monkeypatch.setattr(corpus.given, "new_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        df = QUERIES["files_loaded"](spark, folder)
+        assert df.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism and df.count() == 200
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
